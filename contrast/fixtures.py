@@ -11,7 +11,7 @@ F  predictions: quality labels against toxicity flags
 from pyspark.sql import functions as F
 
 from contrast import settings as S
-from contrast.plans.settle import settle
+from contrast.plans.settle import settle, spread
 
 LONG = ["cohort", "group", "feature_id", "sample_id", "count"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -27,6 +27,7 @@ def terms(spark, sf_dir, by_language=False):
     Documents without a label are the baseline group.
     """
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = spread(documents, "doc_id")
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     group = F.when(F.col("quality") == 1, S.CASE).when(F.col("quality") == 0, S.CONTROL)
     counted = (

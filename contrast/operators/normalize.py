@@ -14,10 +14,12 @@ from contrast.plans.settle import join_side, settle
 SAMPLE = ["cohort", "sample_id"]
 
 
-def sample_table(long):
-    """One settled row per sample and group with its total count: the only
-    full pass the later steps share."""
-    totals = long.groupBy(*SAMPLE, "group").agg(F.sum("count").alias("total"))
+def sample_table(long, *extra):
+    """One settled row per sample and group with its total count and cells: the
+    only full pass the later steps share. ``extra`` names further sample columns."""
+    totals = long.groupBy(*SAMPLE, "group", *extra).agg(
+        F.sum("count").alias("total"), F.count("*").alias("n_cells")
+    )
     return settle(totals, "samples")
 
 

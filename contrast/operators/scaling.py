@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from contrast import settings as S
 from contrast.operators.diff import diff_core
+from contrast.operators.normalize import sample_table
 from contrast.plans.ordered import place, rank
 from contrast.plans.settle import join_side, settle
 
@@ -35,31 +36,36 @@ def subsample_samples(long, fraction, seed=S.SEED):
     return join_side(long, chosen.select("cohort", "sample_id"), ["cohort", "sample_id"], "left_semi")
 
 
-def subsample_nested(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED):
-    """The subsamples of all fractions at once, each as a cohort of its own.
-
-    A sample belongs to every fraction whose quota covers its rank.
-    """
+def _membership(long, fractions, seed):
+    """One row per sample and fraction whose quota covers the rank of the sample."""
     member = [
         F.when(F.col("_rank") <= _quota(fraction), F.lit(float(fraction))) for fraction in fractions
     ]
-    spread = sample_ranks(long, seed).select(
+    return sample_ranks(long, seed).select(
         "cohort", "sample_id", F.explode(F.array_compact(F.array(*member))).alias("fraction")
     )
-    cells = join_side(long, spread, ["cohort", "sample_id"])
-    name = F.format_string("%s@%s", "cohort", F.col("fraction").cast("string"))
-    return cells.withColumn("origin", F.col("cohort")).withColumn("cohort", name)
+
+
+def subsample_nested(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED):
+    """The subsamples of all fractions in one pass, told apart by ``fraction``."""
+    return join_side(long, _membership(long, fractions, seed), ["cohort", "sample_id"])
 
 
 def subsample_diff(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED, implicit_zeros=False):
-    """Per fraction: samples, rows and features tested by the core workload."""
-    nested = settle(subsample_nested(long, fractions, seed), "nested")
-    tested = diff_core(nested.drop("origin", "fraction"), implicit_zeros)
-    tested = tested.groupBy("cohort").agg(F.count("*").alias("n_features_tested"))
-    sizes = nested.groupBy("cohort", "origin", "fraction").agg(
-        F.count_distinct("sample_id").alias("n_samples"), F.count("*").alias("n_rows")
+    """Per fraction: samples, rows and features tested by the core workload.
+
+    Each fraction takes the part of a cohort in one run of the workload, so the
+    cells are multiplied on their way into the aggregation but never written.
+    """
+    name = F.format_string("%s@%s", "cohort", F.col("fraction").cast("string"))
+    nested = subsample_nested(long, fractions, seed)
+    named = nested.withColumn("origin", F.col("cohort")).withColumn("cohort", name)
+    samples = sample_table(named, "origin", "fraction")
+    sizes = samples.groupBy("cohort", "origin", "fraction").agg(
+        F.count_distinct("sample_id").alias("n_samples"), F.sum("n_cells").alias("n_rows")
     )
-    joined = sizes.join(tested, "cohort", "left")
+    tested = diff_core(named, implicit_zeros, samples).groupBy("cohort")
+    joined = sizes.join(tested.agg(F.count("*").alias("n_features_tested")), "cohort", "left")
     return joined.select(
         F.col("origin").alias("cohort"),
         "fraction",

@@ -11,6 +11,8 @@ from contrast.plans.settle import join_side, settle
 from contrast.plans.topk import top_k
 
 FEATURE = ["cohort", "feature_id"]
+# Implicit zeros made from one row: bounds the array behind each explode.
+ZERO_CHUNK = 100_000
 SCORE = [
     *FEATURE,
     "symbol",
@@ -45,9 +47,7 @@ def baseline_profile(long, implicit_zeros=False):
     zeros = F.col("size_all") - F.col("_rows")
     sized = settle(summary.join(sizes, "cohort").withColumn("_zeros", zeros), "profile")
     crowded = sized.where("_n >= _zeros").select(*FEATURE, "_zeros")
-    absent = crowded.where("_zeros > 0").select(
-        *FEATURE, F.explode(F.sequence(F.lit(1).cast("long"), "_zeros"))
-    )
+    absent = _zero_rows(crowded)
     present = join_side(cells, crowded.drop("_zeros"), FEATURE, "left_semi")
     medians = (
         present.select(*FEATURE, "logcpm")
@@ -63,6 +63,16 @@ def baseline_profile(long, implicit_zeros=False):
     )
 
 
+def _zero_rows(crowded):
+    """``_zeros`` rows per feature, made in chunks that are spread over the tasks."""
+    chunk = F.lit(ZERO_CHUNK)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_zeros") - 1, chunk)
+    chunks = crowded.where("_zeros > 0").select(*FEATURE, "_zeros", F.explode(starts).alias("_start"))
+    spread = chunks.repartition(*FEATURE, "_start")
+    length = F.least(chunk, F.col("_zeros") - F.col("_start"))
+    return spread.select(*FEATURE, F.explode(F.sequence(F.lit(1).cast("long"), length)))
+
+
 def effect_baseline_join(de, baseline):
     """Tested features that the baseline cohort also has."""
     return de.join(baseline, FEATURE)

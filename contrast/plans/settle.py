@@ -29,6 +29,16 @@ def scratch_path(spark, label):
     return f"{shared_dir(spark)}/contrast-{label}-{uuid4().hex}"
 
 
+def spread(df, *keys):
+    """Repartition a table that has fewer files than the cluster has cores.
+
+    Such a table is small for the cluster but would keep most of it idle through
+    the steps up to the first shuffle. Any other table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def settle(df, label="table"):
     """Write ``df`` once and go on from the written table.
 
