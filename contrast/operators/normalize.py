@@ -85,21 +85,15 @@ def collapse_versions(cells, value="logcpm"):
     the matrix; use ``densify`` first on a sparse table.
     """
     labels = [name for name in cells.columns if name not in ("feature_id", value)]
-    stripped = cells.withColumn("_base", C.strip_version("feature_id"))
-    shared = settle(
-        stripped.select("feature_id", "_base")
-        .distinct()
-        .groupBy("_base")
-        .agg(F.count("*").alias("_ids"))
-        .where("_ids > 1")
-        .select("_base"),
-        "collisions",
-    )
-    single = join_side(stripped, shared, ["_base"], "left_anti")
+    bases = cells.select("feature_id").distinct().withColumn("_base", C.strip_version("feature_id"))
+    bases = settle(bases, "bases")
+    sharing = bases.groupBy("_base").agg((F.count("*") > 1).alias("_shared"))
+    named = settle(bases.join(sharing, "_base"), "named")
+    columns = [F.col("_base").alias("feature_id"), *labels, value]
+    single = join_side(cells, named.where("not _shared").drop("_shared"), ["feature_id"])
     merged = (
-        join_side(stripped, shared, ["_base"], "left_semi")
+        join_side(cells, named.where("_shared").drop("_shared"), ["feature_id"])
         .groupBy("_base", *labels)
         .agg(F.avg(value).alias(value))
     )
-    columns = [F.col("_base").alias("feature_id"), *labels, value]
     return single.select(*columns).unionByName(merged.select(*columns))

@@ -1,0 +1,48 @@
+import numpy as np
+import pytest
+
+from contrast.operators import scaling
+
+
+@pytest.fixture
+def long(long_of):
+    rng = np.random.default_rng(7)
+    groups = {f"s{i:02d}": "case" if i % 2 else "control" for i in range(20)}
+    counts = {
+        f"f{k}": {s: int(c) for s, c in zip(groups, rng.poisson(20 + k, len(groups)))}
+        for k in range(6)
+    }
+    return long_of(counts, groups)
+
+
+@pytest.mark.parametrize("fraction, samples", [(0.05, 2), (0.25, 5), (0.5, 10), (1.0, 20)])
+def test_subsample_takes_whole_samples(long, fraction, samples):
+    part = scaling.subsample_samples(long, fraction)
+    assert part.select("sample_id").distinct().count() == samples
+    assert part.count() == samples * 6
+
+
+def test_subsamples_are_nested(long):
+    small, large = (
+        {r.sample_id for r in scaling.subsample_samples(long, f).collect()} for f in (0.25, 0.5)
+    )
+    assert small < large
+
+
+def test_scaling_table(long):
+    rows = scaling.subsample_diff(long).orderBy("fraction").collect()
+    assert [r.fraction for r in rows] == [0.1, 0.25, 0.5, 0.75, 1.0]
+    assert [r.n_samples for r in rows] == [2, 5, 10, 15, 20]
+    assert [r.n_rows for r in rows] == [12, 30, 60, 90, 120]
+    assert rows[-1].n_features_tested == 6
+    assert {r.cohort for r in rows} == {"c"}
+
+
+def test_fit_starts_at_the_second_size(spark):
+    points = [(0.1, 1_000_000, 50.0)] + [(f, n * 1_000_000, 3.0 + 2.0 * n) for f, n in ((0.25, 2), (0.5, 4), (1.0, 8))]
+    df = spark.createDataFrame(points, "fraction double, n_rows long, seconds double")
+    fit = scaling.scaling_fit(df, corpus_rows=3_600_000_000).first()
+    assert fit.sec_per_million_rows == pytest.approx(2.0)
+    assert fit.fixed_seconds == pytest.approx(3.0)
+    assert fit.n_points == 3
+    assert fit.corpus_hours == pytest.approx((2 * 3600 + 3) / 3600)
