@@ -8,6 +8,7 @@ from contrast import fixtures as X
 from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators import classify, diff, matrix, moments, normalize, scaling, serving, target
+from contrast.plans import flows
 from contrast.plans.settle import scratch_path, settle
 from contrast.sources import matrix as text
 from contrast.sources import tables
@@ -399,6 +400,20 @@ def projection(spark, sf_dir):
     return matrix.projection(_reduced(spark, sf_dir), 0, 2)
 
 
+def reduced_cohorts(spark, sf_dir):
+    """Fixture B through union, collapse, variable features, vectors and SVD."""
+    long = X.retail(spark, sf_dir, by_region=True, by_type=True).where("group <> 'other'")
+    dense = settle(matrix.densify(long), "dense")
+    labelled = matrix.union_cohorts(
+        [
+            matrix.label_cohort(X.contrast_of(dense), F.col("cohort")),
+            matrix.label_cohort(X.baseline_of(dense), F.col("cohort"), control_only=True),
+        ]
+    )
+    reduced, _, _ = flows.reduce_cohorts(labelled, n_features=20, k=10)
+    return matrix.flatten_components(reduced, 10)
+
+
 # --- models ------------------------------------------------------------------
 
 
@@ -508,6 +523,7 @@ QUERIES = {
         svd_features,
         svd_scores_norm,
         projection,
+        reduced_cohorts,
         train_test_split,
         rf_reduced,
         rf_importance,

@@ -9,6 +9,16 @@ FIELD_SEPARATOR = "\t"
 CASE_LABEL = "Primary Tumor"
 CONTROL_LABEL = "Solid Tissue Normal"
 
+# Tissue of each cancer cohort, shared with the healthy cohorts.
+DOMAIN_OF_COHORT = {
+    "BRCA": "BREAST",
+    "LUAD": "LUNG",
+    "THCA": "THYROID",
+    "PRAD": "PROSTATE",
+    "COAD": "COLON",
+    "KIRC": "KIDNEY",
+}
+
 # Trailing version of a feature id.
 VERSION_PATTERN = r"\..*$"
 
