@@ -49,12 +49,16 @@ def timed(action):
 
 def scaling_points(spark, sf_dir):
     """(million rows, seconds) of the core workload per sample fraction."""
-    long = X.contrast_of(X.retail(spark, sf_dir, by_type=True))
-    dense = settle(matrix.densify(long), "dense")
+    long = X.contrast_of(X.retail(spark, sf_dir, features=("p_brand", "p_size")))
+    # Sixteen feature buckets, as a long table on disk has.
+    dense = settle(matrix.densify(long).repartition(S.FEATURE_BUCKETS, "feature_id"), "dense")
     points = []
     drain(diff.diff_core(dense))
     for fraction in S.SCALING_FRACTIONS:
-        part = settle(scaling.subsample_samples(dense, fraction), "part")
+        part = settle(
+            scaling.subsample_samples(dense, fraction).repartition(S.FEATURE_BUCKETS, "feature_id"),
+            "part",
+        )
         rows = part.count()
         seconds = min(timed(lambda: drain(diff.diff_core(part))) for _ in range(2))
         points.append((fraction, rows, seconds))

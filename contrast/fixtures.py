@@ -14,6 +14,7 @@ from contrast import settings as S
 from contrast.plans.settle import settle, spread
 
 LONG = ["cohort", "group", "feature_id", "sample_id", "count"]
+BRAND_TYPE = ("p_brand", "p_type")
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -67,8 +68,11 @@ def term_symbols(spark, sf_dir):
     return words.where("feature_id <> ''").distinct().withColumn("symbol", F.upper("feature_id"))
 
 
-def retail(spark, sf_dir, by_region=False, by_type=False):
-    """Fixture B, settled: whole quantities per brand and customer."""
+def retail(spark, sf_dir, by_region=False, features=("p_brand",)):
+    """Fixture B, settled: whole quantities per feature and customer.
+
+    A feature is a brand, or the combination of several part columns.
+    """
     segment = F.col("c_mktsegment")
     group = (
         F.when(segment == "BUILDING", S.CASE)
@@ -87,8 +91,8 @@ def retail(spark, sf_dir, by_region=False, by_type=False):
         .select("c_custkey", group.alias("group"), "r_name")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    brand = F.concat_ws(".", "p_brand", "p_type") if by_type else F.col("p_brand")
-    part = table(spark, sf_dir, "part").select("p_partkey", brand.alias("feature_id"))
+    name = F.concat_ws(".", *features)
+    part = table(spark, sf_dir, "part").select("p_partkey", name.alias("feature_id"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     sold = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

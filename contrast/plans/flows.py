@@ -82,7 +82,7 @@ def feature_vectors(labelled, n_features=S.TOP_FEATURES):
     cells = normalize.log_cpm(labelled).select("feature_id", *labels, "logcpm")
     cells = normalize.collapse_versions(cells)
     features = matrix.top_variable(cells, n_features)
-    vectors = settle(matrix.wide_vectors(cells, features, features.count()), "vectors")
+    vectors = matrix.wide_vectors(cells, features, features.count())
     return vectors, features, settle(labelled.select(*labels).distinct(), "labels")
 
 

@@ -8,7 +8,8 @@ def top_k(df, k, order, by=("cohort",)):
     """The first ``k`` rows per group; ``order`` must break all ties.
 
     Spark limits every group inside each task before the shuffle, so a hot group
-    never reaches one task whole. Without groups this is a plain sort with limit.
+    never reaches one task whole (up to spark.sql.optimizer.windowGroupLimitThreshold,
+    1000 by default). Without groups this is a plain sort with limit.
     """
     if not by:
         return df.orderBy(*order).limit(k)

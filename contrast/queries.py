@@ -317,7 +317,7 @@ def serve_stats(spark, sf_dir):
 
 def _union(spark, sf_dir):
     """Contrast and baseline frames of fixture B, one domain per region."""
-    long = X.retail(spark, sf_dir, by_region=True, by_type=True)
+    long = X.retail(spark, sf_dir, by_region=True, features=X.BRAND_TYPE)
     return matrix.union_cohorts(
         [
             matrix.label_cohort(X.contrast_of(long), F.col("cohort")),
@@ -336,7 +336,7 @@ def samples_per_group(spark, sf_dir):
 
 def _collapsed(spark, sf_dir):
     """Dense log-CPM cells of fixture B with brand and type merged to the brand."""
-    long = X.retail(spark, sf_dir, by_type=True)
+    long = X.retail(spark, sf_dir, features=X.BRAND_TYPE)
     cells = normalize.log_cpm(settle(matrix.densify(long), "dense"))
     return normalize.collapse_versions(cells.select("feature_id", "sample_id", "group", "logcpm"))
 
@@ -402,7 +402,7 @@ def projection(spark, sf_dir):
 
 def reduced_cohorts(spark, sf_dir):
     """Fixture B through union, collapse, variable features, vectors and SVD."""
-    long = X.retail(spark, sf_dir, by_region=True, by_type=True).where("group <> 'other'")
+    long = X.retail(spark, sf_dir, by_region=True, features=X.BRAND_TYPE).where("group <> 'other'")
     dense = settle(matrix.densify(long), "dense")
     labelled = matrix.union_cohorts(
         [

@@ -3,7 +3,15 @@
 from pyspark.sql import functions as F
 
 from contrast import settings as S
-
+from contrast.functions.columns import layout_bucket
+
+LONG_SCHEMA = "`group` string, feature_id string, sample_id string, count long, cohort string"
+PROFILE_SCHEMA = (
+    "feature_id string, symbol string, symbol_key string, "
+    "efficacy struct<log2fc: double, fdr: double>, "
+    "safety struct<baseline_mean_logcpm: double>, "
+    "target_score double, verdict string, cohort string"
+)
 # Rows up to which a single-file export is allowed.
 SINGLE_FILE_ROWS = 1_000_000
 
@@ -19,25 +27,31 @@ def write_pairs(df, path):
 
 
 def read_long(spark, path, cohorts=None):
-    """Long table; a list of cohorts prunes the partitions to read."""
-    long = spark.read.parquet(path)
-    long = long.withColumn("cohort", F.col("cohort").cast("string"))
+    """Long table; a list of cohorts prunes the partitions to read.
+
+    The schema is given, so a cohort named like a number stays a string.
+    """
+    long = spark.read.schema(LONG_SCHEMA).parquet(path)
     return long if cohorts is None else long.where(F.col("cohort").isin(*cohorts))
 
 
-def write_long(long, path, partition_by=("cohort",)):
-    """Long table partitioned by cohort, rows of a feature together.
+def write_long(long, path, feature_buckets=None):
+    """Long table partitioned by cohort, and by feature bucket if asked for.
 
     The rebalance hint lets Spark split a hot cohort or feature into several files
     and merge small ones. Only the cohorts in ``long`` are replaced. Rows of a
     feature sit together, which keeps partial aggregation by feature small.
     """
+    parts = ["cohort"]
+    if feature_buckets:
+        long = long.withColumn("feature_bucket", layout_bucket("feature_id", feature_buckets))
+        parts.append("feature_bucket")
     (
-        long.hint("rebalance", *partition_by, "feature_id")
-        .sortWithinPartitions(*partition_by, "feature_id")
+        long.hint("rebalance", *parts, "feature_id")
+        .sortWithinPartitions(*parts, "feature_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
+        .partitionBy(*parts)
         .parquet(path)
     )
 
@@ -96,5 +110,4 @@ def write_profiles(documents, path, replace="cohorts"):
 
 
 def read_profiles(spark, path):
-    documents = spark.read.parquet(path)
-    return documents.withColumn("cohort", F.col("cohort").cast("string"))
+    return spark.read.schema(PROFILE_SCHEMA).parquet(path)

@@ -95,6 +95,15 @@ def test_write_long_replaces_only_its_cohorts(spark, tmp_path, long_of):
     assert "PartitionFilters: [isnotnull(cohort" in only._jdf.queryExecution().toString()
 
 
+def test_write_long_by_feature_bucket(spark, tmp_path, long_of):
+    path = str(tmp_path / "bucketed")
+    long = long_of({f"f{i}": {"s1": i} for i in range(9)}, {"s1": "case"}, "007")
+    tables.write_long(long, path, feature_buckets=4)
+    back = tables.read_long(spark, path, ["007"])
+    assert sorted(r["count"] for r in back.collect()) == list(range(9))
+    assert len(list((tmp_path / "bucketed" / "cohort=007").glob("feature_bucket=*"))) > 1
+
+
 def test_csv_round_trip_and_single_file_guard(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(1, 0.1), (2, None)], "a long, b double")
     path = str(tmp_path / "csv")
