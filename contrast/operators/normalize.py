@@ -77,23 +77,24 @@ def expressed_features(long, min_cpm=S.MIN_CPM, min_fraction=S.MIN_FRACTION):
     )
 
 
-def collapse_versions(cells, value="logcpm"):
+def collapse_versions(cells, value="logcpm", implicit_zeros=False):
     """Strip the version of every feature id and average the ids that then collide.
 
     Only ids that share a stripped form are grouped. All other cells pass straight
-    through, so the table as a whole is not shuffled. ``cells`` holds every cell of
-    the matrix; use ``densify`` first on a sparse table.
+    through, so the table as a whole is not shuffled. With ``implicit_zeros`` an id
+    without a cell enters the average as 0.
     """
     labels = [name for name in cells.columns if name not in ("feature_id", value)]
     bases = cells.select("feature_id").distinct().withColumn("_base", C.strip_version("feature_id"))
     bases = settle(bases, "bases")
-    sharing = bases.groupBy("_base").agg((F.count("*") > 1).alias("_shared"))
+    sharing = bases.groupBy("_base").agg(F.count("*").alias("_ids"))
     named = settle(bases.join(sharing, "_base"), "named")
+    mean = F.try_divide(F.sum(value), F.col("_ids")) if implicit_zeros else F.avg(value)
     columns = [F.col("_base").alias("feature_id"), *labels, value]
-    single = join_side(cells, named.where("not _shared").drop("_shared"), ["feature_id"])
+    single = join_side(cells, named.where("_ids = 1").drop("_ids"), ["feature_id"])
     merged = (
-        join_side(cells, named.where("_shared").drop("_shared"), ["feature_id"])
-        .groupBy("_base", *labels)
-        .agg(F.avg(value).alias(value))
+        join_side(cells, named.where("_ids > 1"), ["feature_id"])
+        .groupBy("_base", "_ids", *labels)
+        .agg(mean.alias(value))
     )
     return single.select(*columns).unionByName(merged.select(*columns))

@@ -683,7 +683,14 @@ ORACLES = {
           {_r('(v - avg(v) OVER w) / stddev_samp(v) OVER w', 'z')}
         FROM vec WINDOW w AS (PARTITION BY pos)""",
     ),
-    "svd_scores_norm": "SELECT i AS component, 1.0::DOUBLE AS norm FROM range(50) t(i)",
+    "svd_scores_norm": """SELECT unnest(range(least(50, max(len(embedding))))) AS component,
+      1.0::DOUBLE AS norm FROM embeddings""",
+    "svd_row_energy": _query(
+        VECTORS,
+        f"""SELECT sample_id, {_r('sum(z * z)', 'energy')} FROM (
+          SELECT sample_id, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z
+          FROM vec WINDOW w AS (PARTITION BY pos)) GROUP BY sample_id""",
+    ),
     "train_test_split": """SELECT sample_id,
       CASE WHEN CAST('0x' || substr(md5('42:' || sample_id), 1, 8) AS BIGINT) % 10000 < 7000
         THEN 'train' ELSE 'test' END AS part

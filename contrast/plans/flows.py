@@ -76,19 +76,25 @@ def labelled_union(long, baseline):
     )
 
 
-def feature_vectors(labelled, n_features=S.TOP_FEATURES):
-    """Vectors of the most variable features, those features, and the sample labels."""
-    labels = ["sample_id", "group_label", "domain", "is_case"]
-    cells = normalize.log_cpm(labelled).select("feature_id", *labels, "logcpm")
-    cells = normalize.collapse_versions(cells)
-    features = matrix.top_variable(cells, n_features)
-    vectors = matrix.wide_vectors(cells, features, features.count())
-    return vectors, features, settle(labelled.select(*labels).distinct(), "labels")
-
-
-def reduce_cohorts(labelled, n_features=S.TOP_FEATURES, k=S.SVD_COMPONENTS):
+def feature_vectors(labelled, n_features=S.TOP_FEATURES, implicit_zeros=False):
+    """Vectors of the most variable features, those features, and the sample labels.
+
+    With ``implicit_zeros`` the table is sparse and a missing cell is a count of 0.
+    """
+    names = ["sample_id", "group_label", "domain", "is_case"]
+    labels = settle(labelled.select(*names).distinct(), "labels")
+    cells = normalize.log_cpm(labelled).select("feature_id", *names, "logcpm")
+    cells = normalize.collapse_versions(cells, implicit_zeros=implicit_zeros)
+    n_samples = labels.count() if implicit_zeros else None
+    features = matrix.top_variable(cells, n_features, n_samples=n_samples)
+    return matrix.wide_vectors(cells, features, features.count()), features, labels
+
+
+def reduce_cohorts(
+    labelled, n_features=S.TOP_FEATURES, k=S.SVD_COMPONENTS, implicit_zeros=False
+):
     """Truncated SVD of the sample by feature matrix, with the labels of each sample."""
-    vectors, _, labels = feature_vectors(labelled, n_features)
+    vectors, _, labels = feature_vectors(labelled, n_features, implicit_zeros)
     reduced, sigma = matrix.svd_features(vectors, k)
     return reduced.join(labels, "sample_id"), sigma, labels
 

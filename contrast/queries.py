@@ -396,6 +396,17 @@ def svd_scores_norm(spark, sf_dir):
     return shown(norms)
 
 
+def svd_row_energy(spark, sf_dir):
+    """With all components, the scaled scores of a sample have the length of its row."""
+    cells = X.vectors(spark, sf_dir)
+    vectors = matrix.wide_vectors(cells, X.vector_positions(cells), n=64, value="value")
+    reduced, sigma = matrix.svd_features(vectors, 64)
+    scales = F.array(*(F.lit(value) for value in sigma))
+    scaled = F.zip_with("svd", scales, lambda u, s: u * u * s * s)
+    energy = F.aggregate(scaled, F.lit(0.0), lambda left, right: left + right)
+    return shown(reduced.select("sample_id", energy.alias("energy")))
+
+
 def projection(spark, sf_dir):
     return matrix.projection(_reduced(spark, sf_dir), 0, 2)
 
@@ -403,14 +414,8 @@ def projection(spark, sf_dir):
 def reduced_cohorts(spark, sf_dir):
     """Fixture B through union, collapse, variable features, vectors and SVD."""
     long = X.retail(spark, sf_dir, by_region=True, features=X.BRAND_TYPE).where("group <> 'other'")
-    dense = settle(matrix.densify(long), "dense")
-    labelled = matrix.union_cohorts(
-        [
-            matrix.label_cohort(X.contrast_of(dense), F.col("cohort")),
-            matrix.label_cohort(X.baseline_of(dense), F.col("cohort"), control_only=True),
-        ]
-    )
-    reduced, _, _ = flows.reduce_cohorts(labelled, n_features=20, k=10)
+    labelled = flows.labelled_union(X.contrast_of(long), X.baseline_of(long))
+    reduced, _, _ = flows.reduce_cohorts(labelled, n_features=20, k=10, implicit_zeros=True)
     return matrix.flatten_components(reduced, 10)
 
 
@@ -522,6 +527,7 @@ QUERIES = {
         standardize_long,
         svd_features,
         svd_scores_norm,
+        svd_row_energy,
         projection,
         reduced_cohorts,
         train_test_split,

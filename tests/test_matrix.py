@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from contrast.functions.columns import fill_slots
 from contrast.operators import matrix, normalize
+from contrast.plans import flows
 
 
 @pytest.fixture
@@ -119,6 +120,28 @@ def test_version_collisions_are_averaged_in_log_space(spark):
     assert got == {("X", "s1"): 3.0, ("X", "s2"): 1.0, ("Y", "s1"): 7.0, ("Z", "s1"): 8.0}
 
 
+def test_sparse_vectors_equal_dense_vectors(long_of):
+    rng = np.random.default_rng(9)
+    groups = {f"s{i}": "case" if i % 2 else "control" for i in range(12)}
+    names = ["A.1", "A.2", "B.1", "C", "D.1", "D.2", "D.3"]
+    counts = {f: {s: int(rng.poisson(2)) for s in groups} for f in names}
+    sparse = {f: {s: c for s, c in cells.items() if c} for f, cells in counts.items()}
+
+    def vectors(table, implicit_zeros):
+        labelled = matrix.label_cohort(long_of(table, groups), "LUNG")
+        rows, features, _ = flows.feature_vectors(labelled, 3, implicit_zeros)
+        order = [r.feature_id for r in features.orderBy("pos").collect()]
+        values = rows.select("sample_id", vector_to_array("features").alias("v"))
+        return order, {r.sample_id: r.v for r in values.collect()}
+
+    order, dense = vectors(counts, False)
+    assert set(order) <= {"A", "B", "C", "D"}
+    other, thin = vectors(sparse, True)
+    assert order == other and dense.keys() == thin.keys()
+    for sample in dense:
+        assert thin[sample] == pytest.approx(dense[sample])
+
+
 def test_union_labels(long_of):
     groups = {"s1": "case", "s2": "control"}
     long = long_of({"f": {"s1": 1, "s2": 2}}, groups)

@@ -49,6 +49,14 @@ def test_entry_returns_rows(spark):
     assert frame.count() > 0
 
 
+@pytest.mark.parametrize("name", ["diff_by_cohort", "log_cpm", "quadrant", "subsample_diff"])
+def test_plans_have_no_cross_join_and_no_single_task(spark, capsys, name):
+    registry.queries()[name](spark, SF_DIR).explain()
+    plan = capsys.readouterr().out
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+        assert bad not in plan
+
+
 def test_every_query_has_an_oracle_or_is_a_model():
     without = set(registry.queries()) - set(registry.oracle_sql())
     assert without <= {"svd_features", "projection", "rf_reduced", "rf_importance", "reduced_cohorts"}
