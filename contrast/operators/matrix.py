@@ -159,11 +159,12 @@ def top_variable(cells, n=S.TOP_FEATURES, value="logcpm", n_samples=None):
     )
 
 
-def wide_vectors(cells, features, n, value="logcpm"):
+def wide_vectors(cells, features, n, value="logcpm", samples=None):
     """One dense vector of ``n`` features per sample; gaps are 0.0.
 
     ``features`` gives each feature its position. It is bounded by ``n``, and so
-    is the array collected per sample; no wide pivot takes place.
+    is the array collected per sample; no wide pivot takes place. ``samples`` lists
+    the samples of a sparse table, as one of them may have none of the features.
     """
     kept = join_side(
         cells.select("sample_id", "feature_id", F.col(value).alias("value")),
@@ -173,6 +174,8 @@ def wide_vectors(cells, features, n, value="logcpm"):
     rows = kept.groupBy("sample_id").agg(
         F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("cells")
     )
+    if samples is not None:
+        rows = samples.select("sample_id").join(rows, "sample_id", "left")
     values = fill_slots(F.col("cells"), n, 0.0)
     return rows.select("sample_id", array_to_vector(values).alias("features"))
 

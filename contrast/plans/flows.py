@@ -87,7 +87,9 @@ def feature_vectors(labelled, n_features=S.TOP_FEATURES, implicit_zeros=False):
     cells = normalize.collapse_versions(cells, implicit_zeros=implicit_zeros)
     n_samples = labels.count() if implicit_zeros else None
     features = matrix.top_variable(cells, n_features, n_samples=n_samples)
-    return matrix.wide_vectors(cells, features, features.count()), features, labels
+    everyone = labels if implicit_zeros else None
+    vectors = matrix.wide_vectors(cells, features, features.count(), samples=everyone)
+    return vectors, features, labels
 
 
 def reduce_cohorts(
