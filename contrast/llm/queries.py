@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table."""
 
-from contrast.llm import secrets, simhash
+from contrast.llm import bpe, fingerprint, secrets, simhash
 from contrast.llm.common import importable, read
 
 
@@ -15,4 +15,6 @@ def _over(table, operator):
 QUERIES = {
     "op1_secrets": _over("documents", secrets.secret_report),
     "op2_simhash": _over("documents", simhash.simhash_report),
+    "op3_fingerprints": _over("documents", fingerprint.fingerprint_report),
+    "op6_byte_bpe": _over("documents", bpe.bpe_report),
 }
