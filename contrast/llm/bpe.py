@@ -187,3 +187,32 @@ def bpe_report(docs, path=None):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
+
+
+def encoded_documents(docs, path=None):
+    """``doc_id``, ``n_tokens``, ``ids``, ``exact`` (the ids decode to the text) of every row.
+
+    Repeated rows are encoded each.
+    """
+
+    def run(batches):
+        coder = load(path, None)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                texts = part.column(1).to_pylist()
+                ids = [coder.packed(text) for text in texts]
+                exact = [
+                    coder.decode(own) == text.encode() for own, text in zip(ids, texts, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(own) // 4 for own in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                        pa.array(exact),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "exact"],
+                )
+
+    return whole_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, exact boolean")

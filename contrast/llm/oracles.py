@@ -1,3 +1,67 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-ORACLES = {}
+# The mixing query: the same bisection as a recursive table, then running sums over the
+# permutation of each source's last pass.
+MIXING = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, '=' || source AS named,
+         greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS tokens,
+         md5(coalesce(text, '')) AS text_md5
+  FROM documents
+), s AS (
+  SELECT coalesce(named, '-') AS key, any_value(source) AS source, sum(tokens)::BIGINT AS tokens
+  FROM d GROUP BY 1
+), l AS (
+  SELECT list(tokens::DOUBLE ORDER BY tokens) AS t, sum(tokens)::DOUBLE AS total,
+         max(tokens)::DOUBLE AS most, min(tokens)::DOUBLE AS least, count(*)::DOUBLE AS n FROM s
+), e(i, low, high) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN m ELSE low END, CASE WHEN ok THEN high ELSE m END
+  FROM (
+    SELECT i, low, high, m, ln(list_sum(x)) - list_sum(list_transform(x, lambda v: v * ln(v))) / list_sum(x)
+           >= 0.95 * ln(n) AS ok
+    FROM (SELECT e.*, (low + high) / 2 AS m, n, list_transform(t, lambda v: pow(v / total, (low + high) / 2)) AS x
+          FROM e, l WHERE i < 20)
+  )
+), r(i, low, high) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN m ELSE low END, CASE WHEN ok THEN high ELSE m END
+  FROM (SELECT i, low, high, (low + high) / 2 AS m,
+               pow(least / most, (1 - (low + high) / 2) - 1) <= 1.5 AS ok
+        FROM r, l WHERE i < 20)
+), a AS (
+  SELECT greatest(
+    CASE WHEN ln(1) + ln(n) * 0 + (ln(list_sum(list_transform(t, lambda v: v / total)))
+         - list_sum(list_transform(t, lambda v: v / total * ln(v / total)))) >= 0.95 * ln(n)
+         THEN 1 ELSE (SELECT max(low) FROM e WHERE i = 20) END,
+    1 - CASE WHEN pow(least / most, -1) <= 1.5 THEN 1 ELSE (SELECT max(low) FROM r WHERE i = 20) END
+  )::DOUBLE AS exponent FROM l
+), f AS (
+  SELECT exponent, total, most, list_sum(list_transform(t, lambda v: pow(v / total, exponent))) AS norm FROM l, a
+), w AS (
+  SELECT key, tokens,
+         round(pow(tokens / total, exponent) / norm * (most / (pow(most / total, exponent) / norm)))::BIGINT AS target
+  FROM s, f
+), p AS (
+  SELECT d.*, coalesce(named, '-') AS key, target // w.tokens AS whole, target % w.tokens AS rest,
+         ('0x' || md5(concat_ws(':', '11', target // w.tokens, coalesce(doc_id::VARCHAR, '-'), text_md5))[1:12])::BIGINT
+           AS last_place
+  FROM d JOIN w ON coalesce(d.named, '-') = w.key
+), u AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY key ORDER BY last_place, doc_id, text_md5
+                              ROWS UNBOUNDED PRECEDING) AS upto FROM p
+), x AS (
+  SELECT *, min(CASE WHEN upto <= rest THEN 1 ELSE 0 END) OVER (PARTITION BY key, doc_id, text_md5) AS fits FROM u
+), n AS (
+  SELECT doc_id, source, key, text_md5, unnest(range(whole + fits)) AS pass FROM x
+), o AS (
+  SELECT doc_id, source, pass,
+         ('0x' || md5(concat_ws(':', '11', pass, coalesce(doc_id::VARCHAR, '-'), text_md5))[1:12])::BIGINT AS place
+  FROM n
+)
+SELECT doc_id, source, pass, place >> 36 AS block, place FROM o
+"""
+
+ORACLES = {"op8_mixing": MIXING}
