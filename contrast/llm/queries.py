@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table."""
 
-from contrast.llm import bpe, fingerprint, mixing, quality, secrets, simhash
+from contrast.llm import bpe, fingerprint, mixing, quality, secrets, simhash, toxicity
 from contrast.llm.common import importable, read
 
 
@@ -17,11 +17,17 @@ def _quality(spark, sf_dir):
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _toxicity(spark, sf_dir):
+    importable(spark)
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secrets": _over("documents", secrets.secret_report),
     "op2_simhash": _over("documents", simhash.simhash_report),
     "op3_fingerprints": _over("documents", fingerprint.fingerprint_report),
     "op4_quality": _quality,
     "op6_byte_bpe": _over("documents", bpe.bpe_report),
+    "op7_toxicity": _toxicity,
     "op8_mixing": _over("documents", mixing.mix_report),
 }
