@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table."""
 
-from contrast.llm import bpe, fingerprint, mixing, quality, repair, secrets, simhash, toxicity
+from contrast.llm import bpe, fingerprint, mixing, quality, repair, rotation, secrets, simhash, toxicity
 from contrast.llm.common import importable, read
 
 
@@ -30,5 +30,6 @@ QUERIES = {
     "op6_byte_bpe": _over("documents", bpe.bpe_report),
     "op7_toxicity": _toxicity,
     "op8_mixing": _over("documents", mixing.mix_report),
+    "op9_rotation_codes": _over("embeddings", rotation.vector_groups),
     "op10_repair": _over("documents", repair.repair_report),
 }
