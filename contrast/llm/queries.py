@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table."""
 
-from contrast.llm import bpe, fingerprint, mixing, quality, repair, rotation, secrets, simhash, toxicity
+from contrast.llm import bpe, fingerprint, mixing, quality, repair, rotation, secrets, simhash, suffix, toxicity
 from contrast.llm.common import importable, read
 
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op2_simhash": _over("documents", simhash.simhash_report),
     "op3_fingerprints": _over("documents", fingerprint.fingerprint_report),
     "op4_quality": _quality,
+    "op5_suffixes": _over("documents", suffix.repeats_report),
     "op6_byte_bpe": _over("documents", bpe.bpe_report),
     "op7_toxicity": _toxicity,
     "op8_mixing": _over("documents", mixing.mix_report),
