@@ -256,9 +256,9 @@ def keep_good(docs, labels, temperature=TEMPERATURE):
     gone = (
         resample(docs, labels, temperature)
         .where("not kept")
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
         .distinct()
     )
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = (text == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = (text == gone["gone_hash"]) & docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"])
     return docs.join(gone, same, "left_anti")

@@ -188,9 +188,9 @@ def _entropies(text, kind, pattern, alphabet, bits):
     return F.flatten(F.transform(F.filter(_located(text, pattern), suspicious), spans))
 
 
-def find_secrets(docs, text="text"):
-    """``docs`` with ``secrets``: an array of (start, rank of the kind, end), sorted."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def secrets_in(text):
+    """Array of (start, rank of the kind, end), sorted, of a text column."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
     found = [
         _where(F.rlike(t, F.lit(ASSIGN)), _assignments(t)),
         _where(F.contains(t, F.lit("AKIA")), _runs(t, "access", ACCESS_LONG)),
@@ -198,7 +198,7 @@ def find_secrets(docs, text="text"):
     ]
     candidates = F.rlike(t, F.lit(CLASSES[-1][1]))
     found += [_where(candidates, _entropies(t, *rest)) for rest in CLASSES]
-    return docs.withColumn("secrets", F.array_sort(F.concat(*found)))
+    return F.array_sort(F.concat(*found))
 
 
 def _joined(spans):
@@ -223,7 +223,7 @@ def secret_report(docs):
 
     base = F.filter("secrets", lambda s: s["rank"] < len(LEAST))
     entropy = F.filter("secrets", lambda s: s["rank"] >= len(LEAST))
-    return find_secrets(whole_texts(docs)).select(
+    return whole_texts(docs).withColumn("secrets", secrets_in(F.col("text"))).select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
@@ -234,32 +234,39 @@ def secret_report(docs):
     )
 
 
-def redact(docs, mask="[SECRET]"):
-    """``docs`` with every secret in ``text`` replaced by ``mask``; no row goes.
-
-    Overlapping spans are masked once. ``n_chars`` follows the new text. A null text
-    stays null.
-    """
-    spans = F.col("secrets")
+def masked(text, spans, mask):
+    """A text with its spans replaced by ``mask``; overlapping spans are masked once."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["end"] <= acc["at"], acc["out"])
-            .when(s["start"] < acc["at"], acc["out"])
+            F.when(s["start"] < acc["at"], acc["out"])
             .otherwise(F.concat(acc["out"], gap, F.lit(mask)))
             .alias("out"),
         )
 
-    masked = F.aggregate(
-        spans, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))
+    return F.aggregate(
+        spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
     )
+
+
+def redact(docs, mask="[SECRET]"):
+    """``docs`` with every secret in ``text`` replaced by ``mask``; no row goes.
+
+    ``n_chars`` follows the new text where there is a secret. A null text stays null.
+    """
     columns = docs.columns
-    done = find_secrets(docs).withColumn(
-        "text", F.when(F.col("text").isNull() | (F.size(spans) == 0), F.col("text")).otherwise(masked)
+    # Columns of the table stay in one, so that none has the name of a helper.
+    found = docs.select(F.struct(*[docs[c] for c in columns]).alias("row")).withColumn(
+        "secrets", secrets_in(F.col("row.text"))
     )
+    text = F.col("row.text").cast("string")
+    some = F.size("secrets") > 0
+    new = F.when(some, masked(text, F.col("secrets"), mask)).otherwise(text)
+    changed = {"text": new}
     if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.char_length("text").cast("long"))
-    return done.select(*columns)
+        length = F.char_length(new).cast("long")
+        changed["n_chars"] = F.when(some, length).otherwise(F.col("row.n_chars"))
+    return found.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
