@@ -32,12 +32,13 @@ Null texts count as empty and have the end id only. Documents without an id come
 rows that share an id are in the order of their ids' bytes. An empty table has no blocks.
 """
 
-import zlib
+from array import array
 from functools import lru_cache
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ RULES = 4096
 SYMBOLS = 1 << 16
 MEMO = 700_000
 BATCH = 256
+TEXTS = 4096
 
 BLOCK_SCHEMA = (
     "shard int, block int, base int, rules binary, lengths binary, symbols binary, "
@@ -93,44 +95,62 @@ class WordIds(dict):
         return zip(letter.encode(), level.pre_tokenize_str(letter)[0][0], strict=True)
 
     def encode(self, text):
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merge(self, letters):
-        seen = letters.lower().encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(seen)], "<u2").tobytes()
+        seen = letters.lower()
+        if not seen.isascii():
+            seen = seen.encode().decode("latin-1").translate(self.visible)
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
 
     def __missing__(self, word):
         core = word.rstrip(punctuation)
-        if core != word and _plain(core):
-            # Letters and the marks behind them are parted anyway; not worth a place.
-            return self[core] + self[word[len(core) :]]
+        last = core[-1:]
+        if len(core) < len(word) and last.isalpha() and last <= "ÿ" and ">" not in word:
+            # Marks behind a letter are parted anyway, so they are not worth a place.
+            packed = self.get(core) or (self[core] if _plain(core) else None)
+            if packed:
+                return packed + self[word[len(core) :]]
         if len(self) >= self.limit:
             self.clear()
             self[""] = b""
         packed = self[word] = self.merge(word) if _plain(word) else self.encode(word)
         return packed
 
-    def packed(self, text):
-        """Ids of a text and the end id, as little-endian unsigned 16-bit integers."""
-        # Letter case is dropped; this can be done at once where no special token may be.
-        if "<|" not in text and _latin(text):
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self.__getitem__, words)) + END.to_bytes(2, "little")
+    def packed(self, texts):
+        """Ids and the end id of each text, as little-endian unsigned 16-bit integers.
+
+        The words of all texts are numbered by Arrow, so that each different word is
+        looked up once and its ids are laid out by its number.
+        """
+        texts = pa.array(texts, pa.string())
+        # Letter case is dropped; this can be done at once where every letter has one
+        # lower-case letter and no special token may be.
+        odd = pc.match_substring_regex(texts, r"[^\x{00}-\x{FF}]|<\|")
+        texts = pc.if_else(odd, texts, pc.utf8_lower(texts))
+        parted = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = parted.flatten().dictionary_encode()
+        packed = [self[word] for word in words.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(packed), "<u2")
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        at = np.cumsum(size) - size
+        number = words.indices.to_numpy()
+        n = size[number]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(at[number] - (ends - n), n) + np.arange(total)]
+        cuts = np.concatenate(([0], ends))[parted.offsets.to_numpy()].tolist()
+        end = END.to_bytes(2, "little")
+        return [ids[x:y].tobytes() + end for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
-def _latin(text):
-    """Latin-1 only: one lower-case letter each, and no accents to compose."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+# Letters of Latin-1 that have another class or form than the others.
+_ORDINALS = {"ª", "º", "µ"}
 
 
 def _plain(word):
-    return word.isalpha() and (word.isascii() or all("À" <= c <= "ÿ" or c < "\u0080" for c in word))
+    """Letters of Latin-1: one lower-case letter each, and no accents to compose."""
+    return word.isalpha() and (word.isascii() or (max(word) <= "ÿ" and not _ORDINALS & set(word)))
 
 
 @lru_cache(2)
@@ -146,12 +166,10 @@ def encode(docs, path=None):
     def run(batches):
         ids = word_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                packed = [ids.packed(text) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"]
-                )
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                packed = pa.array(ids.packed(part.column(1)), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["doc_id", "ids"])
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -190,9 +208,8 @@ def _ranks(keys, chosen):
     return rank
 
 
-def _replace(symbols, chosen):
+def _replace(keys, chosen):
     """(positions, ranks) of pairs to replace; no two overlap."""
-    keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
     rank = _ranks(keys, chosen)
     at = np.flatnonzero(rank < len(chosen))
     if not len(at):
@@ -226,7 +243,7 @@ def compress(ids, base, rounds=ROUNDS, least=LEAST):
         chosen = _frequent(keys, least, room)
         if not len(chosen):
             break
-        at, rank = _replace(symbols, chosen)
+        at, rank = _replace(keys, chosen)
         used = np.bincount(rank, minlength=len(chosen))
         good = used >= least
         if not good.any():
@@ -282,7 +299,7 @@ class Block:
     def decode(self, start=0, stop=None):
         """Ids ``start`` to ``stop`` (exclusive) of the block."""
         total = int(self.ends[-1]) if len(self.ends) else 0
-        stop = total if stop is None else min(stop, total)
+        start, stop = max(start, 0), total if stop is None else min(stop, total)
         if start >= stop:
             return np.zeros(0, np.uint16)
         first = int(np.searchsorted(self.ends, start, "right"))

@@ -27,10 +27,11 @@ def test_words_equal_the_library(library):
     parts = ["a", "The", "ing", " ", "  ", "\n", "é", "É", "ß", "😀", "1", "'s", "!!", "***", "ña", "\t", ".", ",", "…",
              "́", "İ", "ﬁ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\xa0", "µ", "ª", "don't", "¿"]
     words = R.word_ids()
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
-        ids = np.frombuffer(words.packed(text), "<u2").tolist()
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for text, packed in zip(texts, words.packed(texts), strict=True):
+        ids = np.frombuffer(packed, "<u2").tolist()
         assert ids == [*library.encode(text, add_special_tokens=False).ids, R.END]
+    assert words.packed([]) == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 40, 5000, 60_000])
