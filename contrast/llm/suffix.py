@@ -8,7 +8,7 @@ position at equal distance from their starts; the ranks of sampled suffixes then
 ties. A cover by residues samples about a fifth of all positions. Here the cover goes by
 content: of the grams in every string of ``MATCH`` bytes the one of least hash is
 sampled (the first, if it repeats). Equal strings sample the same place, so the
-property holds, with about one position in eighteen. Each string belongs to exactly one sampled position, and the strings of a
+property holds, with about one position in sixteen. Each string belongs to exactly one sampled position, and the strings of a
 position are a run of neighbouring starts: its context is what they cover together.
 
 1. The sampled suffixes are dealt to buckets by their gram and sorted one bucket at a
@@ -32,17 +32,19 @@ overlap, so no string is lost at a seam.
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from contrast.llm.common import settle, whole_texts
 
 MATCH = 50
-GRAM = 16
+GRAM = 20
 WIDTH = MATCH - GRAM + 1
 PIECE = 1 << 20
 RECORDS = 1 << 20
 PLACES = np.uint64((1 << 24) - 1)
-SPREAD = 8
+# Buckets and text groups for each shuffle partition.
+BUCKETS, GROUPS = 8, 4
 _NO_ID = -(1 << 63)
 
 _STEP = 0x9E3779B97F4A7C15
@@ -186,10 +188,13 @@ def _group_of(ids, n):
     return (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-_SUFFIX = (np.uint64, np.uint32, np.int64, np.uint16, np.uint32)
+# Of a gram 40 bits are sent besides its bucket: grams that agree in these are told apart
+# by their contexts.
+_SUFFIX = (np.uint32, np.uint8, np.uint32, np.int64, np.uint16, np.uint32)
 _ANSWER = (np.int64, np.uint16, np.uint32, np.uint8)
 _RUNS = (np.int64, np.uint16, np.uint32, np.uint32)
 _EDGE = (np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)
+_TEXT = (np.int64, np.uint16, np.int64)
 RESOLVED, OPEN = 1, 2
 
 
@@ -235,8 +240,9 @@ def suffix_records(docs, buckets, groups):
                 own = keep[rows]
                 kinds.append(0)
                 parts.append(b)
+                low, high = (gram[own] >> np.uint64(24)).astype(np.uint32), (gram[own] >> np.uint64(56)).astype(np.uint8)
                 loads.append(
-                    _pack(gram[own], context[own].astype(np.uint32), ids[own], mark[own], at[own])
+                    _pack(low, high, context[own].astype(np.uint32), ids[own], mark[own], at[own])
                 )
             return pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(loads, pa.binary())],
@@ -329,9 +335,10 @@ def rank_buckets(records, groups):
             if kind == 1:
                 yield _group_batch([part] * len(payloads), payloads)
                 return
-            gram, context, ids, mark, at = (
+            first, second, context, ids, mark, at = (
                 np.concatenate(c) for c in zip(*(_unpack(p, *_SUFFIX) for p in payloads), strict=True)
             )
+            gram = second.astype(np.uint64) << np.uint64(32) | first
             low, by_gram = _least_by((gram,), ids)
             high = -_least_by((gram,), -ids)[0]
             least, by_context = _least_by((gram, context), ids)
@@ -383,19 +390,43 @@ def _merged(start, end):
 
 
 def _grouped_texts(docs, groups):
-    # The group number is the one that _group_of gives, as a column.
+    """``part``, ``payload``: the texts of a part of the input by text group, compressed.
+
+    Texts are shuffled twice, so they are packed together and compressed before.
+    """
+
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids = batch.column(0)
-            numbers = _group_of(ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False), groups)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int32()), ids, batch.column(1), batch.column(2)],
-                names=["part", "doc_id", "raw", "mark"],
-            )
-
-    return _raw(docs).select("doc_id", "raw", "mark").mapInArrow(
-        run, "part int, doc_id long, raw binary, mark int"
-    )
+            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint16)
+            parts, loads = [], []
+            for part, rows in _grouped(_group_of(ids, groups), groups):
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+                lengths = np.array([len(t) for t in texts], np.int64)
+                head = len(rows).to_bytes(4, "little") + _pack(ids[rows], marks[rows], lengths)
+                parts.append(part)
+                loads.append(pack.compress(head + b"".join(texts)))
+            yield _group_batch(parts, loads)
+
+    return _raw(docs).select("doc_id", "raw", "mark").mapInArrow(run, "part int, payload binary")
+
+
+def _texts_of(column):
+    """(ids, marks, texts) of a group's payloads; None for a row without an id."""
+    unpack = zstandard.ZstdDecompressor()
+    ids, marks, texts = [], [], []
+    for payload in column.to_pylist():
+        raw = unpack.decompress(payload)
+        n = int.from_bytes(raw[:4], "little")
+        at = 4 + n * sum(np.dtype(t).itemsize for t in _TEXT)
+        own, mark, lengths = _unpack(raw[4:at], *_TEXT)
+        ids += [None if i == _NO_ID else i for i in own.tolist()]
+        marks += mark.tolist()
+        for length in lengths.tolist():
+            texts.append(raw[at : at + length])
+            at += length
+    return ids, marks, texts
 
 
 def edges(docs, answers, buckets, groups):
@@ -407,9 +438,7 @@ def edges(docs, answers, buckets, groups):
 
     def run(left, right):
         data, where = _keyed(right["payload"], _ANSWER)
-        ids = left["doc_id"].to_pylist()
-        marks = left["mark"].to_pylist()
-        texts = left["raw"].to_pylist()
+        ids, marks, texts = _texts_of(left["payload"])
         known = [i for i, key in enumerate(zip(ids, marks, strict=True)) if key in where]
         runs, open_ = [], []
         row, at, first, count, gram, _ = (
@@ -510,7 +539,7 @@ def rank_edges(contexts, groups):
 def removed_runs(docs):
     """``part``, ``payload`` (``_RUNS``): removed runs by text group, and the group count."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = groups = SPREAD * width
+    buckets, groups = BUCKETS * width, GROUPS * width
     records = _by_part(suffix_records(docs, buckets, groups), width)
     answers = rank_buckets(records, groups)
     found = settle(edges(docs, answers, buckets, groups), "edges")
@@ -525,8 +554,8 @@ def remove_repeats(docs):
     def run(left, right):
         data, where = _keyed(right["payload"], _RUNS)
         kept, removed, spans = [], [], []
-        texts = left["raw"].to_pylist()
-        for doc, mark, text in zip(left["doc_id"].to_pylist(), left["mark"].to_pylist(), texts, strict=True):
+        ids, marks, texts = _texts_of(left["payload"])
+        for doc, mark, text in zip(ids, marks, texts, strict=True):
             a, b = where.get((doc, mark), (0, 0))
             start, end = _merged(data[2][a:b].astype(np.int64), data[3][a:b].astype(np.int64))
             removed.append(int((end - start).sum()))
@@ -535,7 +564,7 @@ def remove_repeats(docs):
             kept.append(b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
         return pa.table(
             [
-                left["doc_id"],
+                pa.array(ids, pa.int64()),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array(kept, pa.binary()),
                 pa.array(removed, pa.int64()),
