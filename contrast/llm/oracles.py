@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from contrast.llm import secrets
+
 # The mixing query: the same bisection as a recursive table, then running sums over the
 # permutation of each source's last pass.
 MIXING = r"""
@@ -64,4 +66,90 @@ WITH RECURSIVE d AS (
 SELECT doc_id, source, pass, place >> 36 AS block, place FROM o
 """
 
-ORACLES = {"op8_mixing": MIXING}
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _hits(pattern):
+    """Rows (doc, start, hit, value) of the hits of a pattern, laid between the pieces."""
+    group = ", 2" if pattern == secrets.ASSIGN else ""
+    p = _quoted(pattern)
+    return f"""
+    SELECT doc, n, hit, value,
+      coalesce(list_sum([length(x) FOR x IN pieces[1:n]]), 0)
+      + coalesce(list_sum([length(x) FOR x IN hits[1:n - 1]]), 0) AS start
+    FROM (
+      SELECT doc, unnest(range(1, len(hits) + 1)) AS n, unnest(hits) AS hit, unnest(vals) AS value, pieces, hits
+      FROM (SELECT doc, string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}) AS hits,
+                   regexp_extract_all(t, {p}{group}) AS vals FROM d)
+    )"""
+
+
+def _secrets():
+    """Spans by pattern, and windows counted from scratch, joined where they touch."""
+    spans = []
+    for rank, (kind, pattern) in enumerate(
+        (("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX))
+    ):
+        long = f"length({'value' if kind == 'assign' else 'hit'}) >= {secrets.LEAST[kind]}"
+        spans.append(
+            f"SELECT doc, {rank} AS rank, start, start + length(hit) AS stop FROM ({_hits(pattern)}) WHERE {long}"
+        )
+    window, bits = secrets.WINDOW, secrets.micro_bits()
+    calm = " OR ".join(f"regexp_matches(hit, {_quoted(a)})" for a in secrets.ALLOWED)
+    for rank, (kind, pattern, _, least) in enumerate(secrets.CLASSES, len(secrets.LEAST)):
+        word = "lower(hit)" if kind == "entropy_hex" else "hit"
+        spans.append(f"""
+        SELECT doc, {rank} AS rank, min(start + i) AS start, max(start + i) + {window} AS stop FROM (
+          SELECT doc, n, start, i, sum(fresh) OVER (PARTITION BY doc, n ORDER BY i) AS island FROM (
+            SELECT doc, n, start, i,
+              CASE WHEN i - lag(i) OVER (PARTITION BY doc, n ORDER BY i) <= {window} THEN 0 ELSE 1 END AS fresh
+            FROM (
+              SELECT doc, n, start, i, substr(word, i + 1, {window}) AS part FROM (
+                SELECT doc, n, start, {word} AS word, unnest(range(0, length(hit) - {window - 1})) AS i
+                FROM ({_hits(pattern)}) WHERE NOT ({calm})))
+            WHERE list_sum([{bits}[length(part) - length(replace(part, c, '')) + 1]
+                            FOR c IN list_distinct(string_split(part, ''))]) <= {secrets.micro_limit(least)}))
+        GROUP BY doc, n, island""")
+    kinds = "[" + ", ".join(_quoted(kind) for kind in secrets.KINDS) + "]"
+    text = f"{kinds}[rank + 1] || ':' || start || ':' || stop"
+    order = "ORDER BY start, rank, stop"
+    count = ",\n".join(
+        f"count(*) FILTER (rank = {i}) AS n_{kind}" for i, kind in enumerate(secrets.LEAST)
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents),
+    s AS ({" UNION ALL ".join(spans)})
+    SELECT any_value(doc_id) AS doc_id, {count},
+      sha256(coalesce(string_agg({text}, ',' {order}) FILTER (rank < {len(secrets.LEAST)}), '')) AS base_sha256,
+      coalesce(string_agg({text}, ',' {order}) FILTER (rank IS NOT NULL), '') AS spans,
+      count(*) FILTER (rank >= {len(secrets.LEAST)}) AS n_entropy
+    FROM d LEFT JOIN s USING (doc) GROUP BY doc"""
+
+
+# All pairs of one label, and everything that links reach.
+ROTATION = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+    AND list_bool_and([e IS NOT NULL AND isfinite(e) FOR e IN x]) AND list_bool_or([e <> 0 FOR e IN x])
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id,
+  vec_id = min(other) AS kept
+FROM reach LEFT JOIN counted ON vec_id = a GROUP BY vec_id
+"""
+
+ORACLES = {"op1_secrets": _secrets(), "op8_mixing": MIXING, "op9_rotation_codes": ROTATION}

@@ -1,5 +1,10 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 # Names that the operators use inside; a table may have columns of the same names.
 CLASH = ["fp", "node", "key", "h", "n", "secrets", "label", "text_hash", "bucket", "part", "row", "place", "id"]
 
