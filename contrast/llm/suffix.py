@@ -40,8 +40,8 @@ from contrast.llm.common import settle, whole_texts
 MATCH = 50
 GRAM = 20
 WIDTH = MATCH - GRAM + 1
-PIECE = 1 << 20
-RECORDS = 1 << 20
+PIECE = 1 << 18
+RECORDS = 1 << 19
 PLACES = np.uint64((1 << 24) - 1)
 # Buckets and text groups for each shuffle partition.
 BUCKETS, GROUPS = 8, 4
