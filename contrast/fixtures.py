@@ -11,10 +11,14 @@ F  predictions: quality labels against toxicity flags
 from pyspark.sql import functions as F
 
 from contrast import settings as S
-from contrast.plans.settle import settle, spread
+from contrast.plans.settle import settle
 
 LONG = ["cohort", "group", "feature_id", "sample_id", "count"]
 BRAND_TYPE = ("p_brand", "p_type")
+# Whatever is neither a letter nor a mark on one, in any script.
+WORD_BREAK = r"[^\p{L}\p{M}]+"
+# Baseline log-CPM up to which a recurring term is a candidate.
+RECURRENCE_LIMIT = 14.0
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -22,20 +26,23 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def terms(spark, sf_dir, by_language=False):
+def terms(spark, sf_dir, by_language=False, halves=False):
     """Fixture A, settled: every term of every document, whole texts.
 
-    Documents without a label are the baseline group.
+    Documents without a label are the baseline group. With ``halves`` the documents of
+    even and of odd id are cohorts of their own, which share their terms.
     """
+    cohort = F.col("lang") if by_language else F.lit("corpus")
+    if halves:
+        cohort = F.concat_ws("-", cohort, (F.col("doc_id") % 2).cast("string"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    documents = spread(documents, "doc_id")
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     group = F.when(F.col("quality") == 1, S.CASE).when(F.col("quality") == 0, S.CONTROL)
     counted = (
         documents.select(
             "doc_id",
-            (F.col("lang") if by_language else F.lit("corpus")).alias("cohort"),
-            F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("feature_id"),
+            cohort.alias("cohort"),
+            F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("feature_id"),
         )
         .where("feature_id <> ''")
         .groupBy("doc_id", "cohort", "feature_id")
@@ -63,7 +70,7 @@ def baseline_of(long):
 def term_symbols(spark, sf_dir):
     """Symbols for the terms of the benchmark texts only: other terms stay unmapped."""
     words = table(spark, sf_dir, "benchmark").select(
-        F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("feature_id")
+        F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("feature_id")
     )
     return words.where("feature_id <> ''").distinct().withColumn("symbol", F.upper("feature_id"))
 

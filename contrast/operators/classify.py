@@ -132,9 +132,18 @@ def classifier_metrics(pred):
     return basic.unionByName(_auc(pred).unpivot([], ["auc"], "metric", "value"))
 
 
-def confusion_matrix(pred, labels=(0, 1)):
-    """Rows are actual labels, columns predicted ones; empty cells are 0."""
-    columns = [
-        F.count_if(F.col("prediction") == value).alias(f"predicted_{value}") for value in labels
-    ]
+def confusion_matrix(pred, labels=None):
+    """Rows are actual labels, columns predicted ones; empty cells are 0.
+
+    Without ``labels`` there is a column for every class that occurs. A list that
+    leaves out a predicted class is an error.
+    """
+    predicted = F.col("prediction").cast("int")
+    seen = {row[0] for row in pred.select(predicted).distinct().collect()} - {None}
+    if labels is None:
+        actual = pred.select(F.col("label").cast("int")).distinct().collect()
+        labels = sorted(seen | {row[0] for row in actual} - {None})
+    elif seen - set(labels):
+        raise ValueError(f"predicted classes without a column: {sorted(seen - set(labels))}")
+    columns = [F.count_if(predicted == value).alias(f"predicted_{value}") for value in labels]
     return pred.groupBy(F.col("label").cast("int").alias("label")).agg(*columns)

@@ -14,10 +14,13 @@ from contrast import settings as S
 from contrast.functions.columns import fill_slots
 from contrast.operators.moments import merge_zeros
 from contrast.plans.ordered import place, rank
-from contrast.plans.settle import join_side, settle
+from contrast.plans.settle import attach_constants, join_side, settle
 
 # Samples per block of the sample axis: the bound of every collected array.
 BLOCK = 1024
+# Least singular value that counts, relative to the largest. The Gramian squares the
+# condition, so smaller ones are below the precision of a double.
+R_COND = 1e-6
 
 
 def label_cohort(long, domain, control_only=False):
@@ -81,9 +84,7 @@ def dense_blocks(long, positions, block=BLOCK):
     sizes = positions.groupBy("cohort").agg(F.max("n_samples").alias("n_samples"))
     last_block = F.floor((F.col("n_samples") - 1) / F.lit(block)).cast("long")
     grid = (
-        long.select("cohort", "feature_id")
-        .distinct()
-        .join(sizes, "cohort")
+        attach_constants(long.select("cohort", "feature_id").distinct(), sizes, ["cohort"])
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
     )
     width = F.least(F.lit(block), F.col("n_samples") - F.col("block") * block).cast("int")
@@ -201,17 +202,23 @@ def standardize(vectors):
     return scaler.fit(vectors).transform(vectors)
 
 
+def _decompose(vectors, k):
+    """Standardised rows and their truncated SVD, whose V is with the driver."""
+    scaled = standardize(settle(vectors, "vectors"))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled"))
+    return scaled, matrix.computeSVD(k, rCond=R_COND)
+
+
 def svd_features(vectors, k=S.SVD_COMPONENTS):
     """Left singular vectors of the standardised matrix, and the singular values.
 
     The decomposition runs on the Gramian in the JVM. Only V (features x k, bounded
     by the feature list) reaches the driver; U is one product per batch of rows, so
     the sample ids never leave their rows. Fewer than ``k`` components come back
-    when the matrix has no more.
+    when the matrix has no more: what is below ``R_COND`` of the largest singular value
+    is noise of the Gramian.
     """
-    scaled = standardize(settle(vectors, "vectors"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled"))
-    svd = matrix.computeSVD(k)
+    scaled, svd = _decompose(vectors, k)
     sigma = svd.s.toArray()
     project = svd.V.toArray() / sigma
 
@@ -226,15 +233,30 @@ def svd_features(vectors, k=S.SVD_COMPONENTS):
     return reduced, [float(value) for value in sigma]
 
 
+def svd_loadings(vectors, k=S.SVD_COMPONENTS):
+    """Right singular vectors: component, position, loading and singular value."""
+    _, svd = _decompose(vectors, k)
+    loadings = svd.V.toArray()
+    rows = [
+        (component, pos, float(loadings[pos, component]), float(sigma))
+        for component, sigma in enumerate(svd.s.toArray())
+        for pos in range(len(loadings))
+    ]
+    schema = "component int, pos int, loading double, sigma double"
+    return vectors.sparkSession.createDataFrame(rows, schema)
+
+
 def flatten_components(reduced, k):
-    """``svd_0 ... svd_(k-1)`` columns instead of the array."""
+    """``svd_0 ... svd_(k-1)`` columns instead of the array; null beyond the last one."""
     others = [name for name in reduced.columns if name != "svd"]
-    return reduced.select(*others, *(F.col("svd")[i].alias(f"svd_{i}") for i in range(k)))
+    return reduced.select(*others, *(F.get("svd", F.lit(i)).alias(f"svd_{i}") for i in range(k)))
 
 
 def projection(reduced, i=0, j=1):
     """Two components of every sample together with its labels."""
     others = [name for name in reduced.columns if name != "svd"]
     return reduced.select(
-        *others, F.col("svd")[i].alias("component_x"), F.col("svd")[j].alias("component_y")
+        *others,
+        F.get("svd", F.lit(i)).alias("component_x"),
+        F.get("svd", F.lit(j)).alias("component_y"),
     )

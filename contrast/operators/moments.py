@@ -6,6 +6,7 @@ from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.normalize import group_sizes, log_cpm, min_samples, sample_table
 from contrast.plans.ordered import min_from_end, place, rank
+from contrast.plans.settle import attach_constants
 
 
 def _explicit(group):
@@ -58,7 +59,7 @@ def feature_moments(
         *_explicit(S.CASE),
         *_explicit(S.CONTROL),
     )
-    sized = per_feature.join(group_sizes(samples), "cohort")
+    sized = attach_constants(per_feature, group_sizes(samples), ["cohort"])
     if expressed_only:
         sized = sized.where(F.col("n_expressed") >= min_samples("n_samples", min_fraction))
     columns = []
@@ -103,12 +104,18 @@ def with_pvalue(tested):
 def bh_fdr(df, pvalue="pvalue", key="feature_id", by=("cohort",)):
     """Benjamini-Hochberg adjusted p-values and the rank of each test, per group.
 
-    ``key`` breaks ties of the rank; the fdr does not depend on it.
+    ``key`` breaks ties of the rank; the fdr does not depend on it. A null or NaN p-value
+    is no test: it has neither rank nor fdr and doesn't count among the tests.
     """
     by = list(by)
     order = ["_order", key]
-    placed = place(df.withColumn("_order", C.stable_p(pvalue)), by, order)
+    tested = F.col(pvalue).isNotNull() & ~F.isnan(pvalue)
+    untested = df.where(~tested).select(
+        *df.columns, F.lit(None).cast("double").alias("fdr"), F.lit(None).cast("long").alias("rank")
+    )
+    placed = place(df.where(tested).withColumn("_order", C.stable_p(pvalue)), by, order)
     ranked = rank(placed, by, order, "rank", total="_tests")
     raw = ranked.withColumn("_raw", F.col(pvalue) * F.col("_tests") / F.col("rank"))
     adjusted = min_from_end(raw, by, "rank", "_raw", "_fdr")
-    return adjusted.select(*df.columns, F.least(F.lit(1.0), "_fdr").alias("fdr"), "rank")
+    done = adjusted.select(*df.columns, F.least(F.lit(1.0), "_fdr").alias("fdr"), "rank")
+    return done.unionByName(untested)

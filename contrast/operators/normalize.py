@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contrast import settings as S
 from contrast.functions import columns as C
-from contrast.plans.settle import join_side, settle
+from contrast.plans.settle import attach_constants, join_side, settle
 
 SAMPLE = ["cohort", "sample_id"]
 
@@ -70,7 +70,7 @@ def expressed_features(long, min_cpm=S.MIN_CPM, min_fraction=S.MIN_FRACTION):
         .agg(F.count_if(F.col("cpm") > F.lit(min_cpm)).alias("n_expressed"))
     )
     return (
-        counts.join(sizes, "cohort")
+        attach_constants(counts, sizes, ["cohort"])
         .withColumn("min_samples", min_samples("n_samples", min_fraction))
         .where("n_expressed >= min_samples")
         .select("cohort", "feature_id", "n_expressed", "min_samples")

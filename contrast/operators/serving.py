@@ -43,6 +43,14 @@ def lookup(documents, keys):
     )
 
 
+def lookup_names(documents, names):
+    """Lookup of symbols that are known here; their keys reach the Parquet scan."""
+    spark = documents.sparkSession
+    keys = spark.createDataFrame([(name,) for name in names], "symbol string").distinct()
+    upper = [row[0] for row in keys.select(F.upper("symbol")).distinct().collect()]
+    return lookup(documents.where(F.col("symbol_key").isin(upper)), keys)
+
+
 def top_candidates(documents, k=10, by=("cohort",)):
     order = [C.stable("target_score").desc(), "feature_id"]
     return top_k(documents.where("verdict = 'candidate'"), k, order, by)

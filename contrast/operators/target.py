@@ -6,8 +6,8 @@ from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.moments import merge_zeros
 from contrast.operators.normalize import group_sizes, log_cpm, sample_table
-from contrast.plans.ordered import group_quantile
-from contrast.plans.settle import join_side, settle
+from contrast.plans.ordered import BUCKET, group_quantile, place, rank
+from contrast.plans.settle import attach_constants, join_side, settle
 from contrast.plans.topk import top_k
 
 FEATURE = ["cohort", "feature_id"]
@@ -45,7 +45,7 @@ def baseline_profile(long, implicit_zeros=False):
     )
     sizes = group_sizes(samples).select("cohort", "size_all")
     zeros = F.col("size_all") - F.col("_rows")
-    sized = settle(summary.join(sizes, "cohort").withColumn("_zeros", zeros), "profile")
+    sized = settle(attach_constants(summary, sizes, ["cohort"]).withColumn("_zeros", zeros), "profile")
     crowded = sized.where("_n >= _zeros").select(*FEATURE, "_zeros")
     absent = _zero_rows(crowded)
     present = join_side(cells, crowded.drop("_zeros"), FEATURE, "left_semi")
@@ -90,7 +90,7 @@ def zscore(df, columns, by=("cohort",)):
     parts = []
     for value in columns:
         parts += [F.avg(value).alias(f"_m_{value}"), F.stddev(value).alias(f"_s_{value}")]
-    joined = df.join(df.groupBy(*by).agg(*parts), by)
+    joined = attach_constants(df, df.groupBy(*by).agg(*parts), by)
     for value, out in columns.items():
         scaled = F.try_divide(F.col(value) - F.col(f"_m_{value}"), F.col(f"_s_{value}"))
         joined = joined.withColumn(out, scaled)
@@ -138,7 +138,7 @@ def safe_threshold(scores, q=S.SAFE_QUANTILE):
 def quadrant(scores, q=S.SAFE_QUANTILE):
     """Zone of every scored feature by effect and baseline threshold."""
     zone = C.quadrant("log2fc", "fdr", "baseline_mean_logcpm", "safe_max")
-    return scores.join(safe_threshold(scores, q), "cohort").withColumn("zone", zone)
+    return attach_constants(scores, safe_threshold(scores, q), ["cohort"]).withColumn("zone", zone)
 
 
 def quadrant_labels(zoned, good=12, danger=6):
@@ -157,7 +157,7 @@ def quadrant_labels(zoned, good=12, danger=6):
 def verdict(scores, safe_max=None):
     """Add the verdict; without ``safe_max`` the limit is the cohort's own quantile."""
     if safe_max is None:
-        scores = scores.join(safe_threshold(scores), "cohort")
+        scores = attach_constants(scores, safe_threshold(scores), ["cohort"])
         safe_max = "safe_max"
     call = C.verdict("log2fc", "fdr", "baseline_mean_logcpm", safe_max)
     return scores.withColumn("verdict", call).drop("safe_max")
@@ -175,8 +175,12 @@ def top_danger(scores, k=10, max_fdr=S.MAX_FDR, min_effect=S.MIN_EFFECT):
 
 
 def recurrence(judged, min_cohorts=5):
-    """Features that are candidates in at least ``min_cohorts`` cohorts."""
-    return (
+    """Features that are candidates in at least ``min_cohorts`` cohorts, ranked.
+
+    Rank 1 has the most cohorts, then the highest mean score, then the least id. The
+    rank is taken over a distributed sort.
+    """
+    recurring = (
         judged.where("verdict = 'candidate'")
         .groupBy("feature_id", "symbol")
         .agg(
@@ -185,4 +189,7 @@ def recurrence(judged, min_cohorts=5):
             F.avg("log2fc").alias("mean_log2fc"),
         )
         .where(F.col("n_cohorts") >= min_cohorts)
+        .withColumn("_score", C.stable("mean_score"))
     )
+    order = [F.desc("n_cohorts"), F.desc("_score"), "feature_id", "symbol"]
+    return rank(place(recurring, [], order), [], order).drop("_score", BUCKET)

@@ -20,7 +20,7 @@ def _terms(cohort):
     return [
         (
             "tok",
-            "SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term "
+            "SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{M}]+')) AS term "
             "FROM documents",
         ),
         (
@@ -105,8 +105,8 @@ VECTORS = [
 SYMBOLS = [
     (
         "sym",
-        """SELECT DISTINCT term AS feature_id, upper(term) AS symbol
-        FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark)
+        """SELECT DISTINCT term AS feature_id, replace(upper(term), 'ẞ', 'SS') AS symbol
+        FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{M}]+')) AS term FROM benchmark)
         WHERE term <> ''""",
     )
 ]
@@ -290,6 +290,8 @@ SCORES = [
     ),
 ]
 
+BY_HALF = _terms("lang || '-' || (t.doc_id % 2)")
+RECURRENCE = BY_HALF + DE + BASELINE + SYMBOLS + SCORES
 TARGET = BY_LANG + DE + BASELINE + SYMBOLS + SCORES
 
 VOLCANO = BY_LANG + DE + SYMBOLS + [
@@ -588,10 +590,12 @@ ORACLES = {
         ),
     ),
     "recurrence": _query(
-        TARGET,
+        RECURRENCE,
         f"""SELECT feature_id, symbol, count(DISTINCT cohort) AS n_cohorts,
-          {_r('avg(target_score)', 'mean_score')}, {_r('avg(log2fc)', 'mean_log2fc')}
-        FROM judged WHERE verdict = 'candidate' GROUP BY feature_id, symbol
+          {_r('avg(target_score)', 'mean_score')}, {_r('avg(log2fc)', 'mean_log2fc')},
+          row_number() OVER (ORDER BY count(DISTINCT cohort) DESC, round(avg(target_score), 9) DESC,
+            feature_id, symbol) AS rank
+        FROM scores WHERE fdr < 0.05 AND log2fc > 1 AND baseline_mean_logcpm <= 14 GROUP BY feature_id, symbol
         HAVING count(DISTINCT cohort) >= 2""",
     ),
     "serve_profiles": _query(
@@ -607,14 +611,14 @@ ORACLES = {
                 "wanted",
                 """SELECT DISTINCT w AS wanted FROM (
                   SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL
-                  SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) FROM benchmark)
+                  SELECT unnest(string_split_regex(text, '[^\\p{L}\\p{M}]+')) FROM benchmark)
                 WHERE w <> ''""",
             )
         ],
         f"""SELECT wanted, feature_id IS NOT NULL AS found, cohort, feature_id, verdict,
           {_r('target_score', 'target_score')}, {_r('log2fc', 'log2fc')}, {_r('fdr', 'fdr')},
           {_r('baseline_mean_logcpm', 'baseline_mean_logcpm')}
-        FROM wanted LEFT JOIN judged ON upper(symbol) = upper(wanted)""",
+        FROM wanted LEFT JOIN judged ON replace(upper(symbol), 'ẞ', 'SS') = replace(upper(wanted), 'ẞ', 'SS')""",
     ),
     "serve_top_candidates": _query(
         TARGET,
@@ -657,7 +661,7 @@ ORACLES = {
           count(DISTINCT sample_id) AS n_samples FROM lng WHERE grp <> 'other' GROUP BY ALL""",
     ),
     "strip_version_collapse": _query(
-        COLLAPSED, f'SELECT feature_id, sample_id, grp AS "group", {_r("logcpm", "logcpm")} FROM merged'
+        COLLAPSED, f'SELECT feature_id, sample_id, grp AS "group", {_r("logcpm", "logcpm")} FROM merged WHERE logcpm <> 0'
     ),
     "top_variable": _query(
         COLLAPSED,
@@ -683,8 +687,29 @@ ORACLES = {
           {_r('(v - avg(v) OVER w) / stddev_samp(v) OVER w', 'z')}
         FROM vec WINDOW w AS (PARTITION BY pos)""",
     ),
-    "svd_scores_norm": """SELECT unnest(range(least(50, max(len(embedding))))) AS component,
-      1.0::DOUBLE AS norm FROM embeddings""",
+    "svd_scores_norm": _query(
+        VECTORS,
+        f"""SELECT count(*) AS n_components, {_r('sum(n - 1)::DOUBLE', 'energy')}
+        FROM (SELECT pos, count(*) AS n FROM vec GROUP BY pos HAVING var_samp(v) > 0)""",
+    ),
+    "svd_gramian": _query(
+        VECTORS,
+        f"""SELECT a.pos AS i, b.pos AS j, {_r('corr(a.v, b.v) * (count(*) - 1)', 'value')}
+        FROM vec a JOIN vec b ON a.sample_id = b.sample_id GROUP BY a.pos, b.pos""",
+    ),
+    "reduced_labels": _query(
+        _retail("r_name", BRAND_TYPE),
+        """SELECT DISTINCT sample_id, cohort AS domain, CAST(grp = 'case' AS BIGINT) AS is_case,
+          cohort || '-' || CASE grp WHEN 'case' THEN 'case' ELSE 'control' END AS group_label
+        FROM lng WHERE grp <> 'other'""",
+    ),
+    "rf_held_out": """SELECT sample_id, CAST(label >= 5 AS BIGINT) AS label, true AS sound
+      FROM (SELECT CAST(vec_id AS VARCHAR) AS sample_id, label FROM embeddings)
+      WHERE CAST('0x' || substr(md5('42:' || sample_id), 1, 8) AS BIGINT) % 10000 >= 7000""",
+    "rf_importance_total": _query(
+        VECTORS,
+        "SELECT count(DISTINCT pos) AS n_features, 1.0::DOUBLE AS total, 0::BIGINT AS n_negative FROM vec",
+    ),
     "svd_row_energy": _query(
         VECTORS,
         f"""SELECT sample_id, {_r('sum(z * z)', 'energy')} FROM (

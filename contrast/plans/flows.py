@@ -9,11 +9,14 @@ from contrast.sources import matrix as text
 from contrast.sources import tables
 
 
-def ingest(spark, matrix_path, labels_path, cohort, out):
+def ingest(
+    spark, matrix_path, labels_path, cohort, out, case=S.CASE_LABEL, control=S.CONTROL_LABEL
+):
     """Matrix files and sample labels to the long table of one cohort."""
     cells = text.matrix_to_long(text.read_matrix(spark, matrix_path))
     labels = tables.read_pairs(spark, labels_path, ["sample_id", "sample_type"])
-    tables.write_long(text.to_groups(text.label_samples(cells, labels), cohort), out)
+    labelled = text.label_samples(cells, labels, (case, control))
+    tables.write_long(text.to_groups(labelled, cohort, case, control), out)
     return tables.audit_long(tables.read_long(spark, out, [cohort]))
 
 
@@ -35,16 +38,21 @@ def _write_sorted(df, order, out, csv):
     return back
 
 
-def differential(spark, long_path, out, csv=None, cohorts=None):
-    """Differential results of the cohorts of a long table, sorted by p-value."""
+def differential(spark, long_path, out, csv=None, cohorts=None, **options):
+    """Differential results of the cohorts of a long table, sorted by p-value.
+
+    ``options`` are those of ``diff_analysis``: sparse input and the expression filter.
+    """
     long = tables.read_long(spark, long_path, cohorts)
-    return _write_sorted(diff.diff_analysis(long), ["cohort", "rank"], out, csv)
+    return _write_sorted(diff.diff_analysis(long, **options), ["cohort", "rank"], out, csv)
 
 
-def score(spark, diff_path, baseline_path, symbols_path, out, csv=None):
+def score(
+    spark, diff_path, baseline_path, symbols_path, out, csv=None, implicit_zeros=False
+):
     """Target scores from differential results and the baseline long table."""
     de = spark.read.parquet(diff_path)
-    baseline = target.baseline_profile(tables.read_long(spark, baseline_path))
+    baseline = target.baseline_profile(tables.read_long(spark, baseline_path), implicit_zeros)
     symbols = tables.read_pairs(spark, symbols_path, ["feature_id", "symbol"])
     scores = target.target_score(de, baseline, symbols)
     return _write_sorted(scores, ["cohort", F.desc("target_score"), "feature_id"], out, csv)
@@ -101,11 +109,13 @@ def reduce_cohorts(
     return reduced.join(labels, "sample_id"), sigma, labels
 
 
-def reduce(spark, long_path, baseline_path, out, labels_out, n_features, k):
+def reduce(
+    spark, long_path, baseline_path, out, labels_out, n_features, k, implicit_zeros=False
+):
     union = labelled_union(
         tables.read_long(spark, long_path), tables.read_long(spark, baseline_path)
     )
-    reduced, sigma, labels = reduce_cohorts(union, n_features, k)
+    reduced, sigma, labels = reduce_cohorts(union, n_features, k, implicit_zeros)
     tables.write_result(reduced, out)
     tables.write_result(labels, labels_out)
     return spark.read.parquet(out), sigma
@@ -118,12 +128,14 @@ def classify_reduced(spark, reduced_path, out):
     return spark.read.parquet(out)
 
 
-def classify_features(spark, long_path, baseline_path, out, importance_out, n_features):
+def classify_features(
+    spark, long_path, baseline_path, out, importance_out, n_features, implicit_zeros=False
+):
     """Forest on the features themselves; predictions and ranked importances."""
     union = labelled_union(
         tables.read_long(spark, long_path), tables.read_long(spark, baseline_path)
     )
-    vectors, features, labels = feature_vectors(union, n_features)
+    vectors, features, labels = feature_vectors(union, n_features, implicit_zeros)
     data = vectors.join(labels.select("sample_id", "is_case"), "sample_id")
     model, pred = classify.rf_features(data)
     tables.write_result(pred, out)

@@ -1,6 +1,8 @@
 """Written intermediate tables and joins against sides of a checked size."""
 
+import re
 import tempfile
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ def shared_dir(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="contrast-")
     spark.conf.set("spark.checkpoint.dir", local)
@@ -29,16 +31,6 @@ def scratch_path(spark, label):
     return f"{shared_dir(spark)}/contrast-{label}-{uuid4().hex}"
 
 
-def spread(df, *keys):
-    """Repartition a table that has fewer files than the cluster has cores.
-
-    Such a table is small for the cluster but would keep most of it idle through
-    the steps up to the first shuffle. Any other table is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def settle(df, label="table"):
     """Write ``df`` once and go on from the written table.
 
@@ -81,3 +73,24 @@ def join_side(big, side, on, how="inner", limit=None):
     salted = big.withColumn(salt, F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
     copies = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, salt], how).drop(salt)
+
+
+def attach_constants(df, constants, by, limit=None):
+    """Add the constants of its group to every row; a null key is a group like any other.
+
+    ``constants`` has one row per group and is settled and measured. Within the limit
+    it is broadcast, so a hot group of ``df`` isn't shuffled; beyond it the rows of a
+    group are spread over salts.
+    """
+    side = settle(constants, "constants").withColumnsRenamed({name: f"_key_{name}" for name in by})
+    limit = BROADCAST_LIMIT if limit is None else limit
+    same = [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in by]
+    if measured_bytes(side) <= limit:
+        side = F.broadcast(side)
+    else:
+        rest = [name for name in df.columns if name not in by] or list(by)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+        side = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same.append(F.col("_salt") == F.col("_copy"))
+    joined = df.join(side, reduce(lambda a, b: a & b, same))
+    return joined.drop("_salt", "_copy", *(f"_key_{name}" for name in by))

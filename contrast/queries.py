@@ -201,8 +201,8 @@ def zscore(spark, sf_dir):
     return shown(target.zscore(customers, {"c_acctbal": "z_acctbal"}))
 
 
-def _scores(spark, sf_dir):
-    long = X.terms(spark, sf_dir, by_language=True)
+def _scores(spark, sf_dir, halves=False):
+    long = X.terms(spark, sf_dir, by_language=True, halves=halves)
     effects = diff.diff_analysis(X.contrast_of(long), implicit_zeros=True)
     baseline = target.baseline_profile(X.baseline_of(long), implicit_zeros=True)
     return target.target_score(effects, baseline, X.term_symbols(spark, sf_dir))
@@ -257,7 +257,8 @@ def top_danger(spark, sf_dir):
 
 
 def recurrence(spark, sf_dir):
-    judged = target.verdict(settle(_scores(spark, sf_dir), "scores"))
+    """Candidates that recur in both halves of a language, or in several languages."""
+    judged = target.verdict(_scores(spark, sf_dir, halves=True), X.RECURRENCE_LIMIT)
     return shown(target.recurrence(judged, min_cohorts=2))
 
 
@@ -290,7 +291,7 @@ def serve_lookup(spark, sf_dir):
     """Looks up every word of the part names, in mixed case; most are unknown."""
     words = X.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     known = X.table(spark, sf_dir, "benchmark").select(
-        F.explode(F.split("text", "[^A-Za-z]+")).alias("word")
+        F.explode(F.split("text", X.WORD_BREAK)).alias("word")
     )
     keys = words.unionByName(known).where("word <> ''").distinct()
     found = serving.lookup(_documents(spark, sf_dir), keys.select(F.col("word").alias("symbol")))
@@ -335,18 +336,20 @@ def samples_per_group(spark, sf_dir):
 
 
 def _collapsed(spark, sf_dir):
-    """Dense log-CPM cells of fixture B with brand and type merged to the brand."""
+    """Sparse log-CPM cells of fixture B with brand and type merged to the brand."""
     long = X.retail(spark, sf_dir, features=X.BRAND_TYPE)
-    cells = normalize.log_cpm(settle(matrix.densify(long), "dense"))
-    return normalize.collapse_versions(cells.select("feature_id", "sample_id", "group", "logcpm"))
+    cells = normalize.log_cpm(long).select("feature_id", "sample_id", "group", "logcpm")
+    return long, normalize.collapse_versions(cells, implicit_zeros=True)
 
 
 def strip_version_collapse(spark, sf_dir):
-    return shown(_collapsed(spark, sf_dir))
+    return shown(_collapsed(spark, sf_dir)[1])
 
 
 def top_variable(spark, sf_dir):
-    return shown(matrix.top_variable(_collapsed(spark, sf_dir), n=10))
+    long, cells = _collapsed(spark, sf_dir)
+    n_samples = long.select("sample_id").distinct().count()
+    return shown(matrix.top_variable(cells, n=10, n_samples=n_samples))
 
 
 def pivot_matrix(spark, sf_dir):
@@ -390,10 +393,27 @@ def svd_features(spark, sf_dir):
 
 
 def svd_scores_norm(spark, sf_dir):
-    """Every left singular vector of the data has length 1."""
-    reduced = _reduced(spark, sf_dir).select(F.posexplode("svd").alias("component", "value"))
-    norms = reduced.groupBy("component").agg(F.sum(F.col("value") * F.col("value")).alias("norm"))
-    return shown(norms)
+    """With all components, the scaled scores hold the variance of every position."""
+    cells = X.vectors(spark, sf_dir)
+    vectors = matrix.wide_vectors(cells, X.vector_positions(cells), n=64, value="value")
+    reduced, sigma = matrix.svd_features(vectors, 64)
+    scales = spark.createDataFrame(list(enumerate(sigma)), "component int, sigma double")
+    parts = reduced.select(F.posexplode("svd").alias("component", "u")).join(F.broadcast(scales), "component")
+    energy = F.sum(F.col("u") * F.col("u") * F.col("sigma") * F.col("sigma"))
+    return shown(
+        parts.agg(F.count_distinct("component").alias("n_components"), energy.alias("energy"))
+    )
+
+
+def svd_gramian(spark, sf_dir):
+    """V, squared singular values and V again give the correlations of the positions."""
+    cells = X.vectors(spark, sf_dir)
+    vectors = matrix.wide_vectors(cells, X.vector_positions(cells), n=64, value="value")
+    loadings = settle(matrix.svd_loadings(vectors, 64), "loadings")
+    one = loadings.select("component", F.col("pos").alias("i"), (F.col("loading") * F.col("sigma")).alias("a"))
+    two = loadings.select("component", F.col("pos").alias("j"), (F.col("loading") * F.col("sigma")).alias("b"))
+    together = one.join(two, "component").groupBy("i", "j")
+    return shown(together.agg(F.sum(F.col("a") * F.col("b")).alias("value")))
 
 
 def svd_row_energy(spark, sf_dir):
@@ -419,6 +439,11 @@ def reduced_cohorts(spark, sf_dir):
     return matrix.flatten_components(reduced, 10)
 
 
+def reduced_labels(spark, sf_dir):
+    """Every sample of the reduced cohorts with its labels."""
+    return shown(reduced_cohorts(spark, sf_dir).select("sample_id", "domain", "is_case", "group_label"))
+
+
 # --- models ------------------------------------------------------------------
 
 
@@ -440,6 +465,31 @@ def rf_importance(spark, sf_dir):
     return classify.importances(model, features)
 
 
+def rf_held_out(spark, sf_dir):
+    """Held-out samples of the forest, and whether class and score of each agree."""
+    pred = rf_reduced(spark, sf_dir)
+    agrees = F.col("prediction") == (F.col("score") > 0.5).cast("double")
+    sound = (F.col("score") >= 0) & (F.col("score") <= 1)
+    # An exact half may go to either class.
+    return shown(
+        pred.select(
+            "sample_id", F.col("label").cast("long").alias("label"), (sound & (agrees | (F.col("score") == 0.5))).alias("sound")
+        )
+    )
+
+
+def rf_importance_total(spark, sf_dir):
+    """Importances are shares: one for each position, none below 0, 1 in total."""
+    ranked = rf_importance(spark, sf_dir)
+    return shown(
+        ranked.agg(
+            F.count("*").alias("n_features"),
+            F.sum("importance").alias("total"),
+            F.count_if(F.col("importance") < 0).alias("n_negative"),
+        )
+    )
+
+
 def classifier_metrics(spark, sf_dir):
     return shown(classify.classifier_metrics(X.predictions(spark, sf_dir)))
 
@@ -527,12 +577,16 @@ QUERIES = {
         standardize_long,
         svd_features,
         svd_scores_norm,
+        svd_gramian,
         svd_row_energy,
         projection,
         reduced_cohorts,
+        reduced_labels,
         train_test_split,
         rf_reduced,
         rf_importance,
+        rf_held_out,
+        rf_importance_total,
         classifier_metrics,
         per_class_metrics,
         confusion_matrix,

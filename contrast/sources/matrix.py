@@ -41,13 +41,14 @@ def matrix_to_long(raw):
     Each text row meets the header of its file before it is taken apart, so the
     cells need no join. A short row has fewer cells, surplus fields are ignored,
     and a count that is not a number is NULL. A file without header fails.
-    Compressed files cannot be split, so their rows are spread over the tasks first.
+    Compressed files cannot be split, so their rows, and only theirs, are spread over
+    the tasks first.
     """
-    packed = any(name.endswith(".gz") for name in raw.inputFiles())
     headers = settle(matrix_headers(raw), "headers")
     fields = F.split("value", S.FIELD_SEPARATOR)
     body = raw.where("kind = 'row'")
-    body = body.repartition("value") if packed else body
+    packed = F.col("file").endswith(".gz")
+    body = body.where(~packed).unionByName(body.where(packed).repartition("value"))
     rows = body.select(
         "file", fields[0].alias("feature_id"), F.slice(fields, 2, F.size(fields)).alias("counts")
     )

@@ -1,6 +1,7 @@
 """Tables on disk: pairs, long tables, results and profiles."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contrast import settings as S
 from contrast.functions.columns import layout_bucket
@@ -12,8 +13,6 @@ PROFILE_SCHEMA = (
     "safety struct<baseline_mean_logcpm: double>, "
     "target_score double, verdict string, cohort string"
 )
-# Rows up to which a single-file export is allowed.
-SINGLE_FILE_ROWS = 1_000_000
 
 
 def read_pairs(spark, path, names):
@@ -26,13 +25,17 @@ def write_pairs(df, path):
     df.write.mode("overwrite").csv(path, sep=S.FIELD_SEPARATOR)
 
 
-def read_long(spark, path, cohorts=None):
-    """Long table; a list of cohorts prunes the partitions to read.
+def read_long(spark, path, cohorts=None, bucket=None):
+    """Long table; cohorts and a feature bucket prune the partitions to read.
 
     The schema is given, so a cohort named like a number stays a string.
     """
-    long = spark.read.schema(LONG_SCHEMA).parquet(path)
-    return long if cohorts is None else long.where(F.col("cohort").isin(*cohorts))
+    long = spark.read.schema(f"{LONG_SCHEMA}, feature_bucket int").parquet(path)
+    if cohorts is not None:
+        long = long.where(F.col("cohort").isin(*cohorts))
+    if bucket is not None:
+        long = long.where(F.col("feature_bucket") == bucket)
+    return long.drop("feature_bucket")
 
 
 def write_long(long, path, feature_buckets=None):
@@ -60,18 +63,22 @@ def write_result(df, path):
     df.write.mode("overwrite").parquet(path)
 
 
-def export_csv(df, path, single_file=False):
-    """CSV with header. One part only on request, and only for a small result."""
-    if single_file:
-        rows = df.limit(SINGLE_FILE_ROWS + 1).count()
-        if rows > SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: export without single_file")
-        df = df.coalesce(1)
+def export_csv(df, path):
+    """CSV with a header in every part; as many parts as the result has partitions."""
     df.write.mode("overwrite").csv(path, header=True)
 
 
 def read_csv_result(spark, path, schema):
-    return spark.read.csv(path, header=True, schema=schema)
+    """The columns of ``schema`` from a CSV with header, found by name.
+
+    Their order in the file and further columns don't matter; a missing one is an error.
+    """
+    found = spark.read.csv(path, header=True)
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    missing = [field.name for field in fields if field.name not in found.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def audit_long(long):

@@ -57,7 +57,9 @@ def test_all_jobs(spark, study, capsys):
     assert spark.read.parquet(at("scores")).count() == 2 * len(FEATURES)
     run("volcano", "--diff", at("de"), "--symbols", at("map.tsv"), "--out", at("volcano"))
     run("quadrant", "--scores", at("scores"), "--out", at("quadrant"))
-    run("recurrence", "--scores", at("scores"), "--min-cohorts", "2")
+    run("recurrence", "--scores", at("scores"), "--out", at("recurring"), "--min-cohorts", "2")
+    recurring = spark.read.parquet(at("recurring"))
+    assert sorted(r["rank"] for r in recurring.collect()) == list(range(1, recurring.count() + 1))
     run("publish", "--scores", at("scores"), "--out", at("profiles"))
     capsys.readouterr()
     run("lookup", "--profiles", at("profiles"), "alpha", "unknown")
@@ -66,6 +68,9 @@ def test_all_jobs(spark, study, capsys):
     run("lookup", "--profiles", at("profiles"))
 
     run("scale", "--long", at("long"), "--out", at("scaling"))
+    # The scaling table has no seconds, so it can't be fitted by mistake.
+    with pytest.raises(ValueError, match="seconds"):
+        run("fit", "--points", at("scaling"))
     run("reduce", "--long", at("long"), "--baseline", at("base"), "--out", at("svd"), "--labels-out", at("labels"), "--n-features", "20", "--components", "5")
     svd = spark.read.parquet(at("svd"))
     assert svd.count() == 2 * 31 and {len(r.svd) for r in svd.collect()} == {5}
@@ -73,7 +78,7 @@ def test_all_jobs(spark, study, capsys):
         "BREAST-case", "BREAST-control", "LUNG-case", "LUNG-control",
     }
     run("classify-reduced", "--reduced", at("svd"), "--out", at("pred"), "--csv", at("metrics_csv"))
-    run("classify-features", "--long", at("long"), "--baseline", at("base"), "--out", at("pred2"), "--importance-out", at("importance"), "--n-features", "20")
+    run("classify-features", "--long", at("long"), "--baseline", at("base"), "--out", at("pred2"), "--importance-out", at("importance"), "--importance-csv", at("importance_csv"), "--n-features", "20")
     shown = capsys.readouterr().out
     assert "accuracy" in shown and "importances" in shown
     ranked = spark.read.parquet(at("importance"))
@@ -91,3 +96,43 @@ def test_fit_job(spark, tmp_path, capsys):
     )
     main(["fit", "--points", str(tmp_path / "points.csv")], spark)
     assert "2.0" in capsys.readouterr().out
+
+
+def test_no_row_of_a_report_is_lost(spark, tmp_path, capsys):
+    """More recurring features, cohorts and looked-up names than a preview shows."""
+    rows = [
+        (f"c{c}", f"f{i:02d}", f"S{i}", 2.0 + i / 100, 0.001, 0.1, 0.1, 1.0, 1.0, 1.0 + i)
+        for c in range(6)
+        for i in range(60)
+    ]
+    schema = (
+        "cohort string, feature_id string, symbol string, log2fc double, fdr double, "
+        "baseline_mean_logcpm double, baseline_median_logcpm double, z_effect double, "
+        "z_baseline double, target_score double"
+    )
+    at = lambda name: str(tmp_path / name)
+    spark.createDataFrame(rows, schema).write.parquet(at("scores"))
+    main(["recurrence", "--scores", at("scores"), "--out", at("recurring"), "--safe-max", "1"], spark)
+    ranked = spark.read.parquet(at("recurring")).orderBy("rank").collect()
+    assert [r.feature_id for r in ranked] == [f"f{i:02d}" for i in reversed(range(60))]
+    assert "60 rows, the first 25" in capsys.readouterr().out
+    main(["publish", "--scores", at("scores"), "--out", at("profiles"), "--safe-max", "1"], spark)
+    names = [f"s{i}" for i in range(60)] + [f"none{i}" for i in range(1440)]
+    main(["lookup", "--profiles", at("profiles"), "--reports", at("found"), *names], spark)
+    found = spark.read.parquet(at("found/profiles"))
+    assert found.count() == 60 * 6 + 1440 and found.where("found").count() == 360
+    main(["lookup", "--profiles", at("profiles"), "--reports", at("tops")], spark)
+    assert spark.read.parquet(at("tops/top_candidates")).groupBy("cohort").count().count() == 6
+
+
+def test_sparse_and_dense_tables_agree(spark, tmp_path, long_of):
+    rng = np.random.default_rng(4)
+    groups = {f"s{i}": "case" if i < 8 else "control" for i in range(16)}
+    counts = {f"f{j}": {s: int(rng.poisson(3 * (j + 1))) for s in groups} for j in range(12)}
+    at = lambda name: str(tmp_path / name)
+    long_of(counts, groups).write.partitionBy("cohort").parquet(at("dense"))
+    long_of(counts, groups).where("count > 0").write.partitionBy("cohort").parquet(at("sparse"))
+    main(["differential", "--long", at("dense"), "--out", at("a")], spark)
+    main(["differential", "--long", at("sparse"), "--out", at("b"), "--implicit-zeros"], spark)
+    a, b = (spark.read.parquet(at(name)).orderBy("feature_id").toPandas() for name in "ab")
+    np.testing.assert_allclose(a["pvalue"], b["pvalue"], rtol=1e-9)

@@ -164,3 +164,16 @@ def test_pivot(spark):
     df = spark.createDataFrame(rows, "sample_id string, feature_id string, count long")
     got = {r.sample_id: (r.a, r.b) for r in matrix.pivot_matrix(df, ["a", "b"]).collect()}
     assert got == {"s1": (1, 0), "s2": (0, 2)}
+
+
+def test_low_rank_svd_has_no_noise_components(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from contrast.operators import matrix
+
+    rows = [(f"s{i}", Vectors.dense([i, 2.0 * i, -i])) for i in range(8)]
+    reduced, sigma = matrix.svd_features(spark.createDataFrame(rows, ["sample_id", "features"]), 3)
+    assert len(sigma) == 1
+    flat = matrix.flatten_components(reduced, 3).collect()
+    assert all(r.svd_0 is not None and r.svd_1 is None and r.svd_2 is None for r in flat)
+    assert matrix.projection(reduced, 0, 2).where("component_y is null").count() == 8

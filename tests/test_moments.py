@@ -189,3 +189,32 @@ def test_cohorts_are_independent(long_of):
     for left, right in zip(alone, together, strict=True):
         assert left.feature_id == right.feature_id and left["rank"] == right["rank"]
         assert left.fdr == pytest.approx(right.fdr)
+
+
+def test_null_and_nan_p_values_are_no_tests(spark):
+    from contrast.operators.moments import bh_fdr
+
+    rows = [("c", "a", 0.01), ("c", "b", None), ("c", "d", float("nan")), ("c", "e", 0.04), (None, "f", 0.5)]
+    got = {r.feature_id: r for r in bh_fdr(spark.createDataFrame(rows, "cohort string, feature_id string, pvalue double")).collect()}
+    assert got["b"].fdr is None and got["b"]["rank"] is None and got["d"].fdr is None
+    assert abs(got["a"].fdr - 0.02) < 1e-12 and abs(got["e"].fdr - 0.04) < 1e-12
+
+
+def test_null_cohort_keeps_its_rows(spark):
+    from contrast.operators.target import zscore
+
+    rows = [(None, 1.0), (None, 3.0), ("c", 2.0), ("c", 4.0)]
+    scored = zscore(spark.createDataFrame(rows, "cohort string, v double"), {"v": "z"})
+    assert sorted(round(r.z, 6) for r in scored.collect()) == [-0.707107, -0.707107, 0.707107, 0.707107]
+
+
+def test_constants_do_not_shuffle_the_big_side(spark):
+    from contrast.operators.target import zscore
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        big = spark.range(5000).selectExpr("cast(id % 5 as string) cohort", "cast(id as double) v")
+        plan = zscore(big, {"v": "z"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(cohort" not in plan and "BroadcastHashJoin" in plan

@@ -104,14 +104,33 @@ def test_write_long_by_feature_bucket(spark, tmp_path, long_of):
     assert len(list((tmp_path / "bucketed" / "cohort=007").glob("feature_bucket=*"))) > 1
 
 
-def test_csv_round_trip_and_single_file_guard(spark, tmp_path, monkeypatch):
+def test_csv_columns_are_found_by_name(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.1), (2, None)], "a long, b double")
     path = str(tmp_path / "csv")
-    tables.export_csv(df, path, single_file=True)
-    assert tables.read_csv_result(spark, path, df.schema).orderBy("a").collect() == df.collect()
-    monkeypatch.setattr(tables, "SINGLE_FILE_ROWS", 1)
-    with pytest.raises(ValueError):
-        tables.export_csv(df, path, single_file=True)
+    tables.export_csv(df.select("b", "a"), path)
+    back = tables.read_csv_result(spark, path, "a long, b double")
+    assert back.orderBy("a").collect() == df.collect()
+    with pytest.raises(ValueError, match="no column c"):
+        tables.read_csv_result(spark, path, "a long, c double")
+
+
+def test_long_table_with_buckets_keeps_its_columns(spark, tmp_path, long_of):
+    long = long_of({f"f{i}": {"s1": i} for i in range(9)}, {"s1": "case"})
+    tables.write_long(long, str(tmp_path / "plain"))
+    tables.write_long(long, str(tmp_path / "buckets"), feature_buckets=3)
+    plain, buckets = (tables.read_long(spark, str(tmp_path / name)) for name in ("plain", "buckets"))
+    assert plain.unionByName(buckets).count() == 18
+    parts = [tables.read_long(spark, str(tmp_path / "buckets"), bucket=b).count() for b in range(3)]
+    assert sum(parts) == 9 and max(parts) < 9
+
+
+def test_words_of_any_script(spark):
+    from contrast.fixtures import WORD_BREAK
+    from pyspark.sql import functions as F
+
+    text = spark.createDataFrame([("Été, größe señor; naı\u0308ve x2y",)], "t string")
+    words = text.select(F.split(F.lower("t"), WORD_BREAK).alias("w")).first()["w"]
+    assert words == ["été", "größe", "señor", "naı\u0308ve", "x", "y"]
 
 
 def test_audit(spark, long_of):
