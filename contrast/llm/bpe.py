@@ -158,6 +158,8 @@ def encode(docs, path=None, pattern=None):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
                 )
+        # An idle worker keeps its memory.
+        coder.memo.clear()
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -214,5 +216,6 @@ def encoded_documents(docs, path=None):
                     ],
                     names=["doc_id", "n_tokens", "ids", "exact"],
                 )
+        coder.memo.clear()
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, exact boolean")

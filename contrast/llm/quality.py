@@ -67,6 +67,7 @@ class _Words(dict):
         return value
 
 
+# Emptied at the end of a task, as an idle worker keeps its memory.
 _words = _Words()
 
 
@@ -145,6 +146,7 @@ def count_ngrams(marked):
                 raw += np.bincount(np.concatenate(grams), minlength=BUCKETS)
                 for row in np.flatnonzero(label == 1):
                     target += np.bincount(grams[row], minlength=BUCKETS)
+        _words.clear()
         bucket = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket), pa.array(raw[bucket]), pa.array(target[bucket])],
@@ -185,6 +187,7 @@ def importances(marked, ratios):
                     ],
                     names=["doc_id", "text_hash", "label", "importance", "n_grams"],
                 )
+        _words.clear()
 
     return marked.select("doc_id", "text", "label", F.xxhash64("text").alias("text_hash")).mapInArrow(
         run, "doc_id long, text_hash long, label int, importance double, n_grams long"
