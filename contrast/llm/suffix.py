@@ -188,9 +188,9 @@ def _group_of(ids, n):
     return (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-# Of a gram 40 bits are sent besides its bucket: grams that agree in these are told apart
-# by their contexts.
-_SUFFIX = (np.uint32, np.uint8, np.uint32, np.int64, np.uint16, np.uint32)
+# Of a gram 32 bits are sent besides its bucket: grams that agree in these are told apart
+# by their contexts, which are sent whole. Ids are sent as differences.
+_SUFFIX = (np.uint32, np.uint64, np.int64, np.uint16, np.uint32)
 _ANSWER = (np.int64, np.uint16, np.uint32, np.uint8)
 _RUNS = (np.int64, np.uint16, np.uint32, np.uint32)
 _EDGE = (np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)
@@ -240,10 +240,8 @@ def suffix_records(docs, buckets, groups):
                 own = keep[rows]
                 kinds.append(0)
                 parts.append(b)
-                low, high = (gram[own] >> np.uint64(24)).astype(np.uint32), (gram[own] >> np.uint64(56)).astype(np.uint8)
-                loads.append(
-                    _pack(low, high, context[own].astype(np.uint32), ids[own], mark[own], at[own])
-                )
+                high = (gram[own] >> np.uint64(32)).astype(np.uint32)
+                loads.append(_pack(high, context[own], np.diff(ids[own], prepend=np.int64(0)), mark[own], at[own]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(loads, pa.binary())],
                 names=["kind", "part", "payload"],
@@ -335,10 +333,9 @@ def rank_buckets(records, groups):
             if kind == 1:
                 yield _group_batch([part] * len(payloads), payloads)
                 return
-            first, second, context, ids, mark, at = (
-                np.concatenate(c) for c in zip(*(_unpack(p, *_SUFFIX) for p in payloads), strict=True)
-            )
-            gram = second.astype(np.uint64) << np.uint64(32) | first
+            loads = [_unpack(p, *_SUFFIX) for p in payloads]
+            gram, context, steps, mark, at = (np.concatenate(c) for c in zip(*loads, strict=True))
+            ids = np.concatenate([np.cumsum(load[2]) for load in loads])
             low, by_gram = _least_by((gram,), ids)
             high = -_least_by((gram,), -ids)[0]
             least, by_context = _least_by((gram, context), ids)

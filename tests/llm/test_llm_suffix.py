@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contrast.llm import suffix as X
@@ -89,5 +90,42 @@ def test_planes_round_trip():
     assert (x == a).all() and (y == b).all()
 
 
+class Local:
+    """Stands for a table; its mapInArrow hands out the function."""
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_contexts_count_in_all_their_bits(spark, monkeypatch):
+    """Contexts of one gram that agree in half their bits are different strings."""
+
+    def sampled(texts, *_):
+        n = len(texts)
+        zero = np.zeros(n, np.int64)
+        return np.arange(n), zero, zero, zero + 1, np.full(n, 7 << 40, np.uint64), np.array([int(t) for t in texts], np.uint64)
+
+    monkeypatch.setattr(X, "_raw", lambda docs: Local())
+    monkeypatch.setattr(X, "_sampled_texts", sampled)
+    send, rank = X.suffix_records(None, 1, 1), X.rank_buckets(Local(), 1)
+
+    def answers(*contexts):
+        sent = []
+        for i, context in enumerate(contexts):
+            columns = [pa.array([i]), pa.array([str(context).encode()]), pa.array([0])]
+            sent += send([pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", "mark"])])
+        found = [X._unpack(load, *X._ANSWER) for batch in rank(sent) for load in batch.column(1).to_pylist()]
+        return {int(i): int(flag) for ids, _, _, flags in found for i, flag in zip(ids, flags, strict=True)}
+
+    for other in (5 | 1 << 40, 5 | 1 << 20):
+        assert answers(5, other) == {0: X.OPEN, 1: X.OPEN}
+    assert answers(5, 5) == {1: X.RESOLVED}
+
+
 def test_empty_table(documents):
     assert X.repeats_report(documents([(1, "x")]).where(F.lit(False))).count() == 0
