@@ -123,36 +123,41 @@ def _sampled(data, ends):
     return at, first, last - first + 1, gram[at], context
 
 
-def _pieces(texts):
+def _pieces(texts, piece=None):
     """Texts in pieces: (row, offset, bytes) lists; long texts overlap themselves."""
+    most = piece or PIECE
     held, size = [], 0
     for row, text in enumerate(texts):
         at = 0
         while True:
-            part = text[at : at + PIECE]
-            if held and size + len(part) > PIECE:
+            part = text[at : at + most]
+            if held and size + len(part) > most:
                 yield held
                 held, size = [], 0
             held.append((row, at, part))
             size += len(part)
-            if at + PIECE >= len(text):
+            if at + most >= len(text):
                 break
-            at += PIECE - MATCH + 1
+            at += most - MATCH + 1
     if held:
         yield held
 
 
-def _sampled_texts(texts):
-    """Arrays over all texts: row, at (in the text), first, count, gram, context."""
+def _sampled_texts(texts, piece=None):
+    """Arrays over all texts: row, at (in the text), first, count, gram, context.
+
+    A place whose strings lie on both sides of a seam comes twice, with its own strings
+    and context on either side; ``first`` tells the two apart.
+    """
     parts = []
-    for piece in _pieces(texts):
-        lengths = np.array([len(part) for _, _, part in piece])
+    for held in _pieces(texts, piece):
+        lengths = np.array([len(part) for _, _, part in held])
         ends = np.cumsum(lengths)
-        data = np.frombuffer(b"".join(part for _, _, part in piece), np.uint8)
+        data = np.frombuffer(b"".join(part for _, _, part in held), np.uint8)
         at, first, count, gram, context = _sampled(data, ends)
         which = np.searchsorted(ends, first, "right")
-        shift = np.array([offset for _, offset, _ in piece]) - (ends - lengths)
-        row = np.array([row for row, _, _ in piece])
+        shift = np.array([offset for _, offset, _ in held]) - (ends - lengths)
+        row = np.array([row for row, _, _ in held])
         parts.append((row[which], at + shift[which], first + shift[which], count, gram, context))
     return [np.concatenate(column) for column in zip(*parts, strict=True)]
 
@@ -189,7 +194,8 @@ def _group_of(ids, n):
 
 
 # Of a gram 32 bits are sent besides its bucket: grams that agree in these are told apart
-# by their contexts, which are sent whole. Ids are sent as differences.
+# by their contexts, which are sent whole. Ids are sent as differences. A suffix is named
+# by the first of its strings, as no string belongs to two.
 _SUFFIX = (np.uint32, np.uint64, np.int64, np.uint16, np.uint32)
 _ANSWER = (np.int64, np.uint16, np.uint32, np.uint8)
 _RUNS = (np.int64, np.uint16, np.uint32, np.uint32)
@@ -213,7 +219,7 @@ def _least_by(keys, ids):
     return least, number
 
 
-def suffix_records(docs, buckets, groups):
+def suffix_records(docs, buckets, groups, piece=None):
     """``kind``, ``part``, ``payload``: sampled suffixes by bucket, and local answers.
 
     Kind 0: suffixes for bucket ``part``. Kind 1: answers for text group ``part`` that
@@ -224,7 +230,7 @@ def suffix_records(docs, buckets, groups):
         held, size = [], 0
 
         def out():
-            gram, context, ids, mark, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, context, ids, mark, first = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             kinds, parts, loads = [], [], []
             least, number = _least_by((gram, context), ids)
@@ -233,7 +239,7 @@ def suffix_records(docs, buckets, groups):
                 flag = np.full(len(rows), RESOLVED, np.uint8)
                 kinds.append(1)
                 parts.append(group)
-                loads.append(_pack(ids[known][rows], mark[known][rows], at[known][rows], flag))
+                loads.append(_pack(ids[known][rows], mark[known][rows], first[known][rows], flag))
             keep = np.flatnonzero(~known)
             bucket = (gram[keep] % np.uint64(buckets)).astype(np.int64)
             for b, rows in _grouped(bucket, buckets):
@@ -241,7 +247,7 @@ def suffix_records(docs, buckets, groups):
                 kinds.append(0)
                 parts.append(b)
                 high = (gram[own] >> np.uint64(32)).astype(np.uint32)
-                loads.append(_pack(high, context[own], np.diff(ids[own], prepend=np.int64(0)), mark[own], at[own]))
+                loads.append(_pack(high, context[own], np.diff(ids[own], prepend=np.int64(0)), mark[own], first[own]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(loads, pa.binary())],
                 names=["kind", "part", "payload"],
@@ -252,9 +258,9 @@ def suffix_records(docs, buckets, groups):
             marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint16)
             for start in range(0, batch.num_rows, 512):
                 texts = batch.column(1).slice(start, 512).to_pylist()
-                row, at, _, _, gram, context = _sampled_texts(texts)
+                row, _, first, _, gram, context = _sampled_texts(texts, piece)
                 row = row + start
-                held.append((gram, context, ids[row], marks[row], at.astype(np.uint32)))
+                held.append((gram, context, ids[row], marks[row], first.astype(np.uint32)))
                 size += len(row)
                 if size >= RECORDS:
                     yield out()
@@ -334,7 +340,7 @@ def rank_buckets(records, groups):
                 yield _group_batch([part] * len(payloads), payloads)
                 return
             loads = [_unpack(p, *_SUFFIX) for p in payloads]
-            gram, context, steps, mark, at = (np.concatenate(c) for c in zip(*loads, strict=True))
+            gram, context, _, mark, first = (np.concatenate(c) for c in zip(*loads, strict=True))
             ids = np.concatenate([np.cumsum(load[2]) for load in loads])
             low, by_gram = _least_by((gram,), ids)
             high = -_least_by((gram,), -ids)[0]
@@ -347,7 +353,7 @@ def rank_buckets(records, groups):
             is_open = shared & ~resolved & (contexts > 1)[by_gram]
             keep = resolved | is_open
             flag = np.where(resolved, RESOLVED, OPEN).astype(np.uint8)
-            answers.add(ids[keep], mark[keep], at[keep], flag[keep])
+            answers.add(ids[keep], mark[keep], first[keep], flag[keep])
             if answers.size > RECORDS:
                 yield answers.batch()
 
@@ -426,7 +432,7 @@ def _texts_of(column):
     return ids, marks, texts
 
 
-def edges(docs, answers, buckets, groups):
+def edges(docs, answers, buckets, groups, piece=None):
     """``kind``, ``part``, ``payload`` from the texts and the answers about them.
 
     Kind 0: contexts of open suffixes, by bucket of their gram. Kind 1: removed runs, by
@@ -439,16 +445,15 @@ def edges(docs, answers, buckets, groups):
         known = [i for i, key in enumerate(zip(ids, marks, strict=True)) if key in where]
         runs, open_ = [], []
         row, at, first, count, gram, _ = (
-            _sampled_texts([texts[i] for i in known]) if known else [np.zeros(0, np.int64)] * 6
+            _sampled_texts([texts[i] for i in known], piece) if known else [np.zeros(0, np.int64)] * 6
         )
         cuts = np.searchsorted(row, np.arange(len(known) + 1))
         for k, i in enumerate(known):
             a, b = where[ids[i], marks[i]]
             own = slice(cuts[k], cuts[k + 1])
-            # At a seam of a long text a place may be sampled twice: both have its answer.
-            place = np.searchsorted(data[2][a:b], at[own])
+            place = np.searchsorted(data[2][a:b], first[own])
             place = np.minimum(place, b - a - 1)
-            flag = np.where(data[2][a:b][place] == at[own], data[3][a:b][place], 0)
+            flag = np.where(data[2][a:b][place] == first[own], data[3][a:b][place], 0)
             done = flag == RESOLVED
             start, end = _merged(first[own][done], first[own][done] + count[own][done] - 1 + MATCH)
             runs.append((np.full(len(start), ids[i]), np.full(len(start), marks[i]), start, end))
@@ -533,20 +538,20 @@ def rank_edges(contexts, groups):
     return contexts.mapInArrow(run, "part int, payload binary")
 
 
-def removed_runs(docs):
+def removed_runs(docs, piece=None):
     """``part``, ``payload`` (``_RUNS``): removed runs by text group, and the group count."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = BUCKETS * width, GROUPS * width
-    records = _by_part(suffix_records(docs, buckets, groups), width)
+    records = _by_part(suffix_records(docs, buckets, groups, piece), width)
     answers = rank_buckets(records, groups)
-    found = settle(edges(docs, answers, buckets, groups), "edges")
+    found = settle(edges(docs, answers, buckets, groups, piece), "edges")
     late = rank_edges(_by_part(found.where("kind = 0"), width), groups)
     return found.where("kind = 1").select("part", "payload").unionByName(late), groups
 
 
-def remove_repeats(docs):
+def remove_repeats(docs, piece=None):
     """``doc_id``, ``raw`` (whole bytes), ``kept`` (remaining bytes), ``n_removed``, ``n_spans``."""
-    runs, groups = removed_runs(docs)
+    runs, groups = removed_runs(docs, piece)
 
     def run(left, right):
         data, where = _keyed(right["payload"], _RUNS)
@@ -578,8 +583,9 @@ def remove_repeats(docs):
     )
 
 
-def repeats_report(docs):
-    return remove_repeats(docs).select(
+def repeats_report(docs, piece=None):
+    """Removed bytes of every row; texts of over ``piece`` bytes are read in pieces."""
+    return remove_repeats(docs, piece).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
 

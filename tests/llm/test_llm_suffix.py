@@ -127,5 +127,26 @@ def test_contexts_count_in_all_their_bits(spark, monkeypatch):
     assert answers(5, 5) == {1: X.RESOLVED}
 
 
+def seams():
+    """Long copies with edits beside the seams of pieces of 257 bytes, and copies that end there."""
+    rng = random.Random(11)
+    rows, step = [], 257 - X.MATCH + 1
+    for n in range(12):
+        text = "".join(rng.choice("abcdefgh") for _ in range(257 + 6 * step))
+        rows.append((1000 * n, text))
+        for j in range(30):
+            copy = list(text)
+            for seam in range(step, len(text), step):
+                copy[min(len(copy) - 1, max(0, seam + rng.randint(-60, 110)))] = "x"
+            end = rng.choice([len(copy), step * rng.randint(2, 6) + rng.randint(-5, 60)])
+            rows.append((1000 * n + 1 + j, "".join(copy[:end])))
+    return rows
+
+
+def test_edits_at_the_seams_of_long_texts(documents):
+    rows = seams()
+    assert reported(X.repeats_report(documents(rows), 257)) == plain(rows)
+
+
 def test_empty_table(documents):
     assert X.repeats_report(documents([(1, "x")]).where(F.lit(False))).count() == 0
