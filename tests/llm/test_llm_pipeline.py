@@ -50,6 +50,37 @@ def test_every_stage_against_brute_force(spark, folder):
     assert len(encoded) == len(mixed)
 
 
+def test_near_copies_of_every_similarity(spark, documents):
+    """Near copies at 0.8 or more go, those below stay, as brute force over all pairs has it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(6))
+    rows = []
+    for n in range(60):
+        base = [word() for _ in range(150)]
+        rows.append((10 * n, " ".join(base)))
+        for j in range(1, 4):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 5)):
+                copy[at] = word()
+            rows.append((10 * n + j, " ".join(copy)))
+
+    def cut(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets, root, pairs = {k: cut(t) for k, t in rows}, {k: k for k, _ in rows}, []
+    for a in sets:
+        for b in range(a + 1, a - a % 10 + 4):
+            likeness = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if likeness >= 0.8:
+                pairs.append(likeness)
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert min(pairs) < 0.83 and len(pairs) > 60 and len(set(root.values())) > 60
+    kept = [r["doc_id"] for r in P.keep_one_of_near(spark, documents(rows), None).collect()]
+    assert sorted(kept) == sorted(set(root.values()))
+
+
 def test_run_and_registration(spark, folder):
     import __spark_entry__ as registry
 
