@@ -1,22 +1,22 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a cover sample.
+"""Removal of repeated byte strings by content sampling and hash grouping.
 
 A byte goes if it lies in a string of ``MATCH`` bytes that also starts in a document of
-smaller id. So all suffixes of all texts have to be sorted, up to ``MATCH`` bytes.
+smaller id. So equal strings of ``MATCH`` bytes have to be brought together, and the least
+id of each found. No suffix is ordered and no rank is made: strings are grouped by hash.
 
 A difference cover is a sample of positions such that any two equal strings have a sampled
-position at equal distance from their starts; the ranks of sampled suffixes then decide
-ties. A cover by residues samples about a fifth of all positions. Here the cover goes by
+position at equal distance from their starts. A cover by residues samples about a fifth of all positions. Here the cover goes by
 content: of the grams in every string of ``MATCH`` bytes the one of least hash is
 sampled (the first, if it repeats). Equal strings sample the same place, so the
 property holds, with about one position in sixteen. Each string belongs to exactly one sampled position, and the strings of a
 position are a run of neighbouring starts: its context is what they cover together.
 
-1. The sampled suffixes are dealt to buckets by their gram and sorted one bucket at a
-   time. Suffixes with the same gram and the same context tie in full length; the rank
-   of their context decides for all their strings at once.
+1. The sampled suffixes are dealt to buckets by their gram and grouped by gram and
+   context hash one bucket at a time. The least id of a group decides for all its strings
+   at once.
 2. Suffixes whose gram is shared but whose context isn't (edges of repeated passages)
    send their contexts, at most ``2 * MATCH`` bytes, to buckets again. There every string
-   is ranked by its whole ``MATCH`` bytes.
+   is grouped by the hash of its whole ``MATCH`` bytes.
 3. The runs of removed starts go back to the texts.
 
 Before the first shuffle a task answers what it can: of equal contexts in a part of
@@ -326,7 +326,7 @@ def _group_batch(groups, loads):
 
 
 def rank_buckets(records, groups):
-    """``part``, ``payload``: what sorting the buckets says of the suffixes (``_ANSWER``).
+    """``part``, ``payload``: what grouping the buckets says of the suffixes (``_ANSWER``).
 
     Resolved: all strings of the suffix start in a smaller id. Open: its gram is shared,
     and its strings have to be looked at. Suffixes with neither are left out.
