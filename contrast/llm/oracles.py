@@ -133,7 +133,7 @@ def _secrets():
 ROTATION = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
-), sound AS (
+), sound AS MATERIALIZED (
   SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
     AND list_bool_and([e IS NOT NULL AND isfinite(e) FOR e IN x]) AND list_bool_or([e <> 0 FOR e IN x])
 ), links AS (
