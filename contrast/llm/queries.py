@@ -1,6 +1,20 @@
 """One query for each operator, over its whole table."""
 
-from contrast.llm import bpe, fingerprint, mixing, quality, repair, rotation, secrets, simhash, suffix, toxicity
+from contrast.llm import (
+    bpe,
+    fingerprint,
+    mixing,
+    negatives,
+    quality,
+    repair,
+    rotation,
+    secrets,
+    simhash,
+    spelling,
+    suffix,
+    thresholds,
+    toxicity,
+)
 from contrast.llm.common import importable, read
 
 
@@ -22,6 +36,11 @@ def _toxicity(spark, sf_dir):
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _thresholds(spark, sf_dir):
+    importable(spark)
+    return thresholds.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secrets": _over("documents", secrets.secret_report),
     "op2_simhash": _over("documents", simhash.simhash_report),
@@ -33,4 +52,7 @@ QUERIES = {
     "op8_mixing": _over("documents", mixing.mix_report),
     "op9_rotation_codes": _over("embeddings", rotation.vector_groups),
     "op10_repair": _over("documents", repair.repair_report),
+    "op11_hard_negatives": _over("embeddings", negatives.negatives_report),
+    "op12_spelling": _over("documents", spelling.spelling_groups),
+    "op13_thresholds": _thresholds,
 }
