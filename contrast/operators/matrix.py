@@ -6,8 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import functions as F
 
 from contrast import settings as S
@@ -15,12 +13,10 @@ from contrast.functions.columns import fill_slots
 from contrast.operators.moments import merge_zeros
 from contrast.plans.ordered import place, rank
 from contrast.plans.settle import attach_constants, join_side, settle
+from contrast.plans.tall import Scaled, truncated_svd
 
 # Samples per block of the sample axis: the bound of every collected array.
 BLOCK = 1024
-# Least singular value that counts, relative to the largest. The Gramian squares the
-# condition, so smaller ones are below the precision of a double.
-R_COND = 1e-6
 
 
 def label_cohort(long, domain, control_only=False):
@@ -203,43 +199,47 @@ def standardize(vectors):
 
 
 def _decompose(vectors, k):
-    """Standardised rows and their truncated SVD, whose V is with the driver."""
-    scaled = standardize(settle(vectors, "vectors"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled"))
-    return scaled, matrix.computeSVD(k, rCond=R_COND)
+    """Settled rows, their standardisation (mean, scale), singular values and V."""
+    arrays = vectors.withColumn("features", vector_to_array("features"))
+    rows = settle(arrays, "vectors")
+    if rows.isEmpty():
+        return rows, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((0, 0))
+    scaler = StandardScaler(inputCol="features", withMean=True, withStd=True)
+    fitted = scaler.fit(rows.select(array_to_vector("features").alias("features")))
+    mean, deviation = fitted.mean.toArray(), fitted.std.toArray()
+    scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0.0)
+    sigma, right = truncated_svd(Scaled(rows, "features", mean, scale), k)
+    return rows, mean, scale, sigma, right
 
 
 def svd_features(vectors, k=S.SVD_COMPONENTS):
     """Left singular vectors of the standardised matrix, and the singular values.
 
-    The decomposition runs on the Gramian in the JVM. Only V (features x k, bounded
-    by the feature list) reaches the driver; U is one product per batch of rows, so
-    the sample ids never leave their rows. Fewer than ``k`` components come back
-    when the matrix has no more: what is below ``R_COND`` of the largest singular value
-    is noise of the Gramian.
+    The decomposition goes by small R factors of the rows (``plans/tall.py``). Only V
+    (features x k) reaches the driver; U is one product per batch of rows, so the sample
+    ids never leave their rows. Fewer than ``k`` components come back when the matrix has
+    no more. Signs are fixed: a component's largest loading is positive.
     """
-    scaled, svd = _decompose(vectors, k)
-    sigma = svd.s.toArray()
-    project = svd.V.toArray() / sigma
+    rows, mean, scale, sigma, right = _decompose(vectors, k)
+    project = right / sigma
 
     @F.pandas_udf("array<double>")
-    def left(rows: pd.Series) -> pd.Series:
-        if rows.empty:
+    def left(arrays: pd.Series) -> pd.Series:
+        if arrays.empty:
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(rows.to_numpy()) @ project))
+        return pd.Series(list(((np.stack(arrays.to_numpy()) - mean) * scale) @ project))
 
     others = [name for name in vectors.columns if name != "features"]
-    reduced = scaled.select(*others, left(vector_to_array("scaled")).alias("svd"))
+    reduced = rows.select(*others, left("features").alias("svd"))
     return reduced, [float(value) for value in sigma]
 
 
 def svd_loadings(vectors, k=S.SVD_COMPONENTS):
     """Right singular vectors: component, position, loading and singular value."""
-    _, svd = _decompose(vectors, k)
-    loadings = svd.V.toArray()
+    _, _, _, sigma, loadings = _decompose(vectors, k)
     rows = [
-        (component, pos, float(loadings[pos, component]), float(sigma))
-        for component, sigma in enumerate(svd.s.toArray())
+        (component, pos, float(loadings[pos, component]), float(value))
+        for component, value in enumerate(sigma)
         for pos in range(len(loadings))
     ]
     schema = "component int, pos int, loading double, sigma double"

@@ -9,8 +9,9 @@ def _r(expression, name, digits=6):
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-def _query(ctes, final):
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n" + final
+def _query(ctes, final, recursive=False):
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n" + final
 
 
 # --- fixtures ----------------------------------------------------------------
@@ -335,6 +336,89 @@ COLLAPSED = (
     ]
 )
 
+# Squarings that turn the Gramian into the projector of its first component.
+SQUARINGS = 26
+
+
+def _components(k):
+    """Components of ``vec`` (sample_id, pos, v), one after the other.
+
+    The Gramian of the standardised positions is squared until only its first component is
+    left; that component is taken out of it, and the next one follows. Matrices are lists of
+    symmetric rows. The loading of largest size is positive.
+    """
+    squared = "[[list_dot_product(a, b) / size FOR b IN m] FOR a IN m]"
+    taken = (
+        "list_transform(g, lambda a, i: list_transform(a, lambda x, j: "
+        "x - m[i][j] / weight * (list_sum([list_dot_product(g[r], m[r]) FOR r IN range(1, len(g) + 1)]) / weight)))"
+    )
+    return [
+        (
+            "scaled",
+            """SELECT sample_id, pos, coalesce((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 0) AS z
+            FROM vec WINDOW w AS (PARTITION BY pos)""",
+        ),
+        (
+            "gram",
+            """SELECT list(line ORDER BY i) AS g FROM (
+              SELECT i, list(value ORDER BY j) AS line FROM (
+                SELECT a.pos AS i, b.pos AS j, sum(a.z * b.z) AS value
+                FROM scaled a JOIN scaled b USING (sample_id) GROUP BY ALL) GROUP BY i)""",
+        ),
+        (
+            "power",
+            f"""SELECT 0 AS c, 0 AS t, g AS m, g FROM gram
+            UNION ALL
+            SELECT CASE WHEN t < {SQUARINGS} THEN c ELSE c + 1 END, CASE WHEN t < {SQUARINGS} THEN t + 1 ELSE 0 END,
+              CASE WHEN t < {SQUARINGS} THEN {squared} ELSE {taken} END,
+              CASE WHEN t < {SQUARINGS} THEN g ELSE {taken} END
+            FROM (SELECT *, list_sum([list_dot_product(a, a) FOR a IN m]) AS size,
+                    list_sum([m[r][r] FOR r IN range(1, len(m) + 1)]) AS weight FROM power)
+            WHERE c < {k}""",
+        ),
+        (
+            "loadings",
+            """SELECT c, [x / sqrt(m[j][j]) / sqrt(weight) FOR x IN m[j]] AS loading,
+              list_sum([list_dot_product(g[r], m[r]) FOR r IN range(1, len(g) + 1)]) / weight AS energy
+            FROM (SELECT *, list_position(diagonal, list_max(diagonal)) AS j, list_sum(diagonal) AS weight
+                  FROM (SELECT *, [m[r][r] FOR r IN range(1, len(m) + 1)] AS diagonal FROM power
+                        WHERE t = %d))""" % SQUARINGS,
+        ),
+        (
+            "components",
+            """SELECT sample_id, c, sum(z * loading[pos + 1]) / sqrt(any_value(energy)) AS u
+            FROM scaled CROSS JOIN loadings GROUP BY ALL""",
+        ),
+    ]
+
+
+def _flat(k):
+    return ", ".join(_r(f"max(u) FILTER (c = {i})", f"svd_{i}") for i in range(k))
+
+
+# The most variable merged features of all cohorts, densified, and their positions.
+VARIABLE = (
+    _retail("r_name", BRAND_TYPE)
+    + [("kept", "SELECT * FROM lng WHERE grp <> 'other'")]
+    + _norm("kept")
+    + [
+        ("ids", "SELECT regexp_replace(feature_id, '\\..*$', '') AS base, count(DISTINCT feature_id) AS n FROM kept GROUP BY 1"),
+        (
+            "merged",
+            """SELECT base, sample_id, coalesce(total, 0) / n AS v
+            FROM ids CROSS JOIN (SELECT DISTINCT sample_id FROM kept) LEFT JOIN (
+              SELECT regexp_replace(feature_id, '\\..*$', '') AS base, sample_id, sum(y) AS total FROM norm GROUP BY 1, 2
+            ) USING (base, sample_id)""",
+        ),
+        (
+            "best",
+            """SELECT base, row_number() OVER (ORDER BY var_samp(v) DESC, base) - 1 AS pos
+            FROM merged GROUP BY base QUALIFY pos < 20""",
+        ),
+        ("vec", "SELECT sample_id, pos, v FROM merged JOIN best USING (base)"),
+    ]
+)
+
 DRAWS = [
     (
         "draws",
@@ -697,6 +781,29 @@ ORACLES = {
         f"""SELECT a.pos AS i, b.pos AS j, {_r('corr(a.v, b.v) * (count(*) - 1)', 'value')}
         FROM vec a JOIN vec b ON a.sample_id = b.sample_id GROUP BY a.pos, b.pos""",
     ),
+    "svd_features": _query(
+        VECTORS + _components(50),
+        f"""SELECT sample_id, CAST(any_value(label) AS VARCHAR) AS domain, CAST(any_value(label) >= 5 AS BIGINT) AS is_case,
+          {_flat(50)}
+        FROM components JOIN (SELECT DISTINCT sample_id, label FROM vec) USING (sample_id) GROUP BY sample_id""",
+        recursive=True,
+    ),
+    "projection": _query(
+        VECTORS + _components(3),
+        f"""SELECT sample_id, CAST(any_value(label) AS VARCHAR) AS domain, CAST(any_value(label) >= 5 AS BIGINT) AS is_case,
+          {_r('max(u) FILTER (c = 0)', 'component_x')}, {_r('max(u) FILTER (c = 2)', 'component_y')}
+        FROM components JOIN (SELECT DISTINCT sample_id, label FROM vec) USING (sample_id) GROUP BY sample_id""",
+        recursive=True,
+    ),
+    "reduced_cohorts": _query(
+        VARIABLE + _components(10),
+        f"""SELECT sample_id, any_value(domain) AS domain, any_value(is_case) AS is_case,
+          any_value(domain) || '-' || CASE any_value(is_case) WHEN 1 THEN 'case' ELSE 'control' END AS group_label,
+          {_flat(10)}
+        FROM components JOIN (SELECT DISTINCT sample_id, cohort AS domain, CAST(grp = 'case' AS BIGINT) AS is_case
+                              FROM kept) USING (sample_id) GROUP BY sample_id""",
+        recursive=True,
+    ),
     "reduced_labels": _query(
         _retail("r_name", BRAND_TYPE),
         """SELECT DISTINCT sample_id, cohort AS domain, CAST(grp = 'case' AS BIGINT) AS is_case,

@@ -389,7 +389,7 @@ def _reduced(spark, sf_dir, k=S.SVD_COMPONENTS):
 
 
 def svd_features(spark, sf_dir):
-    return matrix.flatten_components(_reduced(spark, sf_dir), S.SVD_COMPONENTS)
+    return shown(matrix.flatten_components(_reduced(spark, sf_dir), S.SVD_COMPONENTS))
 
 
 def svd_scores_norm(spark, sf_dir):
@@ -428,7 +428,7 @@ def svd_row_energy(spark, sf_dir):
 
 
 def projection(spark, sf_dir):
-    return matrix.projection(_reduced(spark, sf_dir), 0, 2)
+    return shown(matrix.projection(_reduced(spark, sf_dir), 0, 2))
 
 
 def reduced_cohorts(spark, sf_dir):
@@ -436,7 +436,7 @@ def reduced_cohorts(spark, sf_dir):
     long = X.retail(spark, sf_dir, by_region=True, features=X.BRAND_TYPE).where("group <> 'other'")
     labelled = flows.labelled_union(X.contrast_of(long), X.baseline_of(long))
     reduced, _, _ = flows.reduce_cohorts(labelled, n_features=20, k=10, implicit_zeros=True)
-    return matrix.flatten_components(reduced, 10)
+    return shown(matrix.flatten_components(reduced, 10))
 
 
 def reduced_labels(spark, sf_dir):

@@ -62,4 +62,4 @@ def test_every_query_has_an_oracle_or_is_a_model():
     from contrast.queries import QUERIES
 
     without = set(QUERIES) - set(ORACLES)
-    assert without <= {"svd_features", "projection", "rf_reduced", "rf_importance", "reduced_cohorts"}
+    assert without <= {"rf_reduced", "rf_importance"}
