@@ -6,13 +6,11 @@ from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.moments import merge_zeros
 from contrast.operators.normalize import group_sizes, log_cpm, sample_table
-from contrast.plans.ordered import BUCKET, group_quantile, place, rank
-from contrast.plans.settle import attach_constants, join_side, settle
+from contrast.plans.ordered import BUCKET, group_quantile, group_rank, place, rank
+from contrast.plans.settle import attach_constants, settle
 from contrast.plans.topk import top_k
 
 FEATURE = ["cohort", "feature_id"]
-# Implicit zeros made from one row: bounds the array behind each explode.
-ZERO_CHUNK = 100_000
 SCORE = [
     *FEATURE,
     "symbol",
@@ -27,52 +25,46 @@ SCORE = [
 
 
 def baseline_profile(long, implicit_zeros=False):
-    """Mean and approximate median of log-CPM per feature; no expression filter.
+    """Mean and exact median of log-CPM per feature; no expression filter.
 
-    With ``implicit_zeros`` the median is 0 unless at least half of the samples
-    have the feature. Only for those features are zero values added, and never
-    more of them than the feature has cells.
+    The median is the least value that at least half of the values don't exceed. With
+    ``implicit_zeros`` the samples without a cell count as one value 0 of that weight: they
+    only shift the rank to look for, and most features are settled by their counts alone.
+    No zero row is made.
     """
     samples = sample_table(long)
     cells = log_cpm(long, samples).where("lib_size > 0")
-    median = F.percentile_approx("logcpm", 0.5).alias("baseline_median_logcpm")
-    if not implicit_zeros:
-        return cells.groupBy(*FEATURE).agg(
-            F.avg("logcpm").alias("baseline_mean_logcpm"), median
-        )
     summary = cells.groupBy(*FEATURE).agg(
-        F.count("*").alias("_rows"), F.count("logcpm").alias("_n"), F.avg("logcpm").alias("_mean")
+        F.count("*").alias("_rows"),
+        F.count("logcpm").alias("_n"),
+        F.avg("logcpm").alias("_mean"),
+        F.count_if(F.col("logcpm") < 0).alias("_below"),
+        F.count_if(F.col("logcpm") == 0).alias("_nil"),
     )
-    sizes = group_sizes(samples).select("cohort", "size_all")
-    zeros = F.col("size_all") - F.col("_rows")
-    sized = settle(attach_constants(summary, sizes, ["cohort"]).withColumn("_zeros", zeros), "profile")
-    crowded = sized.where("_n >= _zeros").select(*FEATURE, "_zeros")
-    absent = _zero_rows(crowded)
-    present = join_side(cells, crowded.drop("_zeros"), FEATURE, "left_semi")
-    medians = (
-        present.select(*FEATURE, "logcpm")
-        .unionByName(absent.select(*FEATURE, F.lit(0.0).alias("logcpm")))
-        .groupBy(*FEATURE)
-        .agg(median)
+    zeros = F.lit(0).cast("long")
+    if implicit_zeros:
+        sizes = group_sizes(samples).select("cohort", "size_all")
+        summary = attach_constants(summary, sizes, ["cohort"])
+        zeros = F.col("size_all") - F.col("_rows")
+    middle = F.ceil((F.col("_n") + F.col("_zeros")) / 2)
+    nil = F.col("_nil") + F.col("_zeros")
+    position = (
+        F.when(middle <= F.col("_below"), middle)
+        .when(middle <= F.col("_below") + nil, F.lit(None))
+        .otherwise(middle - F.col("_zeros"))
     )
+    sized = settle(summary.withColumn("_zeros", zeros).withColumn("_rank", position), "profile")
+    wanted = sized.where("_rank > 0").select(*FEATURE, "_rank")
+    medians = group_rank(cells, FEATURE, "logcpm", wanted, "_median")
     _, mean, _ = merge_zeros(F.col("_n"), F.col("_mean"), F.lit(0.0), F.col("_zeros"))
+    some = F.col("_n") + F.col("_zeros") > 0
     return sized.join(medians, FEATURE, "left").select(
         *FEATURE,
         mean.alias("baseline_mean_logcpm"),
-        F.coalesce("baseline_median_logcpm", F.lit(0.0)).alias("baseline_median_logcpm"),
+        F.when(some, F.coalesce("_median", F.lit(0.0))).alias("baseline_median_logcpm"),
     )
 
 
-def _zero_rows(crowded):
-    """``_zeros`` rows per feature, made in chunks that are spread over the tasks."""
-    chunk = F.lit(ZERO_CHUNK)
-    starts = F.sequence(F.lit(0).cast("long"), F.col("_zeros") - 1, chunk)
-    chunks = crowded.where("_zeros > 0").select(*FEATURE, "_zeros", F.explode(starts).alias("_start"))
-    spread = chunks.repartition(*FEATURE, "_start")
-    length = F.least(chunk, F.col("_zeros") - F.col("_start"))
-    return spread.select(*FEATURE, F.explode(F.sequence(F.lit(1).cast("long"), length)))
-
-
 def effect_baseline_join(de, baseline):
     """Tested features that the baseline cohort also has."""
     return de.join(baseline, FEATURE)

@@ -9,9 +9,11 @@ the buckets before or after. A hot group simply spans more buckets.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contrast.plans.settle import settle
+from contrast.plans.settle import join_side, settle
 
 BUCKET = "_bucket"
+# Steps of a histogram per doubling of (1 + value).
+STEPS = 64
 
 
 def place(df, by, order):
@@ -89,3 +91,33 @@ def group_quantile(df, by, value, q, out):
     return ends.select(
         *by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out)
     )
+
+
+def _step(value):
+    """A whole number that never falls as the value grows; some 131,000 of them at most."""
+    size = F.floor(F.log2(F.abs(value) + 1) * STEPS)
+    return F.when(value < 0, -size).otherwise(size)
+
+
+def group_rank(df, by, value, ranks, out):
+    """The value of a rank (1-based, ascending) in every group that ``ranks`` lists.
+
+    Exact, and independent of how the rows are partitioned. ``ranks`` is settled and has
+    ``by`` and ``_rank``. A histogram of each group shows the step that holds the rank;
+    only the rows of this one step are sorted. Null and NaN values don't count; a group
+    with fewer values than its rank is left out.
+    """
+    by = list(by)
+    known = df.select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    known = known.where("_v is not null and not isnan(_v)").withColumn("_step", _step(F.col("_v")))
+    tally = join_side(known, ranks, by).groupBy(*by, "_step", "_rank").agg(F.count("*").alias("_n"))
+    # Some hundred rows a group, as a histogram has that many steps.
+    order = W.partitionBy(*by).orderBy("_step").rowsBetween(W.unboundedPreceding, 0)
+    upto = tally.withColumn("_upto", F.sum("_n").over(order))
+    below = F.col("_upto") - F.col("_n")
+    held = upto.where((below < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+    steps = settle(held.select(*by, "_step", (F.col("_rank") - below).alias("_rest")), "steps")
+    inside = join_side(known, steps, [*by, "_step"]).groupBy(*by, "_v", "_rest").agg(F.count("*").alias("_n"))
+    sums = running_sum(place(inside, by, ["_v"]), by, ["_v"], F.col("_n"), "_upto")
+    first = (F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))
+    return sums.where(first).select(*by, F.col("_v").alias(out))

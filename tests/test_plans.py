@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrast.plans import ordered, settle as plan
+from contrast.plans.ordered import group_rank
+from contrast.plans.settle import settle
 from contrast.plans.topk import top_k
 
 
@@ -87,3 +89,66 @@ def test_top_k_breaks_ties_by_the_last_key(spark):
     got = {(r.cohort, r.k) for r in top_k(df, 1, [F.desc("v"), "k"]).collect()}
     assert got == {("a", "y"), ("b", "w")}
     assert [r.k for r in top_k(df, 2, [F.desc("v"), "k"], by=()).collect()] == ["w", "y"]
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_rank_selection_is_exact_under_any_partitioning(spark, parts):
+    """Groups of over 10,000 values, of ties, of a wide range and of one value."""
+    rng = np.random.default_rng(3)
+    values = {
+        "many": rng.gamma(2, 2, 12_001),
+        "ties": rng.integers(0, 3, 15_000).astype(float),
+        "wide": np.concatenate([-np.logspace(-300, 300, 700), np.logspace(-300, 300, 500), [np.inf, -np.inf, -0.0]]),
+        "close": 7 + rng.random(5000) * 1e-9,
+        "one": np.array([5.0]),
+        None: rng.normal(size=10),
+    }
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("many", None), ("many", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(parts)
+    for q in (0.0, 0.1, 0.5, 1.0):
+        wanted = {g: max(1, int(np.ceil(q * len(vs)))) for g, vs in values.items() if g}
+        ranks = settle(spark.createDataFrame(list(wanted.items()), "g string, _rank long"), "ranks")
+        got = {r.g: r.q for r in group_rank(df, ["g"], "v", ranks, "q").collect()}
+        assert got == {g: np.sort(values[g])[r - 1] for g, r in wanted.items()}
+    beyond = settle(spark.createDataFrame([("one", 2), ("none", 1)], "g string, _rank long"), "ranks")
+    assert group_rank(df, ["g"], "v", beyond, "q").count() == 0
+
+
+def test_medians_equal_quantile_disc(spark):
+    """Above 10,000 cells a feature, with the zeros in the table and without them."""
+    import duckdb
+    import pyarrow as pa
+
+    from contrast.operators import target
+
+    rng = np.random.default_rng(4)
+    cells = [
+        ("c", "baseline", f"f{j}", f"s{i}", int(n))
+        for j, mean in enumerate((0.3, 0.8, 2, 30))
+        for i, n in enumerate(rng.poisson(mean, 11_000))
+    ]
+    schema = "cohort string, group string, feature_id string, sample_id string, count long"
+    dense = settle(spark.createDataFrame(cells, schema), "dense")
+    size = dict.fromkeys((c[3] for c in cells), 0)
+    for c in cells:
+        size[c[3]] += c[4]
+    connection = duckdb.connect()
+    drawn = pa.table({"f": [c[2] for c in cells], "n": [c[4] for c in cells], "s": [size[c[3]] for c in cells]})  # noqa: F841
+    want = dict(
+        connection.execute(
+            "SELECT f, round(quantile_disc(log2(n * 1e6 / s + 1), 0.5), 9) FROM drawn WHERE s > 0 GROUP BY f"
+        ).fetchall()
+    )
+    for long, sparse in ((dense, False), (dense.where("count > 0").repartition(9), True), (dense.repartition(3), True)):
+        found = target.baseline_profile(long, implicit_zeros=sparse).collect()
+        assert {r.feature_id: round(r.baseline_median_logcpm, 9) for r in found} == want
+    assert want["f0"] == 0 and want["f3"] > 0
+
+
+def test_no_zero_rows_are_made(spark, capsys):
+    from contrast.operators import target
+
+    rows = [("c", "baseline", f"f{i % 5}", f"s{i}", i) for i in range(40)]
+    schema = "cohort string, group string, feature_id string, sample_id string, count long"
+    target.baseline_profile(spark.createDataFrame(rows, schema), implicit_zeros=True).explain()
+    assert "Generate" not in capsys.readouterr().out

@@ -86,9 +86,7 @@ def test_volcano_labels_are_distinct(spark, tested):
     assert sorted(names) == ["a", "b", "e"]
 
 
-@pytest.mark.parametrize("chunk", [2, 100_000])
-def test_sparse_baseline_equals_dense_baseline(long_of, monkeypatch, chunk):
-    monkeypatch.setattr(target, "ZERO_CHUNK", chunk)
+def test_sparse_baseline_equals_dense_baseline(long_of):
     rng = np.random.default_rng(3)
     groups = {f"s{i}": "baseline" for i in range(9)}
     counts = {
