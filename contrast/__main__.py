@@ -46,15 +46,19 @@ def ingest_baseline(spark, a):
 
 
 def differential(spark, a):
-    de = flows.differential(spark, a.long, a.out, a.csv, a.cohorts, **_options(a))
+    de = flows.differential(spark, a.long, a.out, a.csv, a.cohorts, a.by_feature, **_options(a))
     _report(a, "summary", diff.de_summary(de))
     _report(a, "smallest_p_values", diff.top_by_pvalue(de), ("cohort", "rank"))
     _report(a, "strongest_up", diff.strongest_up(de), ("cohort", F.desc("log2fc")))
     _report(a, "strongest_down", diff.strongest_down(de), ("cohort", "log2fc"))
 
 
+def profile(spark, a):
+    _report(a, "baseline_profile", flows.profile(spark, a.baseline, a.out, a.implicit_zeros), target.FEATURE)
+
+
 def score(spark, a):
-    scores = flows.score(spark, a.diff, a.baseline, a.symbols, a.out, a.csv, a.implicit_zeros)
+    scores = flows.score(spark, a.diff, a.baseline, a.symbols, a.out, a.csv, a.implicit_zeros, a.stored)
     best = ("cohort", F.desc("target_score"))
     _report(a, "top_candidates", target.top_candidates(scores), best)
     worst = ("cohort", F.desc("baseline_mean_logcpm"))
@@ -165,8 +169,9 @@ def parser():
     kinds = {"case_label": (str, S.CASE_LABEL), "control_label": (str, S.CONTROL_LABEL)}
     job(ingest, "matrix", "labels", "cohort", "out", **kinds)
     job(ingest_baseline, "matrix", "cohort", "out")
-    job(differential, "long", "out", csv=text, **sparse, **expressed).add_argument("--cohorts", nargs="*")
-    job(score, "diff", "baseline", "symbols", "out", csv=text, **sparse)
+    job(differential, "long", "out", csv=text, by_feature=text, **sparse, **expressed).add_argument("--cohorts", nargs="*")
+    job(profile, "baseline", "out", **sparse)
+    job(score, "diff", "baseline", "symbols", "out", csv=text, stored=(bool, False), **sparse)
     job(volcano, "diff", "symbols", "out")
     job(quadrant, "scores", "out")
     job(recurrence, "scores", "out", min_cohorts=(int, 5), safe_max=(float, None))

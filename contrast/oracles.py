@@ -894,3 +894,6 @@ ORACLES = {
           {_r('(slope * 47892 + fixed) / 3600', 'corpus_hours')} FROM line""",
     ),
 }
+
+# The same rows, wherever the two sides are stored.
+ORACLES["stored_join"] = ORACLES["effect_baseline_join"]

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from contrast import settings as S
 from contrast.operators import classify, diff, matrix, normalize, serving, target
 from contrast.plans.settle import settle
+from contrast.sources import buckets, tables
 from contrast.sources import matrix as text
-from contrast.sources import tables
 
 
 def ingest(
@@ -38,21 +38,39 @@ def _write_sorted(df, order, out, csv):
     return back
 
 
-def differential(spark, long_path, out, csv=None, cohorts=None, **options):
+def differential(spark, long_path, out, csv=None, cohorts=None, by_feature=None, **options):
     """Differential results of the cohorts of a long table, sorted by p-value.
 
     ``options`` are those of ``diff_analysis``: sparse input and the expression filter.
+    ``by_feature`` is the path of a second copy in buckets of the feature, for ``score``.
     """
     long = tables.read_long(spark, long_path, cohorts)
-    return _write_sorted(diff.diff_analysis(long, **options), ["cohort", "rank"], out, csv)
+    de = _write_sorted(diff.diff_analysis(long, **options), ["cohort", "rank"], out, csv)
+    if by_feature:
+        buckets.write_bucketed(de, by_feature, target.FEATURE)
+    return de
+
+
+def profile(spark, baseline_path, out, implicit_zeros=False):
+    """Baseline profile of a long table, in buckets of the feature."""
+    baseline = target.baseline_profile(tables.read_long(spark, baseline_path), implicit_zeros)
+    buckets.write_bucketed(baseline, out, target.FEATURE)
+    return buckets.read_bucketed(spark, out)
 
 
 def score(
-    spark, diff_path, baseline_path, symbols_path, out, csv=None, implicit_zeros=False
+    spark, diff_path, baseline_path, symbols_path, out, csv=None, implicit_zeros=False, stored=False
 ):
-    """Target scores from differential results and the baseline long table."""
-    de = spark.read.parquet(diff_path)
-    baseline = target.baseline_profile(tables.read_long(spark, baseline_path), implicit_zeros)
+    """Target scores from differential results and the baseline long table.
+
+    With ``stored`` both are tables in buckets of the feature, the baseline one from
+    ``profile``; they are joined where they lie.
+    """
+    if stored:
+        de, baseline = (buckets.read_bucketed(spark, path) for path in (diff_path, baseline_path))
+    else:
+        de = spark.read.parquet(diff_path)
+        baseline = target.baseline_profile(tables.read_long(spark, baseline_path), implicit_zeros)
     symbols = tables.read_pairs(spark, symbols_path, ["feature_id", "symbol"])
     scores = target.target_score(de, baseline, symbols)
     return _write_sorted(scores, ["cohort", F.desc("target_score"), "feature_id"], out, csv)

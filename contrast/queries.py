@@ -10,8 +10,8 @@ from contrast.functions import columns as C
 from contrast.operators import classify, diff, matrix, moments, normalize, scaling, serving, target
 from contrast.plans import flows
 from contrast.plans.settle import scratch_path, settle
+from contrast.sources import buckets, tables
 from contrast.sources import matrix as text
-from contrast.sources import tables
 
 
 def shown(df, digits=6, **special):
@@ -187,6 +187,26 @@ def effect_baseline_join(spark, sf_dir):
     )
 
 
+def stored_join(spark, sf_dir):
+    """Effects and baseline joined from two tables in buckets of the feature."""
+    long = X.terms(spark, sf_dir, by_language=True)
+    sides = {
+        "effects": diff.diff_core(X.contrast_of(long), implicit_zeros=True),
+        "profile": target.baseline_profile(X.baseline_of(long), implicit_zeros=True),
+    }
+    stored = []
+    for name, side in sides.items():
+        path = scratch_path(spark, name)
+        buckets.write_bucketed(side, path, target.FEATURE, buckets=8)
+        stored.append(buckets.read_bucketed(spark, path))
+    joined = target.effect_baseline_join(*stored)
+    return shown(
+        joined.select(
+            "cohort", "feature_id", "log2fc", "baseline_mean_logcpm", "baseline_median_logcpm"
+        )
+    )
+
+
 def attach_symbol(spark, sf_dir):
     customers = X.table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").cast("string").alias("feature_id"), "c_custkey"
@@ -552,6 +572,7 @@ QUERIES = {
         de_top_down,
         baseline_profile,
         effect_baseline_join,
+        stored_join,
         attach_symbol,
         zscore,
         target_score,

@@ -29,6 +29,7 @@ BASELINE = "baseline"
 
 # Thresholds and sizes of the analyses.
 FEATURE_BUCKETS = 16
+RESULT_BUCKETS = 64
 CPM_SCALE = 1_000_000.0
 MIN_CPM = 1.0
 MIN_FRACTION = 0.20

@@ -100,17 +100,28 @@ def label_distribution(long):
     )
 
 
-def write_profiles(documents, path, replace="cohorts"):
+def write_profiles(documents, path, replace="cohorts", row_group_bytes=None):
     """Profile documents by cohort, sorted by lookup key so row groups can be skipped.
 
+    A Bloom filter of the lookup keys in every row group skips what the sort leaves: a
+    key that lies within the range of every cohort's files but is in none of them.
     ``replace='cohorts'`` replaces the cohorts at hand, ``'all'`` the whole table.
     """
     mode = {"cohorts": "dynamic", "all": "static"}[replace]
+    options = {
+        "parquet.bloom.filter.enabled#symbol_key": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+        # The keys hardly repeat within a file; a dictionary of them would be a second copy.
+        "parquet.enable.dictionary#symbol_key": "false",
+    }
+    if row_group_bytes:
+        options["parquet.block.size"] = str(row_group_bytes)
     (
         documents.repartitionByRange("cohort", "symbol_key", "feature_id")
         .sortWithinPartitions("cohort", "symbol_key", "feature_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
+        .options(**options)
         .partitionBy("cohort")
         .parquet(path)
     )

@@ -55,6 +55,14 @@ def test_all_jobs(spark, study, capsys):
 
     run("score", "--diff", at("de"), "--baseline", at("base"), "--symbols", at("map.tsv"), "--out", at("scores"), "--csv", at("scores_csv"))
     assert spark.read.parquet(at("scores")).count() == 2 * len(FEATURES)
+    # The same scores from stored sides in buckets.
+    run("differential", "--long", at("long"), "--out", at("de_again"), "--by-feature", at("de_by_feature"))
+    run("profile", "--baseline", at("base"), "--out", at("profile"))
+    run("score", "--diff", at("de_by_feature"), "--baseline", at("profile"), "--stored", "--symbols", at("map.tsv"), "--out", at("scores_stored"))
+    columns = ["cohort", "feature_id", "symbol", "round(target_score, 9)"]
+    stored = spark.read.parquet(at("scores_stored")).selectExpr(*columns)
+    assert stored.exceptAll(spark.read.parquet(at("scores")).selectExpr(*columns)).count() == 0
+    assert stored.count() == 2 * len(FEATURES)
     run("volcano", "--diff", at("de"), "--symbols", at("map.tsv"), "--out", at("volcano"))
     run("quadrant", "--scores", at("scores"), "--out", at("quadrant"))
     run("recurrence", "--scores", at("scores"), "--out", at("recurring"), "--min-cohorts", "2")
