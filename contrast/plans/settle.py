@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import threading
 from functools import reduce
 from uuid import uuid4
 
@@ -14,6 +15,10 @@ BROADCAST_LIMIT = 128 * 1024 * 1024
 SALTS = 16
 
 
+# Paths written by the innermost ``tidied`` of this thread.
+_open = threading.local()
+
+
 def shared_dir(spark):
     """The shared scratch folder of the session (``spark.checkpoint.dir``)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +33,36 @@ def shared_dir(spark):
 
 def scratch_path(spark, label):
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/contrast-{label}-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/contrast-{label}-{uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    return path
+
+
+def delete_path(spark, path):
+    """Delete a file or folder through Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidied(spark, build, label="table"):
+    """Settle the table that ``build()`` returns and delete all others written for it.
+
+    Nothing that outlives the call may read what ``build`` wrote, except for its result.
+    """
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        result = settle(build(), label)
+        *used, kept = _open.paths
+    finally:
+        _open.paths = outer
+    if outer is not None:
+        outer.append(kept)
+    for path in used:
+        delete_path(spark, path)
+    # The shuffles behind them go when the driver collects its garbage, which may be late.
+    spark._jvm.System.gc()
+    return result
 
 
 def settle(df, label="table"):
