@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from contrast.llm.common import settle, whole_texts
+from contrast.plans.settle import join_side
 
 MATCH = 50
 GRAM = 20
@@ -45,7 +46,6 @@ RECORDS = 1 << 19
 PLACES = np.uint64((1 << 24) - 1)
 # Buckets and text groups for each shuffle partition.
 BUCKETS, GROUPS = 8, 4
-_NO_ID = -(1 << 63)
 
 _STEP = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -196,11 +196,11 @@ def _group_of(ids, n):
 # Of a gram 32 bits are sent besides its bucket: grams that agree in these are told apart
 # by their contexts, which are sent whole. Ids are sent as differences. A suffix is named
 # by the first of its strings, as no string belongs to two.
-_SUFFIX = (np.uint32, np.uint64, np.int64, np.uint16, np.uint32)
-_ANSWER = (np.int64, np.uint16, np.uint32, np.uint8)
-_RUNS = (np.int64, np.uint16, np.uint32, np.uint32)
-_EDGE = (np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint8)
-_TEXT = (np.int64, np.uint16, np.int64)
+_SUFFIX = (np.uint32, np.uint64, np.int64, np.uint64, np.uint32)
+_ANSWER = (np.int64, np.uint64, np.uint32, np.uint8)
+_RUNS = (np.int64, np.uint64, np.uint32, np.uint32)
+_EDGE = (np.uint64, np.int64, np.uint64, np.uint32, np.uint8, np.uint8)
+_TEXT = (np.int64, np.uint64, np.int64)
 RESOLVED, OPEN = 1, 2
 
 
@@ -219,7 +219,7 @@ def _least_by(keys, ids):
     return least, number
 
 
-def suffix_records(docs, buckets, groups, piece=None):
+def suffix_records(raws, buckets, groups, piece=None):
     """``kind``, ``part``, ``payload``: sampled suffixes by bucket, and local answers.
 
     Kind 0: suffixes for bucket ``part``. Kind 1: answers for text group ``part`` that
@@ -255,7 +255,7 @@ def suffix_records(docs, buckets, groups, piece=None):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint16)
+            marks = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             for start in range(0, batch.num_rows, 512):
                 texts = batch.column(1).slice(start, 512).to_pylist()
                 row, _, first, _, gram, context = _sampled_texts(texts, piece)
@@ -268,17 +268,20 @@ def suffix_records(docs, buckets, groups, piece=None):
         if held:
             yield out()
 
-    return _raw(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "raw", "mark").mapInArrow(
-        run, "kind int, part int, payload binary"
-    )
+    return raws.mapInArrow(run, "kind int, part int, payload binary")
+
 
+def _marked(docs):
+    """Texts with an id as bytes, and a mark of 64 bits that tells texts of one id apart.
 
-def _raw(docs):
-    """Texts as bytes, and a 16-bit mark that tells rows of one id apart."""
-    return whole_texts(docs).select(
-        "doc_id",
-        F.col("text").cast("binary").alias("raw"),
-        F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("mark"),
+    The mark is 0 where the id has one row, so that nearly all marks compress away.
+    """
+    rows = whole_texts(docs).where("doc_id is not null")
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = settle(again.select("doc_id", F.lit(True).alias("again")), "again")
+    mark = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return join_side(rows, again, ["doc_id"], "left").select(
+        "doc_id", F.col("text").cast("binary").alias("raw"), mark.alias("mark")
     )
 
 
@@ -392,7 +395,7 @@ def _merged(start, end):
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def _grouped_texts(docs, groups):
+def _grouped_texts(raws, groups):
     """``part``, ``payload``: the texts of a part of the input by text group, compressed.
 
     Texts are shuffled twice, so they are packed together and compressed before.
@@ -401,8 +404,8 @@ def _grouped_texts(docs, groups):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint16)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            marks = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             parts, loads = [], []
             for part, rows in _grouped(_group_of(ids, groups), groups):
                 texts = batch.column(1).take(pa.array(rows)).to_pylist()
@@ -412,11 +415,11 @@ def _grouped_texts(docs, groups):
                 loads.append(pack.compress(head + b"".join(texts)))
             yield _group_batch(parts, loads)
 
-    return _raw(docs).select("doc_id", "raw", "mark").mapInArrow(run, "part int, payload binary")
+    return raws.mapInArrow(run, "part int, payload binary")
 
 
 def _texts_of(column):
-    """(ids, marks, texts) of a group's payloads; None for a row without an id."""
+    """(ids, marks, texts) of a group's payloads."""
     unpack = zstandard.ZstdDecompressor()
     ids, marks, texts = [], [], []
     for payload in column.to_pylist():
@@ -424,7 +427,7 @@ def _texts_of(column):
         n = int.from_bytes(raw[:4], "little")
         at = 4 + n * sum(np.dtype(t).itemsize for t in _TEXT)
         own, mark, lengths = _unpack(raw[4:at], *_TEXT)
-        ids += [None if i == _NO_ID else i for i in own.tolist()]
+        ids += own.tolist()
         marks += mark.tolist()
         for length in lengths.tolist():
             texts.append(raw[at : at + length])
@@ -432,7 +435,7 @@ def _texts_of(column):
     return ids, marks, texts
 
 
-def edges(docs, answers, buckets, groups, piece=None):
+def edges(raws, answers, buckets, groups, piece=None):
     """``kind``, ``part``, ``payload`` from the texts and the answers about them.
 
     Kind 0: contexts of open suffixes, by bucket of their gram. Kind 1: removed runs, by
@@ -456,7 +459,7 @@ def edges(docs, answers, buckets, groups, piece=None):
             flag = np.where(data[2][a:b][place] == first[own], data[3][a:b][place], 0)
             done = flag == RESOLVED
             start, end = _merged(first[own][done], first[own][done] + count[own][done] - 1 + MATCH)
-            runs.append((np.full(len(start), ids[i]), np.full(len(start), marks[i]), start, end))
+            runs.append((np.full(len(start), ids[i]), np.full(len(start), marks[i], np.uint64), start, end))
             rest = np.flatnonzero(flag == OPEN)
             text = texts[i]
             for j in rest + cuts[k]:
@@ -480,7 +483,7 @@ def edges(docs, answers, buckets, groups, piece=None):
             names=["kind", "part", "payload"],
         )
 
-    texts = _grouped_texts(docs, groups)
+    texts = _grouped_texts(raws, groups)
     return (
         texts.groupBy("part")
         .cogroup(answers.groupBy("part"))
@@ -538,20 +541,21 @@ def rank_edges(contexts, groups):
     return contexts.mapInArrow(run, "part int, payload binary")
 
 
-def removed_runs(docs, piece=None):
+def removed_runs(raws, piece=None):
     """``part``, ``payload`` (``_RUNS``): removed runs by text group, and the group count."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(raws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = BUCKETS * width, GROUPS * width
-    records = _by_part(suffix_records(docs, buckets, groups, piece), width)
+    records = _by_part(suffix_records(raws, buckets, groups, piece), width)
     answers = rank_buckets(records, groups)
-    found = settle(edges(docs, answers, buckets, groups, piece), "edges")
+    found = settle(edges(raws, answers, buckets, groups, piece), "edges")
     late = rank_edges(_by_part(found.where("kind = 0"), width), groups)
     return found.where("kind = 1").select("part", "payload").unionByName(late), groups
 
 
 def remove_repeats(docs, piece=None):
     """``doc_id``, ``raw`` (whole bytes), ``kept`` (remaining bytes), ``n_removed``, ``n_spans``."""
-    runs, groups = removed_runs(docs, piece)
+    raws = _marked(docs)
+    runs, groups = removed_runs(raws, piece)
 
     def run(left, right):
         data, where = _keyed(right["payload"], _RUNS)
@@ -575,12 +579,18 @@ def remove_repeats(docs, piece=None):
             names=["doc_id", "n_bytes", "kept", "n_removed", "n_spans"],
         )
 
-    return (
-        _grouped_texts(docs, groups)
+    named = (
+        _grouped_texts(raws, groups)
         .groupBy("part")
         .cogroup(runs.groupBy("part"))
         .applyInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
     )
+    # Rows without an id lose nothing, so they need no group.
+    raw, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    nameless = whole_texts(docs).where("doc_id is null").select(
+        "doc_id", F.octet_length(raw).cast("long"), raw, none.alias("n_removed"), none.alias("n_spans")
+    )
+    return named.union(nameless)
 
 
 def repeats_report(docs, piece=None):

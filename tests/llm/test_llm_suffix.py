@@ -54,6 +54,23 @@ def test_odd_rows(documents, odd):
     assert reported(X.repeats_report(documents(odd + odd))) == plain(odd + odd)
 
 
+def test_texts_of_one_id_whose_hashes_share_bits(spark, documents):
+    """Of two texts of one id only the copied one goes, though 16 bits of their hashes agree."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(100)) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    seen, pairs = {}, []
+    for r in table.select("i", F.xxhash64("t").bitwiseAND(F.lit(0xFFFF)).alias("h")).collect():
+        if r["h"] in seen:
+            pairs.append((texts[seen[r["h"]]], texts[r["i"]]))
+        seen[r["h"]] = r["i"]
+    assert pairs
+    rows = []
+    for n, (a, b) in enumerate(pairs):
+        rows += [(10 * n + 1, a), (10 * n + 5, a), (10 * n + 5, b)]
+    assert reported(X.repeats_report(documents(rows))) == plain(rows)
+
+
 def test_exactly_fifty_bytes_at_the_edges(documents):
     s = "".join(chr(97 + i * 7 % 26) for i in range(50))
     rows = [(1, s), (2, s), (3, s[:49]), (4, "x" + s), (5, s + "y"), (6, s[1:] + s), (7, s[:49] + "é"), (0, s[10:] + "z" * 60)]
