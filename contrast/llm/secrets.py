@@ -52,6 +52,8 @@ ALLOWED = (
     r"(?i)(0123456789|abcdefghij|qwertyuiop)",
     r"(?i)(example|sample|dummy|placeholder|changeme)",
 )
+# Elements of a block of hits, and windows of a part of a long candidate.
+PART = 256
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 _MICRO = 1_000_000
@@ -78,27 +80,61 @@ def _span(kind, start, end):
 _NO_SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _let(value, body):
+    """``body`` of a value that is computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values):
+    """An array cut into arrays of ``PART`` elements."""
+    last = F.floor((F.size(values) + (PART - 1)) / PART).cast("int")
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda b: F.slice(values, (b - 1) * PART + 1, F.lit(PART)))
+
+
+def _before(values, op):
+    """``op`` (sum or maximum) over the elements before each one, from 0 on.
+
+    Block by block, and then over the blocks: appending to an array copies it, so no array
+    of all elements grows step by step.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, v):
+        return F.struct(op(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+    def joined(parts):
+        tops = F.transform(parts, lambda x: x["at"])
+        return _let(
+            F.aggregate(tops, start, step, lambda acc: acc["out"]),
+            lambda offsets: F.flatten(
+                F.zip_with(parts, offsets, lambda x, b: F.transform(x["out"], lambda o: op(b, o)))
+            ),
+        )
+
+    return _let(F.transform(_blocks(values), lambda block: F.aggregate(block, start, step)), joined)
+
+
 def _located(text, pattern):
     """Array of (start, hit): the hits of a pattern with their places.
 
     The pieces between the hits and the hits themselves are laid end to end.
     """
-    pieces = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    at = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-    return F.aggregate(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")),
-        at,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"])).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["hit"].alias("hit")),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    both = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
 
+    def placed(found):
+        lengths = F.transform(found, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"]))
+        return F.zip_with(
+            found,
+            _let(lengths, lambda own: _before(own, lambda a, b: a + b)),
+            lambda x, at: F.struct((at + F.char_length(x["gap"])).alias("start"), x["hit"].alias("hit")),
+        )
+
+    # The last piece follows the last hit.
+    return _let(both, lambda x: _let(F.filter(x, lambda y: y["hit"].isNotNull()), placed))
+
 
 def _where(test, spans):
     return F.when(test, spans).otherwise(F.array().cast(_NO_SPANS))
@@ -125,50 +161,101 @@ def _assignments(text):
     )
 
 
-def entropy_spans(word, alphabet, bits, window=WINDOW):
-    """Spans (start, end) of a candidate string whose windows reach ``bits``."""
-    table = F.array(*[F.lit(v).cast("long") for v in micro_bits(window)])
-    limit = micro_limit(bits, window)
+def _touching(spans):
+    """Sorted spans (start, end) joined where they touch or overlap; ends must ascend too."""
 
-    def place(at):
-        return F.instr(F.lit(alphabet), F.substr(word, at, F.lit(1)))
+    def joined(own):
+        n = F.size(own)
+        fresh = F.transform(
+            own, lambda x, i: F.struct((F.coalesce(F.get(own, i - 1)["end"], F.lit(-1)) < x["start"]).alias("new"), x.alias("x"))
+        )
+        last = F.filter(own, lambda x, i: F.coalesce(F.get(own, i + 1)["start"] > x["end"], i == n - 1))
+        first = F.filter(fresh, lambda x: x["new"])
+        return F.zip_with(first, last, lambda a, z: F.struct(a["x"]["start"].alias("start"), z["end"].alias("end")))
 
-    def step(acc, j):
-        enters = place(j)
-        leaves = F.when(j > window, place(j - window)).otherwise(F.lit(0))
-        counts = F.transform(
-            acc["counts"],
-            lambda c, i: c - (i + 1 == leaves).cast("int") + (i + 1 == enters).cast("int"),
+    return _let(spans, joined)
+
+
+def entropy_spans(word, alphabet, bits, window=WINDOW):
+    """Spans (start, end) of a candidate string whose windows reach ``bits``.
+
+    Characters become places in the alphabet once. A long candidate is scanned in parts
+    of ``PART`` windows, each with its own counts.
+    """
+    limit = micro_limit(bits, window)
+    costs = F.array(*[F.lit(v).cast("long") for v in micro_bits(window)])
+
+    def scanned(places, table, offset):
+        def step(acc, place, j):
+            # ``j`` is the number of characters so far, with this one.
+            leaves = F.when(j > window, F.get(places, j - window - 1)).otherwise(F.lit(0))
+
+            def moved(move):
+                enters, leaves = move["enters"], move["leaves"]
+                counts = F.transform(
+                    acc["counts"], lambda c, i: c - (i + 1 == leaves).cast("int") + (i + 1 == enters).cast("int")
+                )
+                gone = F.when(leaves > 0, F.get(acc["counts"], leaves - 1)).otherwise(F.lit(0))
+                before = F.get(acc["counts"], enters - 1) - (enters == leaves).cast("int")
+                total = (
+                    acc["total"]
+                    - F.when(leaves > 0, F.get(table, gone) - F.get(table, gone - 1)).otherwise(F.lit(0))
+                    + F.get(table, before + 1)
+                    - F.get(table, before)
+                )
+                return F.struct(counts.alias("counts"), total.alias("total"))
+
+            def spanned(next_):
+                hit = (j >= window) & (next_["total"] <= limit)
+                joins = hit & (acc["end"] >= j - window)
+                closes = hit & ~joins & (acc["end"] >= 0)
+                closed = F.struct((acc["start"] + offset).alias("start"), (acc["end"] + offset).alias("end"))
+                return F.struct(
+                    next_["counts"].alias("counts"),
+                    next_["total"].alias("total"),
+                    j.alias("n"),
+                    F.when(hit & ~joins, j - window).otherwise(acc["start"]).alias("start"),
+                    F.when(hit, j).otherwise(acc["end"]).alias("end"),
+                    F.when(closes, F.array_append(acc["spans"], closed)).otherwise(acc["spans"]).alias("spans"),
+                )
+
+            return _let(_let(F.struct(place.alias("enters"), leaves.alias("leaves")), moved), spanned)
+
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+            F.lit(0).cast("long").alias("total"),
+            F.lit(0).alias("n"),
+            F.lit(-1).alias("start"),
+            F.lit(-1).alias("end"),
+            F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
         )
-        gone = F.when(leaves > 0, F.element_at(acc["counts"], leaves)).otherwise(F.lit(0))
-        before = F.element_at(acc["counts"], enters) - (enters == leaves).cast("int")
-        total = (
-            acc["total"]
-            - F.when(leaves > 0, F.get(table, gone) - F.get(table, gone - 1)).otherwise(F.lit(0))
-            + F.get(table, before + 1)
-            - F.get(table, before)
+
+        def finished(acc):
+            last = F.struct((acc["start"] + offset).alias("start"), (acc["end"] + offset).alias("end"))
+            return F.when(acc["end"] >= 0, F.array_append(acc["spans"], last)).otherwise(acc["spans"])
+
+        return F.aggregate(places, start, lambda acc, place: step(acc, place, acc["n"] + 1), finished)
+
+    def parts(places):
+        # Parts overlap by a window less one character, so that every window lies in one.
+        last = F.greatest(F.floor((F.size(places) - window) / PART), F.lit(0)).cast("int")
+        return _touching(
+            _let(
+                costs,
+                lambda table: F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(0), last),
+                        lambda b: _let(
+                            F.slice(places, b * PART + 1, F.lit(PART + window - 1)),
+                            lambda own: scanned(own, table, b * PART),
+                        ),
+                    )
+                ),
+            )
         )
-        last = F.get(acc["spans"], F.size(acc["spans"]) - 1)
-        joins = F.coalesce(last["end"] >= j - window, F.lit(False))
-        wider = F.struct(last["start"].alias("start"), j.alias("end"))
-        fresh = F.struct((j - window).alias("start"), j.alias("end"))
-        spans = F.when(
-            (j >= window) & (total <= limit),
-            F.when(
-                joins,
-                F.concat(F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), F.array(wider)),
-            ).otherwise(F.array_append(acc["spans"], fresh)),
-        ).otherwise(acc["spans"])
-        return F.struct(counts.alias("counts"), total.alias("total"), spans.alias("spans"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0).cast("long").alias("total"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-    )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.char_length(word)), start, step, lambda acc: acc["spans"]
-    )
+
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    return _let(F.transform(letters, lambda c: F.instr(F.lit(alphabet), c)), parts)
 
 
 def _entropies(text, kind, pattern, alphabet, bits):
@@ -234,22 +321,64 @@ def secret_report(docs):
     )
 
 
+def _apart(spans):
+    """Sorted spans as (start, end) that don't overlap; those that only touch stay apart."""
+
+    def grouped(own):
+        def joined(tops):
+            marked = F.zip_with(own, tops, lambda x, top: F.struct(x["start"].alias("start"), top.alias("top")))
+            first = F.filter(marked, lambda x: x["start"] >= x["top"])
+            most = F.array_max(F.transform(own, lambda x: x["end"]))
+            return _let(
+                first,
+                lambda f: F.transform(
+                    f, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(f, i + 1)["top"], most).alias("end"))
+                ),
+            )
+
+        ends = F.transform(own, lambda x: x["end"])
+        return _let(_let(ends, lambda e: _before(e, F.greatest)), joined)
+
+    return _let(spans, grouped)
+
+
 def masked(text, spans, mask):
-    """A text with its spans replaced by ``mask``; overlapping spans are masked once."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], gap, F.lit(mask)))
-            .alias("out"),
+    """A text with its spans replaced by ``mask``; overlapping spans are masked once.
+
+    The text is cut at every ``PART``-th span first, and the short pieces at their spans.
+    """
+
+    def cut(own):
+        def pieces(b):
+            part = F.slice(own, b * PART + 1, F.lit(PART))
+            begin = F.get(own, b * PART)["start"]
+            stop = F.coalesce(F.get(own, (b + 1) * PART)["start"], F.char_length(text))
+
+            def between(known):
+                return F.transform(
+                    known["part"],
+                    lambda x, i: F.concat(
+                        F.lit(mask),
+                        F.substr(
+                            known["piece"],
+                            x["end"] - known["begin"] + 1,
+                            F.coalesce(F.get(known["part"], i + 1)["start"], known["stop"]) - x["end"],
+                        ),
+                    ),
+                )
+
+            piece = F.substr(text, begin + 1, stop - begin)
+            return _let(
+                F.struct(part.alias("part"), begin.alias("begin"), stop.alias("stop"), piece.alias("piece")), between
+            )
+
+        last = F.floor((F.size(own) - 1) / PART).cast("int")
+        behind = F.flatten(F.transform(F.sequence(F.lit(0), last), pieces))
+        return F.when(F.size(own) == 0, text).otherwise(
+            F.concat(F.substr(text, F.lit(1), F.get(own, F.lit(0))["start"]), F.array_join(behind, ""))
         )
 
-    return F.aggregate(
-        spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
-    )
+    return _let(_apart(spans), cut)
 
 
 def redact(docs, mask="[SECRET]"):

@@ -99,6 +99,49 @@ def test_redaction_keeps_rows_and_columns(documents, rows_of):
     assert got[1] == (2, None, 0, "x") and got[2:] == [(3, "clean", 5, "x")] * 2
 
 
+def test_long_candidates_and_dense_hits(spark):
+    """Time grows with the text: a base64 run and a hex dump of one MB each."""
+    import base64
+    import random
+    import time
+
+    rng = random.Random(1)
+    run = base64.b64encode(rng.randbytes(700_000)).decode()
+    dump = " ".join(rng.randbytes(8).hex() for _ in range(60_000))
+    rows = [(1, f"a {run} b"), (2, dump), (3, run[:30_000] + "=" * 40 + "a" * 600 + run[:5000])]
+    table = spark.createDataFrame([(0, "warm up " + run[:100])], "doc_id long, text string")
+    S.secret_report(table).collect(), S.redact(table).collect()
+    begun = time.time()
+    got = {r["doc_id"]: r for r in S.secret_report(spark.createDataFrame(rows, table.schema)).collect()}
+    hidden = {r["doc_id"]: r["text"] for r in S.redact(spark.createDataFrame(rows, table.schema)).collect()}
+    assert time.time() - begun < 120
+    assert got[2]["n_hex"] == 60_000
+    assert got[3]["spans"] == joined(base(rows[2][1]) + entropy(rows[2][1]))
+    assert len(hidden[1]) < 1000 and hidden[2] == " ".join(["[SECRET]"] * 60_000)
+
+
+def plain_mask(text, spans):
+    out, at = [], 0
+    for start, _, end in sorted(spans):
+        if start >= at:
+            out.append(text[at:start] + "[SECRET]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_masks_equal_brute_force(spark, monkeypatch):
+    """In blocks of three as well, so that many seams occur."""
+    texts = TEXTS + [" ".join(TEXTS[:4] * 5), "deadbeefdeadbeef" * 3 + " x " + "0a1b2c3d4e5f60718293 " * 30]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (256, 3, 1):
+        monkeypatch.setattr(S, "PART", part)
+        for r in S.redact(table).collect():
+            text = texts[r["doc_id"]]
+            assert r["text"] == plain_mask(text, base(text) + entropy(text))
+        for r in S.secret_report(table).collect():
+            assert r["spans"] == joined(base(texts[r["doc_id"]]) + entropy(texts[r["doc_id"]]))
+
+
 def test_empty_table(documents):
     empty = documents([(1, "x")]).where(F.lit(False))
     assert S.secret_report(empty).count() == 0 and S.redact(empty).count() == 0
