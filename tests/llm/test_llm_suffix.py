@@ -127,9 +127,8 @@ def test_contexts_count_in_all_their_bits(spark, monkeypatch):
         zero = np.zeros(n, np.int64)
         return np.arange(n), zero, zero, zero + 1, np.full(n, 7 << 40, np.uint64), np.array([int(t) for t in texts], np.uint64)
 
-    monkeypatch.setattr(X, "_raw", lambda docs: Local())
     monkeypatch.setattr(X, "_sampled_texts", sampled)
-    send, rank = X.suffix_records(None, 1, 1), X.rank_buckets(Local(), 1)
+    send, rank = X.suffix_records(Local(), 1, 1), X.rank_buckets(Local(), 1)
 
     def answers(*contexts):
         sent = []
