@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contrast import settings as S
 from contrast.functions import columns as C
-from contrast.plans.settle import attach_constants, join_side, settle
+from contrast.plans.settle import attach_constants, join_side, measured_bytes, settle
 
 SAMPLE = ["cohort", "sample_id"]
 
@@ -50,7 +50,9 @@ def log_cpm(long, samples=None, broadcast_limit=None):
     """
     samples = sample_table(long) if samples is None else samples
     library = library_size(samples=samples)
-    cells = join_side(long, library, SAMPLE, limit=broadcast_limit)
+    # The settled samples are measured, not the aggregate over them, which would run twice.
+    size = measured_bytes(samples)
+    cells = join_side(long, library, SAMPLE, limit=broadcast_limit, size=size)
     cells = cells.withColumn("cpm", C.cpm("count", "lib_size"))
     return cells.withColumn("logcpm", C.log_cpm("cpm"))
 

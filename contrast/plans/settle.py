@@ -91,16 +91,16 @@ def measured_bytes(df):
     return df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0
 
 
-def join_side(big, side, on, how="inner", limit=None):
+def join_side(big, side, on, how="inner", limit=None, size=None):
     """Equi-join a cell-sized table with a settled side.
 
     The side is broadcast if its measured size is within ``limit``, so the big
     table is not shuffled. Otherwise both are shuffled on the key and a salt, so
     the rows of one hot key are spread over several tasks. Both ways give the
-    same rows.
+    same rows. ``size`` is an upper bound of the side's size, if one is known.
     """
     limit = BROADCAST_LIMIT if limit is None else limit
-    if measured_bytes(side) <= limit:
+    if (measured_bytes(side) if size is None else size) <= limit:
         return big.join(F.broadcast(side), on, how)
     salt = "_salt"
     rest = [name for name in big.columns if name not in on] or list(on)
