@@ -8,8 +8,10 @@ and these into blocks of about a million ids, at document ends.
 A block is compressed by Re-Pair: frequent pairs of neighbouring symbols are replaced by
 a new symbol, again and again. A round counts all pairs and replaces many of them at
 once; where chosen pairs overlap, the more frequent one goes first. A rule that is used
-less than ``LEAST`` times isn't made. Symbols stay below 65,536, so a block is 16-bit
-numbers.
+less than ``LEAST`` times isn't made. Rounds go on until no pair makes a rule or the
+numbers run out: symbols stay below 65,536, so a block is 16-bit numbers. The rules of a
+round stand for at most 1 / ``LEAST`` of the block's ids, which bounds what decoding lays
+out.
 
 File format: one row per block, in Parquet files written by Spark, so that a lost task
 is written again and no half block is read.
@@ -50,7 +52,6 @@ END = 2
 SHARDS = 4
 BLOCK = 1 << 20
 LEAST = 16
-ROUNDS = 5
 RULES = 4096
 SYMBOLS = 1 << 16
 MEMO = 700_000
@@ -230,28 +231,33 @@ def _replace(keys, chosen):
     return at[~clash], r[~clash]
 
 
-def compress(ids, base, rounds=ROUNDS, least=LEAST):
+def _round(keys, chosen, least):
+    """(pairs used ``least`` times, positions, their pairs' numbers) among ``chosen``.
+
+    If the more frequent pairs take so much from each other that none is left with
+    enough, fewer are tried; the most frequent one alone loses to itself only.
+    """
+    while len(chosen):
+        at, rank = _replace(keys, chosen)
+        good = np.bincount(rank, minlength=len(chosen)) >= least
+        if good.any():
+            keep = good[rank]
+            return chosen[good], at[keep], (np.cumsum(good) - 1)[rank[keep]]
+        chosen = chosen[: len(chosen) // 2]
+    return chosen, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def compress(ids, base, least=LEAST):
     """(rules, lengths, symbols) of an array of ids below ``base``."""
     symbols = ids.astype(np.uint16)
     left, right = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
     size = np.ones(base, np.uint32)
-    for _ in range(rounds):
-        room = min(RULES, SYMBOLS - len(size))
-        if len(symbols) < 2 * least or room <= 0:
-            break
+    while len(symbols) >= 2 * least and len(size) < SYMBOLS:
         keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
-        chosen = _frequent(keys, least, room)
+        chosen = _frequent(keys, least, min(RULES, SYMBOLS - len(size)))
+        chosen, at, rank = _round(keys, chosen, least)
         if not len(chosen):
             break
-        at, rank = _replace(keys, chosen)
-        used = np.bincount(rank, minlength=len(chosen))
-        good = used >= least
-        if not good.any():
-            break
-        number = np.cumsum(good) - 1
-        keep = good[rank]
-        at, rank = at[keep], number[rank[keep]]
-        chosen = chosen[good]
         a, b = (chosen >> np.uint32(16)).astype(np.uint16), (chosen & np.uint32(0xFFFF)).astype(np.uint16)
         symbols = symbols.copy()
         symbols[at] = len(size) + rank

@@ -47,7 +47,21 @@ def test_grammar_round_trip_and_random_access(n, kinds):
 def test_repeats_compress():
     ids = np.tile(np.random.default_rng(1).integers(0, 40_000, 50), 400)
     rules, lengths, symbols = R.compress(ids, 50_000)
-    assert len(symbols) < len(ids) / 8 and lengths.max() > 8
+    assert len(symbols) < 2 * R.LEAST and lengths.max() > len(ids) / (2 * R.LEAST)
+    block = packed_block(ids)
+    assert (block.decode() == ids).all() and len(block.flat) < 50_000 + len(ids)
+
+
+def test_rounds_end_when_no_pair_is_frequent():
+    ids = np.random.default_rng(5).zipf(1.3, 30_000) % 3000
+    rules, _, symbols = R.compress(ids, 3000)
+    pairs = list(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+    counts, last = {}, {}
+    for at, pair in enumerate(pairs):
+        if last.get(pair, -2) < at - 1:
+            counts[pair] = counts.get(pair, 0) + 1
+            last[pair] = at
+    assert len(rules) and max(counts.values()) < R.LEAST
 
 
 def test_files_hold_every_document(spark, documents, odd, library, rows_of):
