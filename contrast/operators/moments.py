@@ -6,7 +6,7 @@ from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.normalize import group_sizes, log_cpm, min_samples, sample_table
 from contrast.plans.ordered import min_from_end, place, rank
-from contrast.plans.settle import attach_constants
+from contrast.plans.settle import attach_constants, measured_bytes
 
 
 def _explicit(group):
@@ -59,7 +59,9 @@ def feature_moments(
         *_explicit(S.CASE),
         *_explicit(S.CONTROL),
     )
-    sized = attach_constants(per_feature, group_sizes(samples), ["cohort"])
+    sized = attach_constants(
+        per_feature, group_sizes(samples), ["cohort"], size=measured_bytes(samples)
+    )
     if expressed_only:
         sized = sized.where(F.col("n_expressed") >= min_samples("n_samples", min_fraction))
     columns = []

@@ -31,7 +31,10 @@ def library_size(long=None, samples=None):
 
 
 def group_sizes(samples):
-    """Per cohort: distinct samples, and samples with a usable library per group."""
+    """Per cohort: distinct samples, and samples with a usable library per group.
+
+    A row is no longer than that of a sample, so the size of ``samples`` bounds the result's.
+    """
     usable = F.sum("total").over(W.partitionBy(*SAMPLE)) > 0
     flagged = samples.withColumn("_usable", F.coalesce(usable, F.lit(False)))
     return flagged.groupBy("cohort").agg(
@@ -72,7 +75,7 @@ def expressed_features(long, min_cpm=S.MIN_CPM, min_fraction=S.MIN_FRACTION):
         .agg(F.count_if(F.col("cpm") > F.lit(min_cpm)).alias("n_expressed"))
     )
     return (
-        attach_constants(counts, sizes, ["cohort"])
+        attach_constants(counts, sizes, ["cohort"], size=measured_bytes(samples))
         .withColumn("min_samples", min_samples("n_samples", min_fraction))
         .where("n_expressed >= min_samples")
         .select("cohort", "feature_id", "n_expressed", "min_samples")

@@ -5,23 +5,25 @@ from pyspark.sql import functions as F
 from contrast import settings as S
 from contrast.operators.diff import diff_core
 from contrast.operators.normalize import sample_table
-from contrast.plans.ordered import place, rank
-from contrast.plans.settle import join_side, settle
+from contrast.plans.ordered import BUCKET, rank
+from contrast.plans.settle import join_side, measured_bytes, settle
+
+# Hexadecimal digits that name a range of draws: 4,096 ranges a cohort.
+DIGITS = 3
 
 
 def sample_ranks(long, seed=S.SEED):
-    """Every sample of a cohort with its place in a seeded random order."""
+    """Every sample of a cohort with its place in a seeded random order.
+
+    The hash that draws a sample is uniform, so its first digits are ranges of even size
+    in the order of the draw: the counts of these ranges and a rank within each give the
+    place, without a sort across ranges.
+    """
     samples = long.select("cohort", "sample_id").distinct()
     salted = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id")))
-    drawn = samples.withColumn("_draw", salted)
-    order = ["_draw", "sample_id"]
-    placed = place(drawn, ["cohort"], order)
-    return settle(
-        rank(placed, ["cohort"], order, "_rank", total="_total").select(
-            "cohort", "sample_id", "_rank", "_total"
-        ),
-        "draws",
-    )
+    drawn = samples.withColumn("_draw", salted).withColumn(BUCKET, F.substring("_draw", 1, DIGITS))
+    ranked = rank(drawn, ["cohort"], ["_draw", "sample_id"], "_rank", total="_total")
+    return settle(ranked.select("cohort", "sample_id", "_rank", "_total"), "draws")
 
 
 def _quota(fraction):
@@ -32,23 +34,25 @@ def _quota(fraction):
 
 def subsample_samples(long, fraction, seed=S.SEED):
     """All cells of a random share of the samples of each cohort."""
-    chosen = sample_ranks(long, seed).where(F.col("_rank") <= _quota(fraction))
-    return join_side(long, chosen.select("cohort", "sample_id"), ["cohort", "sample_id"], "left_semi")
+    draws = sample_ranks(long, seed)
+    chosen = draws.where(F.col("_rank") <= _quota(fraction)).select("cohort", "sample_id")
+    return join_side(
+        long, chosen, ["cohort", "sample_id"], "left_semi", size=measured_bytes(draws)
+    )
 
 
-def _membership(long, fractions, seed):
-    """One row per sample and fraction whose quota covers the rank of the sample."""
+def subsample_nested(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED):
+    """The subsamples of all fractions in one pass, told apart by ``fraction``."""
+    draws = sample_ranks(long, seed)
+    # One row per sample and fraction whose quota covers the rank of the sample.
     member = [
         F.when(F.col("_rank") <= _quota(fraction), F.lit(float(fraction))) for fraction in fractions
     ]
-    return sample_ranks(long, seed).select(
+    members = draws.select(
         "cohort", "sample_id", F.explode(F.array_compact(F.array(*member))).alias("fraction")
     )
-
-
-def subsample_nested(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED):
-    """The subsamples of all fractions in one pass, told apart by ``fraction``."""
-    return join_side(long, _membership(long, fractions, seed), ["cohort", "sample_id"])
+    bound = len(member) * measured_bytes(draws)
+    return join_side(long, members, ["cohort", "sample_id"], size=bound)
 
 
 def subsample_diff(long, fractions=S.SCALING_FRACTIONS, seed=S.SEED, implicit_zeros=False):

@@ -7,7 +7,7 @@ from contrast.functions import columns as C
 from contrast.operators.moments import merge_zeros
 from contrast.operators.normalize import group_sizes, log_cpm, sample_table
 from contrast.plans.ordered import BUCKET, group_quantile, group_rank, place, rank
-from contrast.plans.settle import attach_constants, settle
+from contrast.plans.settle import attach_constants, measured_bytes, settle
 from contrast.plans.topk import top_k
 
 FEATURE = ["cohort", "feature_id"]
@@ -44,7 +44,7 @@ def baseline_profile(long, implicit_zeros=False):
     zeros = F.lit(0).cast("long")
     if implicit_zeros:
         sizes = group_sizes(samples).select("cohort", "size_all")
-        summary = attach_constants(summary, sizes, ["cohort"])
+        summary = attach_constants(summary, sizes, ["cohort"], size=measured_bytes(samples))
         zeros = F.col("size_all") - F.col("_rows")
     middle = F.ceil((F.col("_n") + F.col("_zeros")) / 2)
     nil = F.col("_nil") + F.col("_zeros")
@@ -55,7 +55,8 @@ def baseline_profile(long, implicit_zeros=False):
     )
     sized = settle(summary.withColumn("_zeros", zeros).withColumn("_rank", position), "profile")
     wanted = sized.where("_rank > 0").select(*FEATURE, "_rank")
-    medians = group_rank(cells, FEATURE, "logcpm", wanted, "_median")
+    # The ranks are a part of the settled profile, so its size bounds theirs.
+    medians = group_rank(cells, FEATURE, "logcpm", wanted, "_median", measured_bytes(sized))
     _, mean, _ = merge_zeros(F.col("_n"), F.col("_mean"), F.lit(0.0), F.col("_zeros"))
     some = F.col("_n") + F.col("_zeros") > 0
     return sized.join(medians, FEATURE, "left").select(
@@ -76,13 +77,16 @@ def attach_symbol(df, symbols):
     return named.withColumn("symbol", C.symbol_or_id("symbol", "feature_id"))
 
 
-def zscore(df, columns, by=("cohort",)):
-    """Add ``out = (value - mean) / sample sd`` per group; ``columns`` maps value to out."""
+def zscore(df, columns, by=("cohort",), size=None):
+    """Add ``out = (value - mean) / sample sd`` per group; ``columns`` maps value to out.
+
+    ``size`` is an upper bound of the size of the means and deviations, if one is known.
+    """
     by = list(by)
     parts = []
     for value in columns:
         parts += [F.avg(value).alias(f"_m_{value}"), F.stddev(value).alias(f"_s_{value}")]
-    joined = attach_constants(df, df.groupBy(*by).agg(*parts), by)
+    joined = attach_constants(df, df.groupBy(*by).agg(*parts), by, size=size)
     for value, out in columns.items():
         scaled = F.try_divide(F.col(value) - F.col(f"_m_{value}"), F.col(f"_s_{value}"))
         joined = joined.withColumn(out, scaled)
@@ -94,7 +98,12 @@ def target_score(de, baseline, symbols):
     effects = de.select(*FEATURE, "log2fc", "fdr")
     # Settled, as the z constants and the scored rows both read it.
     joined = settle(effect_baseline_join(effects, baseline), "effects")
-    scored = zscore(joined, {"log2fc": "z_effect", "baseline_mean_logcpm": "z_baseline"})
+    # A cohort has a row of its own here, no shorter than that of its constants.
+    scored = zscore(
+        joined,
+        {"log2fc": "z_effect", "baseline_mean_logcpm": "z_baseline"},
+        size=measured_bytes(joined),
+    )
     scored = scored.withColumn("target_score", F.col("z_effect") - F.col("z_baseline"))
     return attach_symbol(scored, symbols).select(*SCORE)
 

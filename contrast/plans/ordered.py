@@ -99,18 +99,19 @@ def _step(value):
     return F.when(value < 0, -size).otherwise(size)
 
 
-def group_rank(df, by, value, ranks, out):
+def group_rank(df, by, value, ranks, out, size=None):
     """The value of a rank (1-based, ascending) in every group that ``ranks`` lists.
 
     Exact, and independent of how the rows are partitioned. ``ranks`` is settled and has
     ``by`` and ``_rank``. A histogram of each group shows the step that holds the rank;
     only the rows of this one step are sorted. Null and NaN values don't count; a group
-    with fewer values than its rank is left out.
+    with fewer values than its rank is left out. ``size`` is an upper bound of the size of
+    ``ranks``, if one is known.
     """
     by = list(by)
     known = df.select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
     known = known.where("_v is not null and not isnan(_v)").withColumn("_step", _step(F.col("_v")))
-    tally = join_side(known, ranks, by).groupBy(*by, "_step", "_rank").agg(F.count("*").alias("_n"))
+    tally = join_side(known, ranks, by, size=size).groupBy(*by, "_step", "_rank").agg(F.count("*").alias("_n"))
     # Some hundred rows a group, as a histogram has that many steps.
     order = W.partitionBy(*by).orderBy("_step").rowsBetween(W.unboundedPreceding, 0)
     upto = tally.withColumn("_upto", F.sum("_n").over(order))

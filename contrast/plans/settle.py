@@ -78,17 +78,26 @@ def settle(df, label="table"):
 
 
 def _width(field):
-    if isinstance(field.dataType, T.StringType):
+    kind = field.dataType
+    if isinstance(kind, T.StringType):
         return F.coalesce(F.octet_length(field.name), F.lit(0)) + 24
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.coalesce(F.size(field.name), F.lit(0)) * 16 + 64
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) * 2 + 64
     return F.lit(16)
 
 
 def measured_bytes(df):
-    """Upper estimate of the in-memory size of a settled table."""
-    width = sum((_width(field) for field in df.schema.fields), F.lit(32))
-    return df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0
+    """Upper estimate of the in-memory size of a settled table; measured once.
+
+    An observation of the write would spare the pass, but a session that has observed
+    anything can no longer be serialised with the models of MLlib.
+    """
+    if getattr(df, "_measured", None) is None:
+        width = sum((_width(field) for field in df.schema.fields), F.lit(32))
+        df._measured = df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return df._measured
 
 
 def join_side(big, side, on, how="inner", limit=None, size=None):
@@ -109,17 +118,21 @@ def join_side(big, side, on, how="inner", limit=None, size=None):
     return salted.join(copies, [*on, salt], how).drop(salt)
 
 
-def attach_constants(df, constants, by, limit=None):
+def attach_constants(df, constants, by, limit=None, size=None):
     """Add the constants of its group to every row; a null key is a group like any other.
 
-    ``constants`` has one row per group and is settled and measured. Within the limit
-    it is broadcast, so a hot group of ``df`` isn't shuffled; beyond it the rows of a
-    group are spread over salts.
+    ``constants`` has one row per group and is settled and measured, unless ``size``, an
+    upper bound of its size, is known to be within the limit: then it is computed where it
+    is needed. Within the limit it is broadcast, so a hot group of ``df`` isn't shuffled;
+    beyond it the rows of a group are spread over salts.
     """
-    side = settle(constants, "constants").withColumnsRenamed({name: f"_key_{name}" for name in by})
     limit = BROADCAST_LIMIT if limit is None else limit
+    side = constants.withColumnsRenamed({name: f"_key_{name}" for name in by})
+    if size is None or size > limit:
+        side = settle(side, "constants")
+        size = measured_bytes(side)
     same = [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in by]
-    if measured_bytes(side) <= limit:
+    if size <= limit:
         side = F.broadcast(side)
     else:
         rest = [name for name in df.columns if name not in by] or list(by)

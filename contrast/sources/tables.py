@@ -82,11 +82,31 @@ def read_csv_result(spark, path, schema):
 
 
 def audit_long(long):
-    """Rows, distinct features and distinct samples of each cohort."""
-    return long.groupBy("cohort").agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("feature_id").alias("n_features"),
-        F.count_distinct("sample_id").alias("n_samples"),
+    """Rows, distinct features and distinct samples of each cohort.
+
+    One aggregation per counted column, each of which reads that column alone and is
+    combined before it is shuffled; no cell is expanded.
+    """
+    features = (
+        long.groupBy("cohort", "feature_id")
+        .agg(F.count("*").alias("cells"))
+        .withColumns({"feature": F.col("feature_id").isNotNull(), "sample": F.lit(False)})
+        .select("cohort", "cells", "feature", "sample")
+    )
+    samples = (
+        long.select("cohort", "sample_id")
+        .distinct()
+        .withColumns({"cells": F.lit(0), "feature": F.lit(False), "sample": F.col("sample_id").isNotNull()})
+        .select("cohort", "cells", "feature", "sample")
+    )
+    return (
+        features.unionByName(samples)
+        .groupBy("cohort")
+        .agg(
+            F.sum("cells").alias("n_rows"),
+            F.count_if("feature").alias("n_features"),
+            F.count_if("sample").alias("n_samples"),
+        )
     )
 
 

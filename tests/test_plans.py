@@ -75,6 +75,28 @@ def test_measured_bytes_grows_with_the_strings(spark):
     assert plan.measured_bytes(spark.createDataFrame([], "s string")) == 0
 
 
+def test_size_is_measured_once_and_covers_numeric_arrays(spark, monkeypatch):
+    wide = plan.settle(spark.range(50).select("id", F.sequence(F.lit(1), F.col("id")).alias("numbers")))
+    size = plan.measured_bytes(wide)
+    assert size > 50 * 48 + 16 * 1000
+    monkeypatch.setattr(plan, "_width", None)
+    assert plan.measured_bytes(wide) == size
+    monkeypatch.undo()
+    assert plan.measured_bytes(wide.limit(0)) == 0
+
+
+def test_constants_of_a_known_size_are_not_written(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 5)], "cohort string, v long")
+    sums = rows.groupBy("cohort").agg(F.sum("v").alias("total"))
+    wanted = {("a", 1, 3), ("a", 2, 3), (None, 5, 5)}
+    for limit in (0, None):
+        joined = plan.attach_constants(rows, sums, ["cohort"], limit=limit, size=1000)
+        assert {tuple(r) for r in joined.collect()} == wanted
+    monkeypatch.setattr(plan, "scratch_path", None)
+    joined = plan.attach_constants(rows, sums, ["cohort"], size=1000)
+    assert {tuple(r) for r in joined.collect()} == wanted
+
+
 def test_scratch_uses_the_configured_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None) or plan.shared_dir(spark)
     assert plan.scratch_path(spark, "x").startswith(folder)

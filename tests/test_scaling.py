@@ -1,5 +1,8 @@
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contrast.operators import scaling
 
@@ -29,6 +32,25 @@ def test_subsamples_are_nested(long):
     assert small < large
 
 
+@pytest.mark.parametrize("digits", [1, 3])
+def test_draws_equal_a_plain_sort(spark, monkeypatch, digits):
+    monkeypatch.setattr(scaling, "DIGITS", digits)
+    cells = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("cohort"),
+        (F.col("id") % 700).cast("string").alias("sample_id"),
+    )
+    drawn = {}
+    for cohort, sample in cells.distinct().collect():
+        draw = hashlib.md5(f"7:{sample}".encode()).hexdigest()
+        drawn.setdefault(cohort, []).append((draw, sample))
+    wanted = {
+        (cohort, sample, place, len(samples))
+        for cohort, samples in drawn.items()
+        for place, (_, sample) in enumerate(sorted(samples), 1)
+    }
+    assert {tuple(r) for r in scaling.sample_ranks(cells, seed=7).collect()} == wanted
+
+
 def test_scaling_table(long):
     rows = scaling.subsample_diff(long).orderBy("fraction").collect()
     assert [r.fraction for r in rows] == [0.1, 0.25, 0.5, 0.75, 1.0]

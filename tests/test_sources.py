@@ -139,3 +139,14 @@ def test_audit(spark, long_of):
     assert (row.n_rows, row.n_features, row.n_samples) == (3, 2, 2)
     split = {r.group: r.n_samples for r in tables.label_distribution(long).collect()}
     assert split == {"case": 1, "control": 1}
+
+
+def test_audit_counts_nulls_as_before_and_expands_nothing(spark, capsys):
+    rows = [("a", "f", "s"), ("a", "f", "t"), ("a", None, "s"), (None, "g", None), (None, "g", "s"), ("b", None, None)]
+    long = spark.createDataFrame(rows, "cohort string, feature_id string, sample_id string")
+    audit = tables.audit_long(long)
+    got = {tuple(r) for r in audit.collect()}
+    assert got == {("a", 3, 1, 2), (None, 2, 1, 1), ("b", 1, 0, 0)}
+    audit.explain()
+    assert "Expand" not in capsys.readouterr().out
+    assert tables.audit_long(long.limit(0)).count() == 0
