@@ -3,25 +3,29 @@
 A text is a bag of hashed n-grams: words and word pairs, and pairs and triples of word
 shapes (case, marks, whether a word repeats the one before). Two generative models count
 them: one over the labelled documents of good quality (target), one over all documents
-(raw). The importance of a document is the mean log ratio of both models over its n-grams.
+(raw). The importance of a document is the log ratio of its probability under both: the
+sum of the log ratios of its n-grams. Its log weight is the importance over the root of
+the number of n-grams: they overlap, so a sum counts the evidence of long texts too often.
 
-A logistic curve through the importances of the labelled rows turns them into log
-weights. ``k``, the number of documents to keep, is that of the documents which are
-likelier good than not; then Gumbel top-k draws k documents without replacement: noise from a hash of the row is added to the log weight over the
-temperature, and the k largest stay, by a distributed rank.
+Gumbel top-k draws ``k`` documents without replacement in proportion to these weights:
+noise from a hash of the row is added to the log weight over the temperature, and the k
+largest stay, by a distributed rank. Labels of bad quality have no part in the weights.
+They only set ``k``, where none is given: a logistic curve through the log weights of the
+labelled rows tells how many documents of the table are likelier good than not.
 
 The models are two arrays of fixed length. Target and curve use at most ``LABELLED``
 labelled rows, taken by hash; the raw model counts every document.
 
-A null text counts as empty. A text without words has no n-grams and importance 0. Rows
-are judged one by one, also those that share an id or have none; equal rows share their
-fate up to ties at the end of the k, where all rows of equal noise and id are in the
-order of their texts' hashes.
+A null text counts as empty. A text without words has no n-grams, and importance and log
+weight 0. Long texts are read in blocks of tokens, and n-grams run on from one to the
+next. Rows are judged one by one, also those that share an id or have none; equal rows
+share their fate up to ties at the end of the k, where all rows of equal noise and id are
+in the order of their texts' hashes. Without labels, or with good ones only, all stay.
 """
 
 import re
 import zlib
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,13 @@ from contrast.plans.ordered import place, rank
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 SEED = 7
 SMOOTHING = 1.0
 MEMO = 300_000
 BATCH = 512
 LONG_TEXT = 1 << 20
+TOKENS = 1 << 18
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MARKS = 8
@@ -71,46 +76,44 @@ class _Words(dict):
 _words = _Words()
 
 
-def _mixed(*parts):
+def _mixed(kind, *parts):
     h = np.zeros(len(parts[0]), np.uint64)
-    for part in parts:
+    for part in (np.full(len(parts[0]), kind, np.uint64), *parts):
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(20)) % np.uint64(BUCKETS)
+    return ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _blocks(text):
-    """A long text in blocks, cut at white space where there is some."""
-    at = 0
-    while len(text) - at > LONG_TEXT:
-        cut = text.rfind(" ", at + 1, at + LONG_TEXT)
-        cut = at + LONG_TEXT if cut < 0 else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def _token_blocks(text):
+    """Lists of tokens: one, or several of bounded length if the text is long."""
+    if len(text) <= LONG_TEXT:
+        yield _TOKEN.findall(text)
+        return
+    found = (match.group() for match in _TOKEN.finditer(text))
+    while block := list(islice(found, TOKENS)):
+        yield block
 
 
 def ngrams(text):
     """Buckets of the n-grams of a text, as an array."""
     out = [np.zeros(0, np.int64)]
-    for block in _blocks(text):
-        found = _TOKEN.findall(block)
-        if not found:
-            continue
-        codes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-        words = codes & np.uint64(0xFFFFFFFF)
-        shapes = codes >> np.uint64(32)
+    words = shapes = np.zeros(0, np.uint64)
+    for block in _token_blocks(text):
+        # The last two tokens before the block, whose own n-grams are out already.
+        words, shapes = words[-2:], shapes[-2:]
+        at = len(words)
+        codes = np.fromiter(map(_words.__getitem__, block), np.uint64, len(block))
+        words = np.concatenate([words, codes & np.uint64(0xFFFFFFFF)])
         same = np.zeros(len(words), np.uint64)
         same[1:] = words[1:] == words[:-1]
-        shapes = shapes * np.uint64(2) + same
-        one, two, three, four = (np.full(len(words), i, np.uint64) for i in (1, 2, 3, 4))
-        grams = [_mixed(one, words)]
+        shapes = np.concatenate([shapes, (codes >> np.uint64(32)) * np.uint64(2) + same[at:]])
+        out.append(_mixed(1, words[at:]))
+        two, three = max(at, 1), max(at, 2)
         if len(words) > 1:
-            grams.append(_mixed(two[1:], words[:-1], words[1:]))
-            grams.append(_mixed(three[1:], shapes[:-1], shapes[1:]))
+            out.append(_mixed(2, words[two - 1 : -1], words[two:]))
+            out.append(_mixed(3, shapes[two - 1 : -1], shapes[two:]))
         if len(words) > 2:
-            grams.append(_mixed(four[2:], shapes[:-2], shapes[1:-1], shapes[2:]))
-        out.extend(g.astype(np.int64) for g in grams)
+            out.append(_mixed(4, shapes[three - 2 : -2], shapes[three - 1 : -1], shapes[three:]))
     return np.concatenate(out)
 
 
@@ -169,28 +172,29 @@ def log_ratios(counts):
 
 
 def importances(marked, ratios):
-    """``doc_id``, ``text_hash``, ``label``, ``importance``, ``n_grams`` of every row."""
+    """``doc_id``, ``text_hash``, ``label``, ``importance``, ``log_weight`` of every row."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 grams = [ngrams(text) for text in part.column(1).to_pylist()]
-                means = [ratios[g].mean() if len(g) else 0.0 for g in grams]
+                sums = np.array([ratios[g].sum() for g in grams])
+                sizes = np.array([max(len(g), 1) for g in grams])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(3),
                         part.column(2),
-                        pa.array(means, pa.float64()),
-                        pa.array([len(g) for g in grams], pa.int64()),
+                        pa.array(sums),
+                        pa.array(sums / np.sqrt(sizes)),
                     ],
-                    names=["doc_id", "text_hash", "label", "importance", "n_grams"],
+                    names=["doc_id", "text_hash", "label", "importance", "log_weight"],
                 )
         _words.clear()
 
     return marked.select("doc_id", "text", "label", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, text_hash long, label int, importance double, n_grams long"
+        run, "doc_id long, text_hash long, label int, importance double, log_weight double"
     )
 
 
@@ -217,36 +221,39 @@ def logistic_curve(x, y, steps=200, decay=1e-3):
     return float(theta[0] / scale), float(theta[1])
 
 
-def resample(docs, labels, temperature=TEMPERATURE):
-    """``doc_id``, ``text_hash``, ``importance``, ``log_weight``, ``kept`` of every row."""
-    sample = settle(labelled_sample(labels), "labelled")
-    marked = _marked(docs, sample)
-    ratios = log_ratios(count_ngrams(marked))
-    scored = settle(importances(marked, ratios), "importance")
+def likely_good(scored):
+    """How many of the scored rows are likelier good than not, by the labelled ones."""
     # At most one row per sampled id, unless ids repeat; then any of them will do.
     seen = (
         scored.where("label is not null")
         .groupBy("doc_id")
-        .agg(F.min(F.struct("text_hash", "importance", "label")).alias("r"))
-        .select("r.importance", "r.label")
+        .agg(F.min(F.struct("text_hash", "log_weight", "label")).alias("r"))
+        .select("r.log_weight", "r.label")
         .collect()
     )
     x = np.array([row[0] for row in seen], float)
     y = np.array([row[1] == 1 for row in seen], float)
     order = np.lexsort((y, x))
     slope, offset = logistic_curve(x[order], y[order])
+    return scored.where(F.col("log_weight") * slope + offset > 0).count()
+
+
+def resample(docs, labels, temperature=TEMPERATURE, k=None):
+    """``doc_id``, ``text_hash``, ``importance``, ``log_weight``, ``key``, ``kept`` of every row.
+
+    The ``k`` rows of largest key stay; by default as many as are likely to be good.
+    """
+    sample = settle(labelled_sample(labels), "labelled")
+    marked = _marked(docs, sample)
+    ratios = log_ratios(count_ngrams(marked))
+    scored = settle(importances(marked, ratios), "importance")
+    k = likely_good(scored) if k is None else k
     noise = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(SEED)), 11) + 0.5) / float(1 << 53)
-    weighed = scored.select(
-        "doc_id",
-        "text_hash",
-        "importance",
-        (F.col("importance") * slope + offset).alias("log_weight"),
-    ).withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(noise)))
-    k = weighed.where("log_weight > 0").count()
+    keyed = scored.drop("label").withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(noise)))
     order = [F.col("key").desc(), F.col("doc_id"), F.col("text_hash")]
-    ranked = rank(place(weighed, [], order), [], order)
+    ranked = rank(place(keyed, [], order), [], order)
     return ranked.select(
-        "doc_id", "text_hash", "importance", "log_weight", (F.col("rank") <= k).alias("kept")
+        "doc_id", "text_hash", "importance", "log_weight", "key", (F.col("rank") <= k).alias("kept")
     )
 
 

@@ -50,6 +50,7 @@ BATCH = 512
 LONG_TEXT = 1 << 20
 
 _WORD = re.compile(r"\w+")
+_SPACE = re.compile(r"\s")
 
 
 def subwords(word):
@@ -75,13 +76,13 @@ class _Memo(dict):
 
 
 def words_of(text):
-    """Lower-case words, a block of the text at a time."""
+    """Lower-case words, a block of the text at a time; blocks end at white space."""
     at = 0
     while at < len(text):
         end = len(text)
         if end - at > LONG_TEXT:
-            cut = text.rfind(" ", at + 1, at + LONG_TEXT)
-            end = at + LONG_TEXT if cut < 0 else cut
+            space = _SPACE.search(text, at + LONG_TEXT)
+            end = space.start() if space else end
         yield _WORD.findall(text[at:end].lower())
         at = end
 

@@ -1,8 +1,10 @@
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from contrast.llm import quality as Q
@@ -52,27 +54,55 @@ def test_models_equal_brute_force(documents, labels):
         target += grams * good[key]
     assert counts == {b: (raw[b], target[b]) for b in np.flatnonzero(raw)}
     ratios = Q.log_ratios(Q.count_ngrams(marked))
-    wanted = {key: ratios[Q.ngrams(text)].mean() for key, text in rows}
+    wanted = {key: (ratios[g].sum(), len(g)) for key, g in ((key, Q.ngrams(text)) for key, text in rows)}
     for r in Q.importances(marked, ratios).collect():
-        assert r["importance"] == pytest.approx(wanted[r["doc_id"]])
+        total, size = wanted[r["doc_id"]]
+        assert r["importance"] == pytest.approx(total)
+        assert r["log_weight"] == pytest.approx(total / math.sqrt(size))
 
 
-def test_top_k_by_gumbel_noise(documents, labels):
-    """The kept rows are the k largest keys, and equal weights are drawn at random."""
+def gumbel(key, text):
+    """Noise of a row: the hash of its id, of its text's hash and of the seed, one after the other."""
+    text_hash = xxhash.xxh64_digest(text.encode(), 42)[::-1]
+    h = 42
+    for part in (struct.pack("<q", key), text_hash, struct.pack("<i", Q.SEED)):
+        h = xxhash.xxh64_intdigest(part, h)
+    return -math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+
+
+def test_top_k_equals_brute_force(documents, labels):
+    """Kept are the k rows of largest weight plus noise, with a given k and with the default."""
     rows, good = corpus(120)
-    got = Q.resample(documents(rows), labels(good)).collect()
-    k = sum(r["log_weight"] > 0 for r in got)
-    assert sum(r["kept"] for r in got) == k > 0
-    hot = Q.resample(documents(rows), labels(good), temperature=1e9).collect()
-    assert {r["doc_id"] for r in hot if r["kept"]} != {r["doc_id"] for r in got if r["kept"]}
+    for k in (None, 0, 37, 500):
+        got = Q.resample(documents(rows), labels(good), k=k).collect()
+        texts = dict(rows)
+        keys = {r["doc_id"]: r["log_weight"] + gumbel(r["doc_id"], texts[r["doc_id"]]) for r in got}
+        assert all(r["key"] == pytest.approx(keys[r["doc_id"]]) for r in got)
+        size = sum(good.values()) if k is None else k
+        wanted = set(sorted(keys, key=keys.get, reverse=True)[:size])
+        assert {r["doc_id"] for r in got if r["kept"]} == wanted
+
+
+def test_draw_is_no_threshold(documents, labels):
+    """Rows of equal weight are drawn at random, and the more so the higher the temperature."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(8))) for i in range(200)]
+    differ = []
+    for temperature in (1.0, 1e9):
+        got = Q.resample(documents(rows), labels({i: 1 for i in range(20)}), temperature, k=100).collect()
+        best = sorted(got, key=lambda r: -r["log_weight"])[:100]
+        differ.append(len({r["doc_id"] for r in got if r["kept"]} - {r["doc_id"] for r in best}))
+    assert 5 < differ[0] and 30 < differ[1] < 70
 
 
 def test_texts_in_blocks_and_without_words(monkeypatch):
     assert len(Q.ngrams("")) == 0 and len(Q.ngrams(" \n")) == 0 and len(Q.ngrams("one")) == 1
-    text = "alpha beta gamma delta " * 30
-    whole = len(Q.ngrams(text))
+    text = "alpha beta\tbeta gamma, delta " * 30 + "x" * 500
+    whole = sorted(Q.ngrams(text))
     monkeypatch.setattr(Q, "LONG_TEXT", 100)
-    assert whole - 80 < len(Q.ngrams(text)) <= whole
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(Q, "TOKENS", size)
+        assert sorted(Q.ngrams(text)) == whole
 
 
 def test_curve_and_one_class():

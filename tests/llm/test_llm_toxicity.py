@@ -68,3 +68,11 @@ def test_one_class_no_labels_and_empty_table(spark, documents, odd):
     none = labelled(spark, {}).where(F.lit(False))
     assert {r["predicted"] for r in T.toxicity_report(table, none).collect()} == {0}
     assert T.toxicity_report(table.where(F.lit(False)), none).count() == 0
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    text = "alpha beta\tgamma\nÉTÉ " * 40 + "x" * 300 + " end"
+    whole = [word for block in T.words_of(text) for word in block]
+    for size in (1, 7, 50, 200):
+        monkeypatch.setattr(T, "LONG_TEXT", size)
+        assert [word for block in T.words_of(text) for word in block] == whole
