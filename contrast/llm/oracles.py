@@ -98,9 +98,13 @@ def _secrets():
             f"SELECT doc, {rank} AS rank, start, start + length(hit) AS stop FROM ({_hits(pattern)}) WHERE {long}"
         )
     window, bits = secrets.WINDOW, secrets.micro_bits()
-    calm = " OR ".join(f"regexp_matches(hit, {_quoted(a)})" for a in secrets.ALLOWED)
+    # Parts left out become blanks, which no window may hold.
+    part, between = _quoted(secrets.ALLOWED_PART), _quoted(secrets.SEPARATOR)
+    blanked = f"""array_to_string([
+        CASE WHEN regexp_matches(parts[k], {part}) THEN repeat(' ', length(parts[k])) ELSE parts[k] END
+        || coalesce(signs[k], '') FOR k IN range(1, len(parts) + 1)], '')"""
     for rank, (kind, pattern, _, least) in enumerate(secrets.CLASSES, len(secrets.LEAST)):
-        word = "lower(hit)" if kind == "entropy_hex" else "hit"
+        word = f"lower({blanked})" if kind == "entropy_hex" else blanked
         spans.append(f"""
         SELECT doc, {rank} AS rank, min(start + i) AS start, max(start + i) + {window} AS stop FROM (
           SELECT doc, n, start, i, sum(fresh) OVER (PARTITION BY doc, n ORDER BY i) AS island FROM (
@@ -109,8 +113,9 @@ def _secrets():
             FROM (
               SELECT doc, n, start, i, substr(word, i + 1, {window}) AS part FROM (
                 SELECT doc, n, start, {word} AS word, unnest(range(0, length(hit) - {window - 1})) AS i
-                FROM ({_hits(pattern)}) WHERE NOT ({calm})))
-            WHERE list_sum([{bits}[length(part) - length(replace(part, c, '')) + 1]
+                FROM (SELECT *, string_split_regex(hit, {between}) AS parts, regexp_extract_all(hit, {between}) AS signs
+                      FROM ({_hits(pattern)}) WHERE NOT regexp_matches(hit, {_quoted(secrets.ALLOWED)}))))
+            WHERE NOT contains(part, ' ') AND list_sum([{bits}[length(part) - length(replace(part, c, '')) + 1]
                             FOR c IN list_distinct(string_split(part, ''))]) <= {secrets.micro_limit(least)}))
         GROUP BY doc, n, island""")
     kinds = "[" + ", ".join(_quoted(kind) for kind in secrets.KINDS) + "]"

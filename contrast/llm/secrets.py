@@ -12,8 +12,11 @@ cheap test of the same pattern hits; no row is shuffled.
   alphabet and not the window. Windows above the class's threshold are joined to
   spans. The sum is in integer micro-bits, so that a result doesn't depend on the
   order of floating-point additions.
-* The allow list suppresses candidate strings that look random by nature (UUIDs,
-  alphabets, placeholders). It never removes a base span.
+* The allow list: a candidate that is a UUID as a whole is not scanned. Any other one is
+  divided into parts at ``/``, ``=``, ``_`` and ``-``; a part that holds one of the listed
+  alphabets or placeholder words is left out. What lies between such parts, with the
+  separators, is scanned as candidates of their own, so no window reaches over a part left
+  out, and a key beside a placeholder is found. The list never removes a base span.
 
 Null and empty texts have no spans. Rows with equal ids are scanned one by one.
 Positions are code points, the end is exclusive.
@@ -47,11 +50,9 @@ CLASSES = (
     ),
 )
 # What looks random by nature or is meant to be seen.
-ALLOWED = (
-    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    r"(?i)(0123456789|abcdefghij|qwertyuiop)",
-    r"(?i)(example|sample|dummy|placeholder|changeme)",
-)
+ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+ALLOWED_PART = r"(?i)(0123456789|abcdefghij|qwertyuiop|example|sample|dummy|placeholder|changeme)"
+SEPARATOR = r"[/=_-]"
 # Elements of a block of hits, and windows of a part of a long candidate.
 PART = 256
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
