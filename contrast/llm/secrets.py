@@ -177,11 +177,12 @@ def _touching(spans):
     return _let(spans, joined)
 
 
-def entropy_spans(word, alphabet, bits, window=WINDOW):
+def entropy_spans(word, alphabet, bits, window=WINDOW, pieces=None):
     """Spans (start, end) of a candidate string whose windows reach ``bits``.
 
-    Characters become places in the alphabet once. A long candidate is scanned in parts
-    of ``PART`` windows, each with its own counts.
+    ``pieces`` are the ranges (start, end) to scan, by default the whole string; no window
+    reaches over their ends. Characters become places in the alphabet once. A long piece is
+    scanned in parts of ``PART`` windows, each with its own counts.
     """
     limit = micro_limit(bits, window)
     costs = F.array(*[F.lit(v).cast("long") for v in micro_bits(window)])
@@ -255,25 +256,59 @@ def entropy_spans(word, alphabet, bits, window=WINDOW):
             )
         )
 
+    def scan(places):
+        if pieces is None:
+            return parts(places)
+        return F.flatten(
+            F.transform(
+                pieces,
+                lambda p: F.transform(
+                    _let(F.slice(places, p["start"] + 1, p["end"] - p["start"]), parts),
+                    lambda s: F.struct((s["start"] + p["start"]).alias("start"), (s["end"] + p["start"]).alias("end")),
+                ),
+            )
+        )
+
     letters = F.filter(F.split(word, ""), lambda c: c != "")
-    return _let(F.transform(letters, lambda c: F.instr(F.lit(alphabet), c)), parts)
+    return _let(F.transform(letters, lambda c: F.instr(F.lit(alphabet), c)), scan)
 
 
-def _entropies(text, kind, pattern, alphabet, bits):
-    def suspicious(x):
-        calm = F.lit(False)
-        for allowed in ALLOWED:
-            calm = calm | F.rlike(x["hit"], F.lit(allowed))
-        return ~calm
+def _unlisted(hit):
+    """Ranges (start, end) of a candidate between the parts that the allow list leaves out."""
+    end = F.char_length(hit)
+
+    def ranged(start, stop):
+        return F.struct(start.alias("start"), stop.alias("end"))
+
+    def between(parts):
+        sizes = F.transform(parts, lambda p: F.char_length(p) + 1)
+        placed = F.zip_with(
+            parts,
+            _let(sizes, lambda own: _before(own, lambda a, b: a + b)),
+            lambda p, at: F.struct(at.alias("start"), (at + F.char_length(p)).alias("end"), p.alias("part")),
+        )
+        return _let(
+            F.filter(placed, lambda x: F.rlike(x["part"], F.lit(ALLOWED_PART))),
+            lambda out: F.transform(
+                F.sequence(F.lit(0), F.size(out)),
+                lambda i: ranged(
+                    F.coalesce(F.get(out, i - 1)["end"], F.lit(0)), F.coalesce(F.get(out, i)["start"], end)
+                ),
+            ),
+        )
 
+    listed = F.rlike(hit, F.lit(ALLOWED_PART))
+    return F.when(listed, _let(F.split(hit, SEPARATOR, -1), between)).otherwise(F.array(ranged(F.lit(0), end)))
+
+
+def _entropies(text, kind, pattern, alphabet, bits):
     def spans(x):
         word = F.lower(x["hit"]) if kind == "entropy_hex" else x["hit"]
-        return F.transform(
-            entropy_spans(word, alphabet, bits),
-            lambda s: _span(kind, x["start"] + s["start"], x["start"] + s["end"]),
-        )
+        found = _let(_unlisted(x["hit"]), lambda pieces: entropy_spans(word, alphabet, bits, pieces=pieces))
+        return F.transform(found, lambda s: _span(kind, x["start"] + s["start"], x["start"] + s["end"]))
 
-    return F.flatten(F.transform(F.filter(_located(text, pattern), suspicious), spans))
+    candidates = F.filter(_located(text, pattern), lambda x: ~F.rlike(x["hit"], F.lit(ALLOWED)))
+    return F.flatten(F.transform(candidates, spans))
 
 
 def secrets_in(text):
