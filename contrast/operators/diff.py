@@ -29,10 +29,10 @@ def diff_core(long, implicit_zeros=False, samples=None):
 
 
 def diff_analysis(
-    long, implicit_zeros=False, min_cpm=S.MIN_CPM, min_fraction=S.MIN_FRACTION
+    long, implicit_zeros=False, min_cpm=S.MIN_CPM, min_fraction=S.MIN_FRACTION, samples=None
 ):
     """log-CPM, expression filter, Welch test, p-value and FDR per cohort."""
-    moments = feature_moments(long, implicit_zeros, min_cpm, min_fraction)
+    moments = feature_moments(long, implicit_zeros, min_cpm, min_fraction, samples)
     return bh_fdr(with_pvalue(welch(moments))).select(*RESULT)
 
 

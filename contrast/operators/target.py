@@ -24,15 +24,15 @@ SCORE = [
 ]
 
 
-def baseline_profile(long, implicit_zeros=False):
+def baseline_profile(long, implicit_zeros=False, samples=None):
     """Mean and exact median of log-CPM per feature; no expression filter.
 
     The median is the least value that at least half of the values don't exceed. With
     ``implicit_zeros`` the samples without a cell count as one value 0 of that weight: they
     only shift the rank to look for, and most features are settled by their counts alone.
-    No zero row is made.
+    No zero row is made. ``samples`` is the settled sample table of ``long``, if there is one.
     """
-    samples = sample_table(long)
+    samples = sample_table(long) if samples is None else samples
     cells = log_cpm(long, samples).where("lib_size > 0")
     summary = cells.groupBy(*FEATURE).agg(
         F.count("*").alias("_rows"),
@@ -93,19 +93,25 @@ def zscore(df, columns, by=("cohort",), size=None):
     return joined.drop(*(f"_{kind}_{value}" for value in columns for kind in "ms"))
 
 
-def target_score(de, baseline, symbols):
-    """High effect and low baseline: ``z(effect) - z(baseline)`` per cohort."""
+def target_score(de, baseline, symbols, safe_quantile=None):
+    """High effect and low baseline: ``z(effect) - z(baseline)`` per cohort.
+
+    With ``safe_quantile`` every row also carries this quantile of its cohort's baseline as
+    ``safe_max``, which ``quadrant`` and ``verdict`` then use; nothing more is written for it
+    than the distinct values to rank.
+    """
     effects = de.select(*FEATURE, "log2fc", "fdr")
     # Settled, as the z constants and the scored rows both read it.
     joined = settle(effect_baseline_join(effects, baseline), "effects")
     # A cohort has a row of its own here, no shorter than that of its constants.
-    scored = zscore(
-        joined,
-        {"log2fc": "z_effect", "baseline_mean_logcpm": "z_baseline"},
-        size=measured_bytes(joined),
-    )
+    size = measured_bytes(joined)
+    scored = zscore(joined, {"log2fc": "z_effect", "baseline_mean_logcpm": "z_baseline"}, size=size)
     scored = scored.withColumn("target_score", F.col("z_effect") - F.col("z_baseline"))
-    return attach_symbol(scored, symbols).select(*SCORE)
+    if safe_quantile is None:
+        return attach_symbol(scored, symbols).select(*SCORE)
+    limits = safe_threshold(joined, safe_quantile)
+    limited = attach_constants(scored, limits, ["cohort"], size=size)
+    return attach_symbol(limited, symbols).select(*SCORE, "safe_max")
 
 
 def volcano_points(de, symbols):
@@ -136,10 +142,20 @@ def safe_threshold(scores, q=S.SAFE_QUANTILE):
     return group_quantile(scores, ["cohort"], "baseline_mean_logcpm", q, "safe_max")
 
 
+def _limited(scores, q=S.SAFE_QUANTILE):
+    """Scores with their cohort's threshold, unless they carry it already."""
+    if "safe_max" in scores.columns:
+        return scores
+    return attach_constants(scores, safe_threshold(scores, q), ["cohort"])
+
+
 def quadrant(scores, q=S.SAFE_QUANTILE):
-    """Zone of every scored feature by effect and baseline threshold."""
+    """Zone of every scored feature by effect and baseline threshold.
+
+    ``q`` is for scores that don't carry a ``safe_max`` from ``target_score``.
+    """
     zone = C.quadrant("log2fc", "fdr", "baseline_mean_logcpm", "safe_max")
-    return attach_constants(scores, safe_threshold(scores, q), ["cohort"]).withColumn("zone", zone)
+    return _limited(scores, q).withColumn("zone", zone)
 
 
 def quadrant_labels(zoned, good=12, danger=6):
@@ -158,8 +174,7 @@ def quadrant_labels(zoned, good=12, danger=6):
 def verdict(scores, safe_max=None):
     """Add the verdict; without ``safe_max`` the limit is the cohort's own quantile."""
     if safe_max is None:
-        scores = attach_constants(scores, safe_threshold(scores), ["cohort"])
-        safe_max = "safe_max"
+        scores, safe_max = _limited(scores), "safe_max"
     call = C.verdict("log2fc", "fdr", "baseline_mean_logcpm", safe_max)
     return scores.withColumn("verdict", call).drop("safe_max")
 

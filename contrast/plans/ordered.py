@@ -106,7 +106,7 @@ def group_rank(df, by, value, ranks, out, size=None):
     ``by`` and ``_rank``. A histogram of each group shows the step that holds the rank;
     only the rows of this one step are sorted. Null and NaN values don't count; a group
     with fewer values than its rank is left out. ``size`` is an upper bound of the size of
-    ``ranks``, if one is known.
+    ``ranks`` with one more number a row, if one is known.
     """
     by = list(by)
     known = df.select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
@@ -118,7 +118,7 @@ def group_rank(df, by, value, ranks, out, size=None):
     below = F.col("_upto") - F.col("_n")
     held = upto.where((below < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
     steps = settle(held.select(*by, "_step", (F.col("_rank") - below).alias("_rest")), "steps")
-    inside = join_side(known, steps, [*by, "_step"]).groupBy(*by, "_v", "_rest").agg(F.count("*").alias("_n"))
+    inside = join_side(known, steps, [*by, "_step"], size=size).groupBy(*by, "_v", "_rest").agg(F.count("*").alias("_n"))
     sums = running_sum(place(inside, by, ["_v"]), by, ["_v"], F.col("_n"), "_upto")
     first = (F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))
     return sums.where(first).select(*by, F.col("_v").alias(out))

@@ -221,11 +221,13 @@ def zscore(spark, sf_dir):
     return shown(target.zscore(customers, {"c_acctbal": "z_acctbal"}))
 
 
-def _scores(spark, sf_dir, halves=False):
+def _scores(spark, sf_dir, halves=False, safe_quantile=None):
+    """One sample table serves both sides: a document is in one of the groups only."""
     long = X.terms(spark, sf_dir, by_language=True, halves=halves)
-    effects = diff.diff_analysis(X.contrast_of(long), implicit_zeros=True)
-    baseline = target.baseline_profile(X.baseline_of(long), implicit_zeros=True)
-    return target.target_score(effects, baseline, X.term_symbols(spark, sf_dir))
+    samples = normalize.sample_table(long)
+    effects = diff.diff_analysis(X.contrast_of(long), implicit_zeros=True, samples=X.contrast_of(samples))
+    baseline = target.baseline_profile(X.baseline_of(long), implicit_zeros=True, samples=X.baseline_of(samples))
+    return target.target_score(effects, baseline, X.term_symbols(spark, sf_dir), safe_quantile)
 
 
 def target_score(spark, sf_dir):
@@ -244,7 +246,7 @@ def volcano_labels(spark, sf_dir):
 
 
 def quadrant(spark, sf_dir):
-    zoned = target.quadrant(settle(_scores(spark, sf_dir), "scores"))
+    zoned = target.quadrant(_scores(spark, sf_dir, safe_quantile=S.SAFE_QUANTILE))
     return shown(
         zoned.select(
             "cohort", "feature_id", "log2fc", "fdr", "baseline_mean_logcpm", "safe_max", "zone"
@@ -253,7 +255,7 @@ def quadrant(spark, sf_dir):
 
 
 def quadrant_labels(spark, sf_dir):
-    zoned = target.quadrant(settle(_scores(spark, sf_dir), "scores"))
+    zoned = target.quadrant(_scores(spark, sf_dir, safe_quantile=S.SAFE_QUANTILE))
     labels = target.quadrant_labels(zoned)
     return shown(
         labels.select("cohort", "feature_id", "symbol", "zone", "log2fc", "baseline_mean_logcpm")
@@ -261,7 +263,7 @@ def quadrant_labels(spark, sf_dir):
 
 
 def verdict(spark, sf_dir):
-    judged = target.verdict(settle(_scores(spark, sf_dir), "scores"))
+    judged = target.verdict(_scores(spark, sf_dir, safe_quantile=S.SAFE_QUANTILE))
     return shown(judged.select("cohort", "feature_id", "symbol", "target_score", "verdict"))
 
 
@@ -287,7 +289,7 @@ def recurrence(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     path = scratch_path(spark, "profiles")
-    scores = settle(_scores(spark, sf_dir), "scores")
+    scores = _scores(spark, sf_dir, safe_quantile=S.SAFE_QUANTILE)
     tables.write_profiles(serving.profiles(scores), path)
     return tables.read_profiles(spark, path)
 

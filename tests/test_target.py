@@ -49,6 +49,24 @@ def test_quadrant_uses_the_quantile_of_all_features(scores):
     assert "f7" in labels
 
 
+def test_score_carries_the_threshold(scores, monkeypatch):
+    """The same zones and verdicts, also where the constants are too large to broadcast."""
+    de = scores.select("cohort", "feature_id", "log2fc", "fdr")
+    baseline = scores.select(
+        "cohort", "feature_id", "baseline_mean_logcpm", F.lit(0.0).alias("baseline_median_logcpm")
+    )
+    symbols = scores.select("feature_id", "symbol").limit(3)
+    plain = target.target_score(de, baseline, symbols)
+    for limit in (None, 0):
+        if limit is not None:
+            monkeypatch.setattr("contrast.plans.settle.BROADCAST_LIMIT", limit)
+        carried = target.target_score(de, baseline, symbols, safe_quantile=0.25)
+        assert carried.columns == [*plain.columns, "safe_max"]
+        for judge, names in ((target.quadrant, ["safe_max", "zone"]), (target.verdict, ["verdict"])):
+            rows = [sorted(judge(t).select("feature_id", *names).collect()) for t in (plain, carried)]
+            assert rows[0] == rows[1] and len(rows[0]) == 7
+
+
 def test_zscore_has_mean_zero_and_sd_one(scores):
     z = target.zscore(scores, {"log2fc": "z"})
     row = z.agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
