@@ -65,15 +65,16 @@ def tidied(spark, build, label="table"):
     return result
 
 
-def settle(df, label="table"):
+def settle(df, label="table", **options):
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage in a way that survives lost executors, freezes values that
     depend on task placement, and keeps later passes from recomputing the plan.
+    ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,11 @@ from contrast import settings as S
 from contrast.operators.matrix import BLOCK, block_samples, dense_blocks, sample_positions
 from contrast.plans.settle import join_side, settle
 
+# Files of these names can't be split. Their lines are stored in row groups of this many
+# bytes, so that many tasks can share one file.
+PACKED = ".gz"
+ROW_GROUP = 16 * 1024 * 1024
+
 
 def read_matrix(spark, path, id_column=S.MATRIX_ID_COLUMN):
     """All lines of the matrix files but the comments.
@@ -35,21 +40,33 @@ def header_positions(raw):
     return matrix_headers(raw).select("file", F.posexplode("sample_ids").alias("pos", "sample_id"))
 
 
+def unpacked(raw):
+    """Lines with those of compressed files in a table that can be split.
+
+    The one full read of such a file: its header and its rows both come from the table.
+    """
+    names = raw.inputFiles()
+    if not any(name.endswith(PACKED) for name in names):
+        return raw
+    packed = F.col("file").endswith(PACKED)
+    stored = settle(raw.where(packed), "lines", **{"parquet.block.size": ROW_GROUP})
+    if all(name.endswith(PACKED) for name in names):
+        return stored
+    return raw.where(~packed).unionByName(stored)
+
+
 def matrix_to_long(raw):
     """Unpivot: one row per (feature, sample) with its count.
 
     Each text row meets the header of its file before it is taken apart, so the
     cells need no join. A short row has fewer cells, surplus fields are ignored,
     and a count that is not a number is NULL. A file without header fails.
-    Compressed files cannot be split, so their rows, and only theirs, are spread over
-    the tasks first.
+    Compressed files are read once, by ``unpacked``.
     """
+    raw = unpacked(raw)
     headers = settle(matrix_headers(raw), "headers")
     fields = F.split("value", S.FIELD_SEPARATOR)
-    body = raw.where("kind = 'row'")
-    packed = F.col("file").endswith(".gz")
-    body = body.where(~packed).unionByName(body.where(packed).repartition("value"))
-    rows = body.select(
+    rows = raw.where("kind = 'row'").select(
         "file", fields[0].alias("feature_id"), F.slice(fields, 2, F.size(fields)).alias("counts")
     )
     titled = join_side(rows, headers, ["file"], "left")

@@ -47,6 +47,33 @@ def test_gzip_matrix(spark, tmp_path):
     assert cells(text.matrix_to_long(raw))[("f1", "s3")] == 3
 
 
+def test_compressed_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Spoiled after the first read, a packed file gives all its cells, also beside a plain one."""
+    packed, real, seen = tmp_path / "m.tsv.gz", text.settle, []
+
+    def fill():
+        with gzip.open(packed, "wt") as out:
+            lines = (f"f{i}\t{i}\t{i * i}\n" for i in range(2000))
+            out.write("##c\ngene_id\ts1\ts2\n" + "".join(lines))
+
+    def counted(df, label, **options):
+        table = real(df, label, **options)
+        seen.append(label)
+        if label == "lines":
+            packed.write_bytes(b"x" * packed.stat().st_size)
+        return table
+
+    fill()
+    write(tmp_path / "n.tsv", "gene_id\ts9\nf1\t5\n")
+    monkeypatch.setattr(text, "settle", counted)
+    monkeypatch.setattr(text, "ROW_GROUP", 4096)
+    got = cells(text.matrix_to_long(text.read_matrix(spark, str(tmp_path))))
+    assert got[("f1999", "s2")] == 1999**2 and got[("f1", "s9")] == 5 and len(got) == 4001
+    fill()
+    alone = text.matrix_to_long(text.read_matrix(spark, str(packed)))
+    assert alone.count() == 4000 and seen == ["lines", "headers"] * 2
+
+
 def test_missing_header_fails(spark, tmp_path):
     raw = text.read_matrix(spark, write(tmp_path / "m.tsv", "##only\nf1\t1\t2\n"))
     with pytest.raises(Exception, match="no header line"):
