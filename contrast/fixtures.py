@@ -11,7 +11,7 @@ F  predictions: quality labels against toxicity flags
 from pyspark.sql import functions as F
 
 from contrast import settings as S
-from contrast.plans.settle import settle
+from contrast.plans.settle import checked_side, settle
 
 LONG = ["cohort", "group", "feature_id", "sample_id", "count"]
 BRAND_TYPE = ("p_brand", "p_type")
@@ -103,12 +103,12 @@ def retail(spark, sf_dir, by_region=False, features=("p_brand",)):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     sold = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(checked_side(part), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("o_custkey", "feature_id")
         .agg(F.sum("l_quantity").cast("long").alias("count"))
     )
     return settle(
-        sold.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        sold.join(checked_side(customer), F.col("o_custkey") == F.col("c_custkey")).select(
             (F.col("r_name") if by_region else F.lit("all")).alias("cohort"),
             "group",
             "feature_id",

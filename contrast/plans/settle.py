@@ -9,8 +9,9 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side is broadcast only while its measured size stays under this many bytes.
-BROADCAST_LIMIT = 128 * 1024 * 1024
+# A side is broadcast only while its measured size stays under this many bytes. Its hash
+# table takes about twice that in the driver, beside the blocks that are sent.
+BROADCAST_LIMIT = 64 * 1024 * 1024
 # Beyond it, the rows of one key are spread over this many salts.
 SALTS = 16
 
@@ -108,6 +109,9 @@ def join_side(big, side, on, how="inner", limit=None, size=None):
     table is not shuffled. Otherwise both are shuffled on the key and a salt, so
     the rows of one hot key are spread over several tasks. Both ways give the
     same rows. ``size`` is an upper bound of the side's size, if one is known.
+
+    The salted copies are hinted to a merge join: Spark takes the compressed files of the
+    side for its size and would broadcast all copies.
     """
     limit = BROADCAST_LIMIT if limit is None else limit
     if (measured_bytes(side) if size is None else size) <= limit:
@@ -116,7 +120,16 @@ def join_side(big, side, on, how="inner", limit=None, size=None):
     rest = [name for name in big.columns if name not in on] or list(on)
     salted = big.withColumn(salt, F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
     copies = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, salt], how).drop(salt)
+    return salted.join(copies.hint("merge"), [*on, salt], how).drop(salt)
+
+
+def checked_side(side, limit=None):
+    """``side`` hinted by its measured size, for keys that aren't hot.
+
+    Left to itself, Spark broadcasts a side whose compressed file is small.
+    """
+    limit = BROADCAST_LIMIT if limit is None else limit
+    return F.broadcast(side) if measured_bytes(side) <= limit else side.hint("merge")
 
 
 def attach_constants(df, constants, by, limit=None, size=None):
@@ -139,6 +152,7 @@ def attach_constants(df, constants, by, limit=None, size=None):
         rest = [name for name in df.columns if name not in by] or list(by)
         df = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
         side = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        side = side.hint("merge")
         same.append(F.col("_salt") == F.col("_copy"))
     joined = df.join(side, reduce(lambda a, b: a & b, same))
     return joined.drop("_salt", "_copy", *(f"_key_{name}" for name in by))

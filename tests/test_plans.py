@@ -174,3 +174,20 @@ def test_no_zero_rows_are_made(spark, capsys):
     schema = "cohort string, group string, feature_id string, sample_id string, count long"
     target.baseline_profile(spark.createDataFrame(rows, schema), implicit_zeros=True).explain()
     assert "Generate" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_salted_copies_are_never_broadcast(spark, how, capsys):
+    """Spark's own estimate is the compressed file of the side, not its copies."""
+    big = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    side = settle(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")))
+    joins = [
+        plan.join_side(big, side, ["k"], how, limit=0),
+        plan.attach_constants(big, side, ["k"], limit=0),
+        big.join(plan.checked_side(side, limit=0), "k"),
+    ]
+    for joined in joins:
+        joined.explain()
+        shown = capsys.readouterr().out
+        assert "SortMergeJoin" in shown and "Broadcast" not in shown
+        assert joined.count() == 1000
