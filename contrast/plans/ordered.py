@@ -12,14 +12,32 @@ from pyspark.sql import functions as F
 from contrast.plans.settle import join_side, settle
 
 BUCKET = "_bucket"
+# Rows of a range at most, on average; a task sorts some ten megabytes of them.
+ROWS = 1 << 17
 # Steps of a histogram per doubling of (1 + value).
 STEPS = 64
 
 
 def place(df, by, order):
-    """Add the range bucket of every row and settle, so that all passes agree."""
-    ranged = df.repartitionByRange(*by, *order)
-    return settle(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
+    """Add the range bucket of every row and settle, so that all passes agree.
+
+    There are ``spark.sql.shuffle.partitions`` ranges, more if they would hold over ``ROWS``
+    rows. The rows are settled before they are counted, and then sampled for the ranges.
+    """
+    df = settle(df, "rows")
+    ranges = -(-df.count() // ROWS)
+    if ranges <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ranges = None
+    ranged = df.repartitionByRange(*([ranges] if ranges else []), *by, *order)
+    placed = settle(ranged.withColumn(BUCKET, F.spark_partition_id()), "ordered")
+    placed._ranges = ranges
+    return placed
+
+
+def _dealt(placed, by):
+    """The ranges dealt over as many tasks as there are, if that is more than usual."""
+    ranges = getattr(placed, "_ranges", None)
+    return placed.repartition(ranges, *by, BUCKET) if ranges else placed
 
 
 def _bucket_window(by, descending=False):
@@ -42,10 +60,13 @@ def running_sum(placed, by, order, value, out, total=None):
     if total:
         offsets = offsets.withColumn(total, F.sum("_own").over(W.partitionBy(*by)))
     within = _row_window(by, order).rowsBetween(W.unboundedPreceding, 0)
+    # The window comes first, as its order also serves the join.
     return (
-        placed.join(offsets.drop("_own"), [*by, BUCKET])
-        .withColumn(out, F.col("_before") + F.sum(value).over(within))
-        .drop("_before")
+        _dealt(placed, by)
+        .withColumn("_within", F.sum(value).over(within))
+        .join(offsets.drop("_own"), [*by, BUCKET])
+        .withColumn(out, F.col("_before") + F.col("_within"))
+        .drop("_before", "_within")
     )
 
 
@@ -61,9 +82,10 @@ def min_from_end(ranked, by, position, value, out):
     later = lows.withColumn("_later", F.min("_low").over(after)).drop("_low")
     within = _row_window(by, [F.col(position).desc()]).rowsBetween(W.unboundedPreceding, 0)
     return (
-        ranked.join(later, [*by, BUCKET])
-        .withColumn(out, F.least(F.min(value).over(within), "_later"))
-        .drop("_later")
+        ranked.withColumn("_within", F.min(value).over(within))
+        .join(later, [*by, BUCKET])
+        .withColumn(out, F.least("_within", "_later"))
+        .drop("_later", "_within")
     )
 
 

@@ -191,3 +191,15 @@ def test_salted_copies_are_never_broadcast(spark, how, capsys):
         shown = capsys.readouterr().out
         assert "SortMergeJoin" in shown and "Broadcast" not in shown
         assert joined.count() == 1000
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 11).alias("v"), "id")
+    placed = ordered.place(df, ["g"], ["v", "id"])
+    assert placed.select(ordered.BUCKET).distinct().count() == 10
+    ranked = ordered.rank(placed, ["g"], ["v", "id"], "r", total="n")
+    got = {row.id: row.r for row in ranked.collect()}
+    for g in (0, 1):
+        order = sorted(range(g, 1000, 2), key=lambda i: (i * 7 % 11, i))
+        assert [got[i] for i in order] == list(range(1, 501))
