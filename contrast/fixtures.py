@@ -8,7 +8,10 @@ E  symbols: nation names as symbols of nation keys
 F  predictions: quality labels against toxicity flags
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contrast import settings as S
 from contrast.plans.settle import checked_side, settle
@@ -19,6 +22,8 @@ BRAND_TYPE = ("p_brand", "p_type")
 WORD_BREAK = r"[^\p{L}\p{M}]+"
 # Baseline log-CPM up to which a recurring term is a candidate.
 RECURRENCE_LIMIT = 14.0
+# Documents whose words are counted at a time.
+COUNTED = 1024
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -35,27 +40,65 @@ def terms(spark, sf_dir, by_language=False, halves=False):
     cohort = F.col("lang") if by_language else F.lit("corpus")
     if halves:
         cohort = F.concat_ws("-", cohort, (F.col("doc_id") % 2).cast("string"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = table(spark, sf_dir, "documents").where("text is not null")
+    documents = documents.select("doc_id", cohort.alias("cohort"), "text")
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     group = F.when(F.col("quality") == 1, S.CASE).when(F.col("quality") == 0, S.CONTROL)
-    counted = (
-        documents.select(
-            "doc_id",
-            cohort.alias("cohort"),
-            F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("feature_id"),
+
+    def labelled(rows):
+        """Rows with the group of every label of their document."""
+        found = rows.join(checked_side(quality), "doc_id", "left")
+        return found.withColumn("group", F.coalesce(group, F.lit(S.BASELINE))).drop("quality")
+
+    # An id that is null or comes again has its rows added up; any other document is
+    # counted where it is read, so that no cell is shuffled.
+    several = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    several = settle(several.select(F.col("doc_id").alias("again")), "several")
+    cells, added = documents, None
+    if not several.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        cells = documents.join(checked_side(several), same, "left_anti")
+        added = (
+            counted_words(documents.join(checked_side(several), same, "left_semi"))
+            .groupBy("doc_id", "cohort", "feature_id")
+            .agg(F.sum("count").alias("count"))
         )
-        .where("feature_id <> ''")
-        .groupBy("doc_id", "cohort", "feature_id")
-        .agg(F.count("*").alias("count"))
+    cells = counted_words(labelled(cells))
+    if added is not None:
+        cells = cells.unionByName(labelled(added))
+    cells = cells.select(
+        "cohort", "group", "feature_id", F.col("doc_id").cast("string").alias("sample_id"), "count"
     )
-    labelled = counted.join(quality, "doc_id", "left").select(
-        "cohort",
-        F.coalesce(group, F.lit(S.BASELINE)).alias("group"),
-        "feature_id",
-        F.col("doc_id").cast("string").alias("sample_id"),
-        "count",
+    return settle(cells, "terms")
+
+
+def counted_words(rows):
+    """``feature_id`` and ``count`` of every different word of ``text``, row by row.
+
+    Spark splits the texts; the words of some rows at a time are then counted as arrays.
+    """
+    others = [name for name in rows.columns if name != "text"]
+    listed = rows.select(*others, F.split(F.lower("text"), WORD_BREAK).alias("words"))
+    names = [*others, "feature_id", "count"]
+    schema = T.StructType(
+        [*listed.schema.fields[:-1], T.StructField("feature_id", T.StringType()), T.StructField("count", T.LongType())]
     )
-    return settle(labelled, "terms")
+    step = COUNTED
+
+    def run(batches):
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            words = part.column(part.num_columns - 1)
+            coded = words.flatten().dictionary_encode()
+            lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(part.num_rows, dtype=np.int64), lengths)
+            size = max(1, len(coded.dictionary))
+            cells, count = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            at = pa.array(cells // size)
+            columns = [column.take(at) for column in part.columns[:-1]]
+            columns += [coded.dictionary.take(pa.array(cells % size)), pa.array(count, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return listed.mapInArrow(run, schema).where("feature_id <> ''")
 
 
 def contrast_of(long):

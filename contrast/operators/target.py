@@ -33,7 +33,8 @@ def baseline_profile(long, implicit_zeros=False, samples=None):
     No zero row is made. ``samples`` is the settled sample table of ``long``, if there is one.
     """
     samples = sample_table(long) if samples is None else samples
-    cells = log_cpm(long, samples).where("lib_size > 0")
+    # Settled, as three passes read it and the join with the libraries is the dear part.
+    cells = settle(log_cpm(long, samples).where("lib_size > 0").select(*FEATURE, "logcpm"), "cells")
     summary = cells.groupBy(*FEATURE).agg(
         F.count("*").alias("_rows"),
         F.count("logcpm").alias("_n"),
