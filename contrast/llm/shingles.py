@@ -3,29 +3,31 @@
 Two texts link if their sets of five-word shingles have a Jaccard similarity of ``SIMILAR``
 or more. At 0.8 a 64-bit SimHash of these shingles differs in about ten bits, which four-bit
 keys can't find. The set of a text's words changes five times less: one edit touches five
-shingles but one word. So candidates come from fingerprints of the different words.
+shingles but one word. So the first candidates come from fingerprints of the different words.
 
-1. A text has ``PRINTS`` independent fingerprints of its words. For each of them the Golay
-   keys of ``llm/simhash.py`` bring together all texts within four bits; neighbours in a
-   bucket are proposed, what they join is contracted, and of the pairs that still lie in
-   different parts one for each two parts is proposed. So the number of pairs grows with the
-   number of texts, in a group of copies as well.
+1. A text has ``PRINTS`` independent fingerprints of its words. The Golay keys of
+   ``llm/simhash.py`` bring together all texts within four bits; neighbours in a bucket are
+   proposed, what they join is contracted, and of the pairs that still lie in different parts
+   one for each two parts is proposed. Neighbours in the buckets of step 3 are proposed too.
+   So the number of pairs grows with the number of texts, in a group of copies as well.
 2. Every proposed pair is verified with whole texts by its exact similarity. Only verified
-   pairs link.
-
-Most pairs at 0.8 lie within four bits in one of the fingerprints, closer ones more often (README
-has the measured shares). In a group of many texts a
-fingerprint proposes a spanning forest of the group, not all its pairs; the fingerprints have
-different orders, so they propose different ones.
+   pairs link; what they link is contracted.
+3. Step 1 proposes few of a group's pairs, so the links it misses are found by an exact join.
+   Under any one order of all shingles, two similar texts share one of their first fifth (and
+   one more): these are the buckets. All pairs in a bucket whose texts step 2 left apart, and
+   whose places in the order leave room for the similarity, are verified as well. The order
+   puts frequent shingles last; it decides how many pairs there are, not which links are found.
 
 Equal texts are one node, named by a 64-bit hash. Texts without words have equal (empty)
 sets; a text of fewer words is one shingle. Rows without an id link nothing.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrast.llm.common import settle, whole_texts
@@ -36,8 +38,10 @@ from contrast.plans.settle import join_side, tidied
 SEED = 42
 WORDS = 5
 SIMILAR = 0.8
-PRINTS = 8
+PRINTS = 2
 SALTS = 64
+# Shingles met this often in one of so many texts go last in the order, up to a number.
+SAMPLED, FREQUENT, LATE = 16, 4, 1 << 15
 _BLOCK = 1 << 12
 
 
@@ -61,6 +65,21 @@ def similar(left, right, least=SIMILAR):
     return both >= least * (len(left) + len(right) - both)
 
 
+def prefix(shingles, late, least=SIMILAR):
+    """The shingles of a sorted set of which similar sets share one, in their order.
+
+    ``late`` is a sorted array of shingles that go last. Without words it is a zero, as all
+    such texts are alike.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.uint64)
+    n = len(shingles) - int(np.ceil(len(shingles) * least - 1e-9)) + 1
+    if not len(late):
+        return shingles[:n]
+    at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+    return shingles[np.argsort(late[at] == shingles, kind="stable")[:n]]
+
+
 def word_prints(raw, prints=PRINTS):
     """Fingerprints of the different words of UTF-8 bytes; zeros without words."""
     words = list(set(raw.lower().split()))
@@ -105,40 +124,126 @@ def _close(a, b):
 def _same_print(texts):
     """Pairs that chain the texts of one fingerprint; a frequent one is spread over salts."""
     salted = texts.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)))
-    within = Window.partitionBy("fp", "salt").orderBy("code")
-    chained = salted.select("fp", "salt", "code", F.lag("code").over(within).alias("before"))
+    within = Window.partitionBy("print", "fp", "salt").orderBy("code")
+    chained = salted.select("print", "fp", "salt", "code", F.lag("code").over(within).alias("before"))
     # At most SALTS first ones of a fingerprint.
-    across = Window.partitionBy("fp").orderBy("salt")
+    across = Window.partitionBy("print", "fp").orderBy("salt")
     first = chained.where("before is null").select("code", F.lag("code").over(across).alias("before"))
     return chained.select("code", "before").unionByName(first).where("before is not null").select(
         F.col("before").alias("a"), F.col("code").alias("b")
     )
 
 
-def proposed(texts):
-    """Pairs (a, b) of codes that connect all texts (``fp``, ``code``) within four bits."""
-    nodes = settle(texts.groupBy("fp").agg(F.min("code").alias("node")), "nodes")
-    keys = settle(keyed(nodes), "golay")
-    order = Window.partitionBy("key").orderBy("fp")
+def _least_first(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def proposed(own):
+    """Pairs (a, b) of codes that connect texts (``prints``, ``code``) within four bits."""
+    texts = own.select(F.posexplode("prints").alias("print", "fp"), "code").distinct()
+    nodes = settle(texts.groupBy("print", "fp").agg(F.min("code").alias("node")), "nodes")
+    keys = [keyed(nodes.where(F.col("print") == i)).withColumn("print", F.lit(i)) for i in range(PRINTS)]
+    keys = settle(reduce(DataFrame.unionByName, keys), "golay")
+    order = Window.partitionBy("print", "key").orderBy("fp")
     before = [F.lag(c).over(order).alias(f"{c}2") for c in ("fp", "node")]
     chain = keys.where("side = 2").select("fp", "node", *before).where(_close("fp", "fp2"))
     chain = settle(chain.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "chain")
     label = settle(components(chain, "a", "b"), "label")
     named = join_side(keys, label, ["node"], "left").withColumn("label", F.coalesce("component", "node"))
-    named = settle(named.select("key", "side", "fp", "node", "label"), "named")
-    x, y = (named.select("key", *[F.col(c).alias(c + i) for c in ("side", "fp", "node", "label")]) for i in "12")
+    named = settle(named.select("print", "key", "side", "fp", "node", "label"), "named")
+    x, y = (named.select("print", "key", *[F.col(c).alias(c + i) for c in ("side", "fp", "node", "label")]) for i in "12")
     sides = F.col("side1") * 4 + F.col("side2")
     meets = (sides == 1) | ((sides == 10) & (F.col("fp1") < F.col("fp2")))
     apart = F.col("label1") != F.col("label2")
+    same = (x["print"] == y["print"]) & (x["key"] == y["key"])
     crossed = (
-        x.join(y, (x["key"] == y["key"]) & meets & apart & _close("fp1", "fp2"))
+        x.join(y, same & meets & apart & _close("fp1", "fp2"))
         .groupBy(F.least("label1", "label2").alias("p"), F.greatest("label1", "label2").alias("q"))
-        .agg(F.min(F.struct(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))).alias("pair"))
+        .agg(F.min(F.struct(*_least_first("node1", "node2"))).alias("pair"))
         .select("pair.a", "pair.b")
     )
     return chain.unionByName(crossed).unionByName(_same_print(texts))
 
 
+def frequent(docs):
+    """Sorted array of at most ``LATE`` shingles that many texts have, from a part of them."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(raw).view(np.int64))], names=["shingle"])
+
+    texts = _coded(docs).where(F.pmod(F.xxhash64("code"), F.lit(SAMPLED)) == 0).select("raw", "code")
+    counts = texts.dropDuplicates(["code"]).select("raw").mapInArrow(run, "shingle long").groupBy("shingle").count()
+    most = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(LATE)
+    late = np.array([row[0] for row in settle(most.select("shingle"), "late").collect()], np.int64)
+    return np.sort(late.view(np.uint64))
+
+
+def prefixed(docs):
+    """``shingle``, ``code``, ``n`` (shingles of the text), ``place`` (in their order) of the
+    shingles of every text's prefix that another text's prefix has as well.
+
+    ``n2``, ``place2`` and ``code2`` are those of a neighbour in the bucket, in one of four orders.
+    """
+    late = frequent(docs)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(raw) for raw in part.column(1).to_pylist()]
+                firsts = [prefix(s, late) for s in sets]
+                lengths = np.fromiter(map(len, firsts), np.int64, len(firsts))
+                place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                n = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), lengths)
+                code = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), lengths)))
+                shingle = np.concatenate(firsts).view(np.int64)
+                columns = [pa.array(shingle), code, pa.array(n, pa.int32()), pa.array(place, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "code", "n", "place"])
+
+    rows = _coded(docs).select("code", "raw").mapInArrow(run, "shingle long, code long, n int, place int")
+    # Both steps after it find the rows of a shingle together.
+    rows = rows.repartition("shingle").dropDuplicates(["shingle", "code"])
+    order = Window.partitionBy("shingle").orderBy(F.xxhash64("code", F.pmod("shingle", F.lit(4))), "code")
+    beside = [F.lag(c).over(order).alias(f"{c}2") for c in ("code", "n", "place")]
+    rows = rows.select("*", *beside, F.lead("code").over(order).alias("after"))
+    return rows.where("code2 is not null or after is not null").drop("after")
+
+
+def _room(n, n2, place, place2, least, least2):
+    """Whether sets may be similar that first meet at these places of their order."""
+    both = F.least(F.col(n) - F.col(place), F.col(n2) - F.col(place2))
+    return both * (1 + SIMILAR) >= (F.col(least) + F.col(least2)) * SIMILAR - 1e-6
+
+
+def beside(buckets):
+    """Pairs (a, b) of neighbours in the buckets of ``prefixed``."""
+    return buckets.where(_room("n", "n2", "place", "place2", "n", "n2")).select(*_least_first("code", "code2"))
+
+
+def apart(buckets, found):
+    """All pairs (a, b) that share a bucket and lie in different groups (``node``, ``component``).
+
+    Groups meet first and their texts then, so the texts of one group are never paired.
+    """
+    groups = found.withColumnRenamed("node", "code")
+    rows = join_side(buckets.select("shingle", "code", "n", "place"), groups, ["code"], "left")
+    rows = rows.withColumn("part", F.coalesce("component", "code")).drop("component")
+    whole = Window.partitionBy("shingle")
+    rows = rows.withColumn("lo", F.min("part").over(whole)).withColumn("hi", F.max("part").over(whole))
+    rows = settle(rows.where("lo < hi").drop("lo", "hi"), "mixed")
+    parts = rows.groupBy("shingle", "part").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place")
+    )
+    x, y = (parts.select("shingle", *[F.col(c).alias(c + i) for c in ("part", "least", "most", "place")]) for i in "12")
+    met = x.join(y, "shingle").where("part1 < part2")
+    met = met.where(_room("most1", "most2", "place1", "place2", "least1", "least2")).select("shingle", "part1", "part2")
+    x, y = (rows.select("shingle", *[F.col(c).alias(c + i) for c in ("part", "code", "n", "place")]) for i in "12")
+    pairs = met.join(x, ["shingle", "part1"]).join(y, ["shingle", "part2"])
+    return pairs.where(_room("n1", "n2", "place1", "place2", "n1", "n2")).select(*_least_first("code1", "code2")).distinct()
+
+
 def verified(docs, pairs):
     """The pairs (a, b) whose texts have a similarity of ``SIMILAR`` or more."""
     used = settle(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "used")
@@ -163,22 +268,22 @@ def similar_groups(docs):
     """``doc_id``, ``component_id`` (least id of its group) of every row that has an id."""
     spark = docs.sparkSession
     own = settle(printed(docs), "printed")
-    rounds = []
-    for i in range(PRINTS):
-        texts = own.select(F.col("prints")[i].alias("fp"), "code").distinct()
-        rounds.append(tidied(spark, lambda texts=texts: proposed(texts), "proposed"))
-    pairs = rounds[0]
-    for more in rounds[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = settle(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"
+    buckets = tidied(spark, lambda: prefixed(docs), "prefixed")
+    pairs = tidied(
+        spark,
+        lambda: proposed(own).select(*_least_first("a", "b")).unionByName(beside(buckets)).distinct(),
+        "pairs",
     )
-    links = settle(verified(docs, pairs), "verified")
+    links = tidied(spark, lambda: verified(docs, pairs), "verified")
     ids = own.select("doc_id", "code").distinct()
     # An id that has several texts ties the groups of these texts together.
     again = ids.groupBy("doc_id").agg(F.min("code").alias("a"), F.max("code").alias("z")).where("a <> z")
     tied = ids.join(again, "doc_id").select("a", F.col("code").alias("b"))
-    found = settle(components(links.unionByName(tied), "a", "b"), "groups")
+    links = settle(links.unionByName(tied), "tied")
+    found = tidied(spark, lambda: components(links, "a", "b"), "groups")
+    rest = tidied(spark, lambda: apart(buckets, found).join(pairs, ["a", "b"], "left_anti"), "apart")
+    more = tidied(spark, lambda: verified(docs, rest), "verified")
+    found = tidied(spark, lambda: components(links.unionByName(more), "a", "b"), "groups")
     named = ids.join(found.withColumnRenamed("node", "code"), "code", "left")
     named = named.select("doc_id", F.coalesce("component", "code").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

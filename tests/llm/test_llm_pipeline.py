@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from contrast.llm import bpe, secrets, simhash
+from contrast.llm import bpe, secrets, shingles, simhash
 
 
 @pytest.fixture
@@ -81,6 +81,50 @@ def test_near_copies_of_every_similarity(spark, documents):
     assert sorted(kept) == sorted(set(root.values()))
 
 
+def test_similar_texts_with_unlike_ones_between(spark, documents):
+    """All texts have the same words and so the same fingerprints; only their copies are alike."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for n in range(60):
+        rng.shuffle(words)
+        at = rng.randrange(119)
+        swapped = words[:at] + [words[at + 1], words[at]] + words[at + 2 :]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(swapped))]
+    kept = [r["doc_id"] for r in P.keep_one_of_near(spark, documents(rows), None).collect()]
+    assert sorted(kept) == [2 * n for n in range(60)]
+
+
+def test_exact_join_alone_finds_every_link(spark, documents, monkeypatch):
+    """Without any proposal, and with frequent shingles last, the links are those of brute force."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(6))
+    common, texts = [word() for _ in range(40)], ["", " ", "\n", "one", " one "]
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(30, 150))] + common * rng.randint(0, 1)
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(30), rng.randint(0, 2)):
+                copy[at] = word()
+            texts.append(" ".join(copy + [word()] * rng.randint(0, 2)))
+    docs = documents(list(enumerate(texts)))
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if shingles.similar(sets[a], sets[b]):
+                old, new = sorted((least[a], least[b]))[::-1]
+                least = [new if x == old else x for x in least]
+    assert len(set(least)) < len(texts) - 20
+    monkeypatch.setattr(shingles, "SAMPLED", 2)
+    assert len(shingles.frequent(docs)) >= 30
+    nothing = lambda own: own.select(F.col("code").alias("a"), F.col("code").alias("b")).where("a < b")
+    monkeypatch.setattr(shingles, "proposed", nothing)
+    monkeypatch.setattr(shingles, "beside", nothing)
+    found = {r["doc_id"]: r["component_id"] for r in shingles.similar_groups(docs).collect()}
+    assert found == dict(enumerate(least))
+
+
 def test_run_and_registration(spark, folder):
     import __spark_entry__ as registry
 
