@@ -246,9 +246,13 @@ def apart(buckets, found):
 
 def verified(docs, pairs):
     """The pairs (a, b) whose texts have a similarity of ``SIMILAR`` or more."""
-    used = settle(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "used")
-    texts = join_side(_coded(docs).select("code", "raw"), used, ["code"], "left_semi")
-    texts = settle(texts.dropDuplicates(["code"]), "texts")
+
+    def wanted():
+        used = settle(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "used")
+        return join_side(_coded(docs).select("code", "raw"), used, ["code"], "left_semi").dropDuplicates(["code"])
+
+    # The shuffles of the texts go before the join writes its own.
+    texts = tidied(docs.sparkSession, wanted, "texts")
 
     def run(batches):
         for batch in batches:
