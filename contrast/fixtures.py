@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrast import settings as S
+from contrast.operators.normalize import unpacked
 from contrast.plans.settle import checked_side, settle
 
 LONG = ["cohort", "group", "feature_id", "sample_id", "count"]
 BRAND_TYPE = ("p_brand", "p_type")
 # Whatever is neither a letter nor a mark on one, in any script.
 WORD_BREAK = r"[^\p{L}\p{M}]+"
+# The part of it that lies beyond ASCII.
+WIDE_BREAK = r"[^\x00-\x7F\p{L}\p{M}]+"
 # Baseline log-CPM up to which a recurring term is a candidate.
 RECURRENCE_LIMIT = 14.0
 # Documents whose words are counted at a time.
@@ -31,11 +34,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def terms(spark, sf_dir, by_language=False, halves=False):
+def terms(spark, sf_dir, by_language=False, halves=False, packed=False):
     """Fixture A, settled: every term of every document, whole texts.
 
     Documents without a label are the baseline group. With ``halves`` the documents of
-    even and of odd id are cohorts of their own, which share their terms.
+    even and of odd id are cohorts of their own, which share their terms. The table is
+    written with the cells of a document in one row; ``packed`` leaves them there.
     """
     cohort = F.col("lang") if by_language else F.lit("corpus")
     if halves:
@@ -59,46 +63,68 @@ def terms(spark, sf_dir, by_language=False, halves=False):
         same = F.col("doc_id").eqNullSafe(F.col("again"))
         cells = documents.join(checked_side(several), same, "left_anti")
         added = (
-            counted_words(documents.join(checked_side(several), same, "left_semi"))
+            unpacked(counted_words(documents.join(checked_side(several), same, "left_semi")))
             .groupBy("doc_id", "cohort", "feature_id")
             .agg(F.sum("count").alias("count"))
         )
     cells = counted_words(labelled(cells))
     if added is not None:
-        cells = cells.unionByName(labelled(added))
-    cells = cells.select(
-        "cohort", "group", "feature_id", F.col("doc_id").cast("string").alias("sample_id"), "count"
-    )
-    return settle(cells, "terms")
+        # One cell a row: the rows without an id are one sample, of any size.
+        single = F.array(F.struct("feature_id", "count")).alias("cells")
+        cells = cells.unionByName(labelled(added).select("doc_id", "cohort", "group", single))
+    cells = cells.select("cohort", "group", F.col("doc_id").cast("string").alias("sample_id"), "cells")
+    cells = settle(cells, "terms")
+    return cells if packed else unpacked(cells).select(*LONG)
 
 
 def counted_words(rows):
-    """``feature_id`` and ``count`` of every different word of ``text``, row by row.
+    """``cells`` of every row with a word in ``text``: its different words and their counts.
 
-    Spark splits the texts; the words of some rows at a time are then counted as arrays.
+    Spark lowers the texts and blanks what breaks words beyond ASCII. So a byte is a part of a
+    word if it is an ASCII letter or beyond ASCII, and the words of some rows at a time are
+    cut and counted as arrays.
     """
     others = [name for name in rows.columns if name != "text"]
-    listed = rows.select(*others, F.split(F.lower("text"), WORD_BREAK).alias("words"))
-    names = [*others, "feature_id", "count"]
-    schema = T.StructType(
-        [*listed.schema.fields[:-1], T.StructField("feature_id", T.StringType()), T.StructField("count", T.LongType())]
-    )
+    blanked = F.regexp_replace(F.lower("text"), WIDE_BREAK, " ").cast("binary")
+    listed = rows.select(*others, F.coalesce(blanked, F.lit(b"")).alias("text"))
+    names = [*others, "cells"]
+    cell = T.StructType([T.StructField("feature_id", T.StringType()), T.StructField("count", T.LongType())])
+    schema = T.StructType([*listed.schema.fields[:-1], T.StructField("cells", T.ArrayType(cell))])
     step = COUNTED
+    inside = np.arange(256) >= 128
+    for first, last in ("az", "AZ"):
+        inside[ord(first) : ord(last) + 1] = True
+
+    def cut(texts):
+        """Row and word of each longest run of bytes that are ``inside``."""
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        kept = np.flatnonzero(inside[raw])
+        # A word begins where the byte before is none of it, or is one of another row.
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))[kept]
+        begins = np.flatnonzero((np.diff(kept, prepend=-2) > 1) | (np.diff(row, prepend=-1) > 0))
+        offsets = np.append(begins, len(kept)).astype(np.int32)
+        letters = np.ascontiguousarray(raw[kept])
+        words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(letters))
+        return row[begins], words
 
     def run(batches):
         for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
-            words = part.column(part.num_columns - 1)
-            coded = words.flatten().dictionary_encode()
-            lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(part.num_rows, dtype=np.int64), lengths)
+            row, words = cut(part.column(part.num_columns - 1))
+            coded = words.dictionary_encode()
             size = max(1, len(coded.dictionary))
             cells, count = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            at = pa.array(cells // size)
-            columns = [column.take(at) for column in part.columns[:-1]]
-            columns += [coded.dictionary.take(pa.array(cells % size)), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return listed.mapInArrow(run, schema).where("feature_id <> ''")
+            found = [coded.dictionary.take(pa.array(cells % size)), pa.array(count, pa.int64())]
+            found = pa.StructArray.from_arrays(found, names=["feature_id", "count"])
+            lengths = np.bincount(cells // size, minlength=part.num_rows)
+            some = np.flatnonzero(lengths)
+            ends = pa.array(np.append(0, np.cumsum(lengths[some])), pa.int32())
+            columns = [column.take(pa.array(some)) for column in part.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, found)], names=names)
+
+    return listed.mapInArrow(run, schema)
 
 
 def contrast_of(long):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.moments import bh_fdr, feature_moments, welch, with_pvalue
+from contrast.plans.settle import settle
 from contrast.plans.topk import top_k
 
 RESULT = [
@@ -33,7 +34,8 @@ def diff_analysis(
 ):
     """log-CPM, expression filter, Welch test, p-value and FDR per cohort."""
     moments = feature_moments(long, implicit_zeros, min_cpm, min_fraction, samples)
-    return bh_fdr(with_pvalue(welch(moments))).select(*RESULT)
+    # Settled, as the ranks take the tested rows and the result also the others.
+    return bh_fdr(settle(with_pvalue(welch(moments)), "tests")).select(*RESULT)
 
 
 def de_summary(de, max_fdr=S.MAX_FDR, min_effect=S.MIN_EFFECT):

@@ -2,6 +2,10 @@
 
 The long table has one row per cell: ``cohort, group, feature_id, sample_id,
 count``. A sample belongs to one cohort and a (feature, sample) pair occurs once.
+
+It may be packed: one or more rows per sample and group, with ``cells`` (an array of
+``feature_id, count``, never empty) in place of the cell's two columns. What is joined by
+sample then meets some rows a sample and not its cells.
 """
 
 from pyspark.sql import Window as W
@@ -14,10 +18,20 @@ from contrast.plans.settle import attach_constants, join_side, measured_bytes, s
 SAMPLE = ["cohort", "sample_id"]
 
 
+def unpacked(long):
+    """One row per cell, also of a packed table."""
+    if "cells" not in long.columns:
+        return long
+    rest = [name for name in long.columns if name != "cells"]
+    return long.select(*rest, F.explode("cells").alias("_cell")).select(
+        *rest, F.col("_cell.feature_id").alias("feature_id"), F.col("_cell.count").alias("count")
+    )
+
+
 def sample_table(long, *extra):
     """One settled row per sample and group with its total count and cells: the
     only full pass the later steps share. ``extra`` names further sample columns."""
-    totals = long.groupBy(*SAMPLE, "group", *extra).agg(
+    totals = unpacked(long).groupBy(*SAMPLE, "group", *extra).agg(
         F.sum("count").alias("total"), F.count("*").alias("n_cells")
     )
     return settle(totals, "samples")
@@ -26,7 +40,7 @@ def sample_table(long, *extra):
 def library_size(long=None, samples=None):
     """Total count of every sample, summed before any feature is dropped."""
     if samples is None:
-        return long.groupBy(*SAMPLE).agg(F.sum("count").alias("lib_size"))
+        return unpacked(long).groupBy(*SAMPLE).agg(F.sum("count").alias("lib_size"))
     return samples.groupBy(*SAMPLE).agg(F.sum("total").alias("lib_size"))
 
 
@@ -45,21 +59,30 @@ def group_sizes(samples):
     )
 
 
-def log_cpm(long, samples=None, broadcast_limit=None):
-    """Add ``lib_size``, ``cpm`` and ``logcpm`` to every cell.
+def with_library(long, samples=None, broadcast_limit=None):
+    """Add ``lib_size`` to every row of the long table, packed or not.
 
     The library sizes are one row per sample. They are broadcast if their measured
-    size allows it, which leaves the cell table unshuffled.
+    size allows it, which leaves the long table unshuffled.
     """
     samples = sample_table(long) if samples is None else samples
     library = library_size(samples=samples)
     # The settled samples are measured, not the aggregate over them, which would run twice.
     size = measured_bytes(samples)
-    cells = join_side(long, library, SAMPLE, limit=broadcast_limit, size=size)
-    cells = cells.withColumn("cpm", C.cpm("count", "lib_size"))
+    return join_side(long, library, SAMPLE, limit=broadcast_limit, size=size)
+
+
+def logged(sized):
+    """Add ``cpm`` and ``logcpm`` to every cell of a table that has the library sizes."""
+    cells = unpacked(sized).withColumn("cpm", C.cpm("count", "lib_size"))
     return cells.withColumn("logcpm", C.log_cpm("cpm"))
 
 
+def log_cpm(long, samples=None, broadcast_limit=None):
+    """Add ``lib_size``, ``cpm`` and ``logcpm`` to every cell."""
+    return logged(with_library(long, samples, broadcast_limit))
+
+
 def min_samples(n_samples, min_fraction=S.MIN_FRACTION):
     """Samples that must express a feature; ties of the rounding go to even."""
     return F.bround(F.lit(min_fraction) * F.col(n_samples)).cast("long")

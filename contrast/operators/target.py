@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from contrast import settings as S
 from contrast.functions import columns as C
 from contrast.operators.moments import merge_zeros
-from contrast.operators.normalize import group_sizes, log_cpm, sample_table
+from contrast.operators.normalize import group_sizes, logged, sample_table, with_library
 from contrast.plans.ordered import BUCKET, group_quantile, group_rank, place, rank
 from contrast.plans.settle import attach_constants, measured_bytes, settle
 from contrast.plans.topk import top_k
@@ -34,7 +34,9 @@ def baseline_profile(long, implicit_zeros=False, samples=None):
     """
     samples = sample_table(long) if samples is None else samples
     # Settled, as three passes read it and the join with the libraries is the dear part.
-    cells = settle(log_cpm(long, samples).where("lib_size > 0").select(*FEATURE, "logcpm"), "cells")
+    held = ["cells"] if "cells" in long.columns else ["feature_id", "count"]
+    known = with_library(long, samples).where("lib_size > 0").select("cohort", *held, "lib_size")
+    cells = logged(settle(known, "cells")).select(*FEATURE, "logcpm")
     summary = cells.groupBy(*FEATURE).agg(
         F.count("*").alias("_rows"),
         F.count("logcpm").alias("_n"),
@@ -55,9 +57,9 @@ def baseline_profile(long, implicit_zeros=False, samples=None):
         .otherwise(middle - F.col("_zeros"))
     )
     sized = settle(summary.withColumn("_zeros", zeros).withColumn("_rank", position), "profile")
-    wanted = sized.where("_rank > 0").select(*FEATURE, "_rank")
-    # The ranks are a part of the settled profile, so its size bounds theirs.
-    medians = group_rank(cells, FEATURE, "logcpm", wanted, "_median", measured_bytes(sized))
+    # Few features need one: their own size is measured and not that of the profile.
+    wanted = settle(sized.where("_rank > 0").select(*FEATURE, "_rank"), "wanted")
+    medians = group_rank(cells, FEATURE, "logcpm", wanted, "_median", 2 * measured_bytes(wanted))
     _, mean, _ = merge_zeros(F.col("_n"), F.col("_mean"), F.lit(0.0), F.col("_zeros"))
     some = F.col("_n") + F.col("_zeros") > 0
     return sized.join(medians, FEATURE, "left").select(

@@ -60,7 +60,7 @@ def label_filter(spark, sf_dir):
 
 
 def label_distribution(spark, sf_dir):
-    return tables.label_distribution(X.terms(spark, sf_dir, by_language=True))
+    return tables.label_distribution(X.terms(spark, sf_dir, by_language=True, packed=True))
 
 
 def sink_long_roundtrip(spark, sf_dir):
@@ -90,7 +90,7 @@ def feature_bucket(spark, sf_dir):
 
 
 def _contrast(spark, sf_dir, by_language=False):
-    return X.contrast_of(X.terms(spark, sf_dir, by_language))
+    return X.contrast_of(X.terms(spark, sf_dir, by_language, packed=True))
 
 
 def library_size(spark, sf_dir):
@@ -171,12 +171,12 @@ def de_top_down(spark, sf_dir):
 
 
 def baseline_profile(spark, sf_dir):
-    long = X.baseline_of(X.terms(spark, sf_dir, by_language=True))
+    long = X.baseline_of(X.terms(spark, sf_dir, by_language=True, packed=True))
     return shown(target.baseline_profile(long, implicit_zeros=True))
 
 
 def effect_baseline_join(spark, sf_dir):
-    long = X.terms(spark, sf_dir, by_language=True)
+    long = X.terms(spark, sf_dir, by_language=True, packed=True)
     effects = diff.diff_core(X.contrast_of(long), implicit_zeros=True)
     baseline = target.baseline_profile(X.baseline_of(long), implicit_zeros=True)
     joined = target.effect_baseline_join(effects, baseline)
@@ -189,7 +189,7 @@ def effect_baseline_join(spark, sf_dir):
 
 def stored_join(spark, sf_dir):
     """Effects and baseline joined from two tables in buckets of the feature."""
-    long = X.terms(spark, sf_dir, by_language=True)
+    long = X.terms(spark, sf_dir, by_language=True, packed=True)
     sides = {
         "effects": diff.diff_core(X.contrast_of(long), implicit_zeros=True),
         "profile": target.baseline_profile(X.baseline_of(long), implicit_zeros=True),
@@ -223,7 +223,7 @@ def zscore(spark, sf_dir):
 
 def _scores(spark, sf_dir, halves=False, safe_quantile=None):
     """One sample table serves both sides: a document is in one of the groups only."""
-    long = X.terms(spark, sf_dir, by_language=True, halves=halves)
+    long = X.terms(spark, sf_dir, by_language=True, halves=halves, packed=True)
     samples = normalize.sample_table(long)
     effects = diff.diff_analysis(X.contrast_of(long), implicit_zeros=True, samples=X.contrast_of(samples))
     baseline = target.baseline_profile(X.baseline_of(long), implicit_zeros=True, samples=X.baseline_of(samples))

@@ -56,3 +56,24 @@ def test_cells_of_documents_with_an_id_of_their_own_are_not_shuffled(spark, fold
     spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{sf_dir}/own/labels.parquet")
     X.terms(spark, f"{sf_dir}/own")
     assert len(plans) == 1 and "hashpartitioning" not in plans[0]
+
+
+def test_packed_terms_are_the_same_cells_and_no_row_is_empty(spark, folder):
+    sf_dir, docs, _ = folder
+    packed = X.terms(spark, sf_dir, by_language=True, packed=True).cache()
+    assert packed.columns == ["cohort", "group", "sample_id", "cells"]
+    assert packed.where("cells is null or size(cells) = 0").isEmpty()
+    assert packed.where("sample_id = '101'").count() == 1 and packed.count() < len(docs) + 10
+    flat = X.terms(spark, sf_dir, by_language=True)
+    key = lambda df: Counter(tuple(row) for row in df.select(*X.LONG).collect())
+    assert key(X.unpacked(packed)) == key(flat)
+
+
+def test_words_are_cut_as_the_break_has_it(spark):
+    texts = ["", " ", "a", "A1b", "ÀÉ-ß·ñ", "x y z", "\U0001d400b 日本。語", "İstanbul ΣΑΣ", "x" * 70_000, "é́ ́"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    word = X.F.explode(X.F.split(X.F.lower("text"), X.WORD_BREAK)).alias("feature_id")
+    want = rows.select("doc_id", word).where("feature_id <> ''").groupBy("doc_id", "feature_id").count()
+    got = X.unpacked(X.counted_words(rows))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(got) == key(want) and got.count() > 12

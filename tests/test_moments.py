@@ -218,3 +218,31 @@ def test_constants_do_not_shuffle_the_big_side(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(cohort" not in plan and "BroadcastHashJoin" in plan
+
+
+def _packed(long):
+    """Two cells a row at most, so a sample has several rows."""
+    half = F.pmod(F.xxhash64("feature_id"), F.lit(2)).alias("half")
+    grouped = long.groupBy("cohort", "group", "sample_id", half)
+    return grouped.agg(F.collect_list(F.struct("feature_id", "count")).alias("cells")).drop("half")
+
+
+def test_packed_tables_give_the_same_results(long_of):
+    long = long_of(COUNTS, GROUPS)
+    packed = _packed(long)
+    key = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    names = ["cohort", "group", "feature_id", "sample_id", "count", "lib_size", "logcpm"]
+    assert key(normalize.log_cpm(packed).select(*names)) == key(normalize.log_cpm(long).select(*names))
+    assert key(normalize.library_size(packed)) == key(normalize.library_size(long))
+    assert key(diff.diff_analysis(packed, implicit_zeros=True)) == key(diff.diff_analysis(long, implicit_zeros=True))
+
+
+def test_libraries_meet_the_rows_of_samples_and_not_their_cells(long_of, capsys):
+    normalize.log_cpm(_packed(long_of(COUNTS, GROUPS)), broadcast_limit=0).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate explode(cells") < plan.index("SortMergeJoin")
+
+
+def test_moments_are_taken_once_for_tested_and_untested_rows(long_of, capsys):
+    diff.diff_analysis(long_of(COUNTS, GROUPS), implicit_zeros=True).explain()
+    assert "LOG2" not in capsys.readouterr().out

@@ -176,6 +176,27 @@ def test_no_zero_rows_are_made(spark, capsys):
     assert "Generate" not in capsys.readouterr().out
 
 
+def test_size_of_the_ranks_is_not_that_of_the_profile(spark, monkeypatch):
+    """Features of a few samples have the median 0, so their number alone shuffles no cell."""
+    from contrast.operators import target
+
+    rows = [("c", "baseline", f"f{i}", f"s{i % 40}", 1) for i in range(4000)]
+    rows += [("c", "baseline", "all", f"s{i}", 3) for i in range(40)]
+    schema = "cohort string, group string, feature_id string, sample_id string, count long"
+    sizes = []
+
+    def noted(df, by, value, ranks, out, size=None):
+        sizes.append((ranks.count(), size))
+        return ranked(df, by, value, ranks, out, size)
+
+    ranked = target.group_rank
+    monkeypatch.setattr(target, "group_rank", noted)
+    found = target.baseline_profile(spark.createDataFrame(rows, schema), implicit_zeros=True)
+    got = {r.feature_id: r.baseline_median_logcpm for r in found.where("feature_id in ('all', 'f7')").collect()}
+    assert got["f7"] == 0 and got["all"] > 10
+    assert sizes[0][0] == 1 and sizes[0][1] < 1000
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_salted_copies_are_never_broadcast(spark, how, capsys):
     """Spark's own estimate is the compressed file of the side, not its copies."""
