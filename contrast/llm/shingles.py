@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrast.llm.common import settle, whole_texts
+from contrast.llm.common import batches_of, settle, whole_texts
 from contrast.llm.components import components
 from contrast.llm.simhash import BITS, keyed
 from contrast.plans.settle import join_side, tidied
@@ -43,6 +43,8 @@ SALTS = 64
 # Shingles met this often in one of so many texts go last in the order, up to a number.
 SAMPLED, FREQUENT, LATE = 16, 4, 1 << 15
 _BLOCK = 1 << 12
+# Rows of an Arrow batch, which may hold two texts each.
+ROWS = 2048
 
 
 def shingle_set(raw, words=WORDS):
@@ -108,7 +110,7 @@ def printed(docs):
 
     def run(batches):
         for batch in batches:
-            prints = [word_prints(raw) for raw in batch.column(2).to_pylist()]
+            prints = [word_prints(raw.as_py()) for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))],
                 names=["doc_id", "code", "prints"],
@@ -170,8 +172,8 @@ def frequent(docs):
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(raw).view(np.int64))], names=["shingle"])
+            for raw in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(raw.as_py()).view(np.int64))], names=["shingle"])
 
     texts = _coded(docs).where(F.pmod(F.xxhash64("code"), F.lit(SAMPLED)) == 0).select("raw", "code")
     counts = texts.dropDuplicates(["code"]).select("raw").mapInArrow(run, "shingle long").groupBy("shingle").count()
@@ -192,7 +194,7 @@ def prefixed(docs):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(raw) for raw in part.column(1).to_pylist()]
+                sets = [shingle_set(raw.as_py()) for raw in part.column(1)]
                 firsts = [prefix(s, late) for s in sets]
                 lengths = np.fromiter(map(len, firsts), np.int64, len(firsts))
                 place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -256,8 +258,9 @@ def verified(docs, pairs):
 
     def run(batches):
         for batch in batches:
-            sides = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = [similar(shingle_set(x), shingle_set(y)) for x, y in zip(*sides, strict=True)]
+            # One pair of texts at a time leaves Arrow's buffers.
+            sides = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similar(shingle_set(x.as_py()), shingle_set(y.as_py())) for x, y in sides]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"]
             )
@@ -300,11 +303,13 @@ def keep_one(docs):
     Rows without an id stay, as nothing names them. Repeated rows of a kept id stay
     as they are one document. What is written on the way is deleted.
     """
-    gone = tidied(
-        docs.sparkSession,
-        lambda: similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(),
-        "gone",
-    )
+    spark = docs.sparkSession
+    with batches_of(spark, ROWS):
+        gone = tidied(
+            spark,
+            lambda: similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(),
+            "gone",
+        )
     # The columns of the table stay in one, so that none has the name of a helper.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
     return join_side(rows, gone, ["doc_id"], "left_anti").select("row.*")

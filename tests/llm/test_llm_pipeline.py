@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -138,3 +139,22 @@ def test_empty_table(spark, folder, tmp_path):
     for _, stage in P.STAGES:
         docs = P.settle(stage(spark, docs, folder[0]), "test")
     assert docs.count() == 0 and secrets.KINDS
+
+
+def test_texts_leave_arrow_one_at_a_time():
+    """A batch holds up to 64 MB of texts a side; copied whole, it is there twice in every worker."""
+    assert "to_pylist" not in inspect.getsource(shingles)
+
+
+def test_batches_of_texts_are_small(spark, documents, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+
+    def noted(docs):
+        seen.append(int(spark.conf.get(key)))
+        return grouped(docs)
+
+    grouped = shingles.similar_groups
+    monkeypatch.setattr(shingles, "similar_groups", noted)
+    assert shingles.keep_one(documents([(1, "a b"), (2, "a b"), (3, "c")])).count() == 2
+    assert seen == [shingles.ROWS] and shingles.ROWS < int(before) and spark.conf.get(key) == before
