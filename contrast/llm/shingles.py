@@ -14,9 +14,12 @@ shingles but one word. So the first candidates come from fingerprints of the dif
    pairs link; what they link is contracted.
 3. Step 1 proposes few of a group's pairs, so the links it misses are found by an exact join.
    Under any one order of all shingles, two similar texts share one of their first fifth (and
-   one more): these are the buckets. All pairs in a bucket whose texts step 2 left apart, and
-   whose places in the order leave room for the similarity, are verified as well. The order
-   puts frequent shingles last; it decides how many pairs there are, not which links are found.
+   one more): these are the buckets. Of every two groups that step 2 left apart and that share a
+   bucket, the few most promising pairs are verified and contracted. Then all pairs in a bucket
+   whose texts are still apart, and whose places in the order leave room for the similarity,
+   are verified as well. So a text beside a large group joins it by a few pairs, not by all. The
+   order puts frequent shingles last; it decides how many pairs there are, not which links are
+   found.
 
 Equal texts are one node, named by a 64-bit hash. Texts without words have equal (empty)
 sets; a text of fewer words is one shingle. Rows without an id link nothing.
@@ -43,6 +46,8 @@ SALTS = 64
 # Shingles met this often in one of so many texts go last in the order, up to a number.
 SAMPLED, FREQUENT, LATE = 16, 4, 1 << 15
 _BLOCK = 1 << 12
+# Texts of a group that a bucket gives, and pairs of two groups, that are tried before all are.
+LEADING, TRIED = 4, 16
 # Rows of an Arrow batch, which may hold two texts each.
 ROWS = 2048
 
@@ -224,26 +229,53 @@ def beside(buckets):
     return buckets.where(_room("n", "n2", "place", "place2", "n", "n2")).select(*_least_first("code", "code2"))
 
 
-def apart(buckets, found):
-    """All pairs (a, b) that share a bucket and lie in different groups (``node``, ``component``).
-
-    Groups meet first and their texts then, so the texts of one group are never paired.
-    """
+def _mixed(buckets, found):
+    """Rows of the buckets that several groups (``part``) share; settled."""
     groups = found.withColumnRenamed("node", "code")
     rows = join_side(buckets.select("shingle", "code", "n", "place"), groups, ["code"], "left")
     rows = rows.withColumn("part", F.coalesce("component", "code")).drop("component")
     whole = Window.partitionBy("shingle")
     rows = rows.withColumn("lo", F.min("part").over(whole)).withColumn("hi", F.max("part").over(whole))
-    rows = settle(rows.where("lo < hi").drop("lo", "hi"), "mixed")
+    return settle(rows.where("lo < hi").drop("lo", "hi"), "mixed")
+
+
+def _meeting(rows, some):
+    """Pairs of ``some`` of the rows that share a bucket, of two groups that may hold a link there.
+
+    Groups meet first and their texts then, so the texts of one group are never paired.
+    """
     parts = rows.groupBy("shingle", "part").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place")
     )
     x, y = (parts.select("shingle", *[F.col(c).alias(c + i) for c in ("part", "least", "most", "place")]) for i in "12")
     met = x.join(y, "shingle").where("part1 < part2")
     met = met.where(_room("most1", "most2", "place1", "place2", "least1", "least2")).select("shingle", "part1", "part2")
-    x, y = (rows.select("shingle", *[F.col(c).alias(c + i) for c in ("part", "code", "n", "place")]) for i in "12")
+    x, y = (some.select("shingle", *[F.col(c).alias(c + i) for c in ("part", "code", "n", "place")]) for i in "12")
     pairs = met.join(x, ["shingle", "part1"]).join(y, ["shingle", "part2"])
-    return pairs.where(_room("n1", "n2", "place1", "place2", "n1", "n2")).select(*_least_first("code1", "code2")).distinct()
+    return pairs.where(_room("n1", "n2", "place1", "place2", "n1", "n2"))
+
+
+def nearest(buckets, found):
+    """For every two groups that share a bucket, at most ``TRIED`` pairs (a, b) of their texts.
+
+    A bucket gives those texts of a group that have least before the shingle, and of all these
+    pairs the ones go first that leave most room for shared shingles. They decide which pairs
+    are left for ``apart`` and not which links are found.
+    """
+    rows = _mixed(buckets, found)
+    early = Window.partitionBy("shingle", "part").orderBy(F.try_divide("place", "n"), "code")
+    first = rows.withColumn("nth", F.row_number().over(early)).where(F.col("nth") <= LEADING)
+    room = F.try_divide(F.expr("n1 - place1 + n2 - place2"), F.expr("n1 + n2"))
+    pairs = _meeting(rows, first).groupBy("part1", "part2", *_least_first("code1", "code2"))
+    pairs = pairs.agg(F.max(room).alias("room"), F.count("*").alias("shared"))
+    best = Window.partitionBy("part1", "part2").orderBy(F.desc("room"), F.desc("shared"), "a", "b")
+    return pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= TRIED).select("a", "b")
+
+
+def apart(buckets, found):
+    """All pairs (a, b) that share a bucket and lie in different groups (``node``, ``component``)."""
+    rows = _mixed(buckets, found)
+    return _meeting(rows, rows).select(*_least_first("code1", "code2")).distinct()
 
 
 def verified(docs, pairs):
@@ -288,9 +320,13 @@ def similar_groups(docs):
     tied = ids.join(again, "doc_id").select("a", F.col("code").alias("b"))
     links = settle(links.unionByName(tied), "tied")
     found = tidied(spark, lambda: components(links, "a", "b"), "groups")
-    rest = tidied(spark, lambda: apart(buckets, found).join(pairs, ["a", "b"], "left_anti"), "apart")
-    more = tidied(spark, lambda: verified(docs, rest), "verified")
-    found = tidied(spark, lambda: components(links.unionByName(more), "a", "b"), "groups")
+    tried = pairs
+    for step in nearest, apart:
+        rest = tidied(spark, lambda: step(buckets, found).join(tried, ["a", "b"], "left_anti"), "rest")  # noqa: B023
+        more = tidied(spark, lambda: verified(docs, rest), "verified")  # noqa: B023
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = tidied(spark, lambda: components(stars.unionByName(more), "a", "b"), "groups")  # noqa: B023
+        tried = tried.unionByName(rest)
     named = ids.join(found.withColumnRenamed("node", "code"), "code", "left")
     named = named.select("doc_id", F.coalesce("component", "code").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

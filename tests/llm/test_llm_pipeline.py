@@ -158,3 +158,31 @@ def test_batches_of_texts_are_small(spark, documents, monkeypatch):
     monkeypatch.setattr(shingles, "similar_groups", noted)
     assert shingles.keep_one(documents([(1, "a b"), (2, "a b"), (3, "c")])).count() == 2
     assert seen == [shingles.ROWS] and shingles.ROWS < int(before) and spark.conf.get(key) == before
+
+
+def test_texts_beside_a_large_group_meet_a_few_of_it(spark, documents):
+    """Two groups have few pairs before all are made, and most texts with a link to one are in them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(150), i % 3 if i < 100 else 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    docs = documents(list(enumerate(texts)))
+    code = {r["code"]: r["doc_id"] for r in shingles.printed(docs).collect()}
+    group = [c for c, i in code.items() if i < 100]
+    found = spark.createDataFrame([(c, min(group)) for c in group], "node long, component long")
+    buckets = shingles.settle(shingles.prefixed(docs), "test")
+    every, near = (
+        {tuple(sorted((code[r["a"]], code[r["b"]]))) for r in step(buckets, found).collect()}
+        for step in (shingles.apart, shingles.nearest)
+    )
+    beside = [{pair for pair in pairs if pair[0] < 100 <= pair[1]} for pairs in (every, near)]
+    assert near <= every and len(beside[0]) > 3 * len(beside[1])
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    linked = lambda pairs: {b for a, b in pairs if a < 100 <= b and shingles.similar(sets[a], sets[b])}
+    assert len(linked(every)) >= 50 and len(linked(near)) > 0.8 * len(linked(every))
+    for b in range(100, 160):
+        assert len([a for a, other in near if other == b and a < 100]) <= shingles.TRIED
