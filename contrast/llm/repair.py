@@ -131,7 +131,8 @@ class WordIds(dict):
         texts = pc.if_else(odd, texts, pc.utf8_lower(texts))
         parted = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = parted.flatten().dictionary_encode()
-        packed = [self[word] for word in words.dictionary.to_pylist()]
+        # By way of numpy, as Arrow's own list makes an object more for each word.
+        packed = [self[word] for word in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
         flat = np.frombuffer(b"".join(packed), "<u2")
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
         at = np.cumsum(size) - size
@@ -189,6 +190,16 @@ def _frequent(keys, least, most):
 
 
 _SLOTS = 1 << 20
+_COUNTED = 1 << 18
+
+
+def _often(keys, least):
+    """Positions of all keys that occur ``least`` times, and of a few others.
+
+    Keys are counted by slots that they share, so no count is too small.
+    """
+    slots = (keys * np.uint32(2654435761)) >> np.uint32(14)
+    return np.flatnonzero((np.bincount(slots, minlength=_COUNTED) >= least)[slots])
 
 
 def _slot(keys):
@@ -209,13 +220,13 @@ def _ranks(keys, chosen):
     return rank
 
 
-def _replace(keys, chosen):
-    """(positions, ranks) of pairs to replace; no two overlap."""
+def _replace(keys, places, chosen):
+    """(positions, ranks) of pairs to replace; no two overlap. ``places`` are those of the keys."""
     rank = _ranks(keys, chosen)
-    at = np.flatnonzero(rank < len(chosen))
-    if not len(at):
-        return at, at
-    r = rank[at].astype(np.int64)
+    some = np.flatnonzero(rank < len(chosen))
+    if not len(some):
+        return some, some
+    at, r = places[some], rank[some].astype(np.int64)
     # A pair goes if it beats its neighbours; of equal neighbours in a row every other.
     touches = np.diff(at) == 1
     start = np.concatenate(([True], ~touches | (r[1:] != r[:-1])))
@@ -231,14 +242,14 @@ def _replace(keys, chosen):
     return at[~clash], r[~clash]
 
 
-def _round(keys, chosen, least):
+def _round(keys, places, chosen, least):
     """(pairs used ``least`` times, positions, their pairs' numbers) among ``chosen``.
 
     If the more frequent pairs take so much from each other that none is left with
     enough, fewer are tried; the most frequent one alone loses to itself only.
     """
     while len(chosen):
-        at, rank = _replace(keys, chosen)
+        at, rank = _replace(keys, places, chosen)
         good = np.bincount(rank, minlength=len(chosen)) >= least
         if good.any():
             keep = good[rank]
@@ -254,8 +265,10 @@ def compress(ids, base, least=LEAST):
     size = np.ones(base, np.uint32)
     while len(symbols) >= 2 * least and len(size) < SYMBOLS:
         keys = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
+        places = _often(keys, least)
+        keys = keys[places]
         chosen = _frequent(keys, least, min(RULES, SYMBOLS - len(size)))
-        chosen, at, rank = _round(keys, chosen, least)
+        chosen, at, rank = _round(keys, places, chosen, least)
         if not len(chosen):
             break
         a, b = (chosen >> np.uint32(16)).astype(np.uint16), (chosen & np.uint32(0xFFFF)).astype(np.uint16)

@@ -93,3 +93,13 @@ def test_small_blocks_and_ranges(documents, library):
 
 def test_empty_table(documents):
     assert R.repair_report(documents([(1, "x")]).where(F.lit(False))).count() == 0
+
+
+def test_rounds_look_only_where_pairs_may_be_frequent():
+    """The few places kept hold every frequent pair and nearly none of the rare ones."""
+    rng = np.random.default_rng(4)
+    keys = rng.permutation(np.concatenate((np.arange(200_000), np.repeat(np.arange(9) * 77_777, 16)))).astype(np.uint32)
+    places = R._often(keys, 16)
+    values, counts = np.unique(keys, return_counts=True)
+    assert set(np.flatnonzero(np.isin(keys, values[counts >= 16]))) <= set(places) and len(places) < 1000
+    assert (R._frequent(keys[places], 16, 100) == R._frequent(keys, 16, 100)).all()
