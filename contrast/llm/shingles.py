@@ -10,8 +10,11 @@ shingles but one word. So the first candidates come from fingerprints of the dif
    proposed, what they join is contracted, and of the pairs that still lie in different parts
    one for each two parts is proposed. Neighbours in the buckets of step 3 are proposed too.
    So the number of pairs grows with the number of texts, in a group of copies as well.
-2. Every proposed pair is verified with whole texts by its exact similarity. Only verified
-   pairs link; what they link is contracted.
+2. Every proposed pair is verified by its exact similarity. A sketch of both sets first tells
+   pairs that can't be similar: it bounds the shingles that only one of them has from below, so
+   no link goes with them. All others are verified with whole texts, a bounded volume at a time:
+   if there is more, every group meets one other first, and pairs that lie in one group by then
+   are left out. Only verified pairs link; what they link is contracted.
 3. Step 1 proposes few of a group's pairs, so the links it misses are found by an exact join.
    Under any one order of all shingles, two similar texts share one of their first fifth (and
    one more): these are the buckets. Of every two groups that step 2 left apart and that share a
@@ -26,6 +29,7 @@ sets; a text of fewer words is one shingle. Rows without an id link nothing.
 """
 
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from contrast.llm.common import batches_of, settle, whole_texts
 from contrast.llm.components import components
 from contrast.llm.simhash import BITS, keyed
-from contrast.plans.settle import join_side, tidied
+from contrast.plans.settle import BROADCAST_LIMIT, join_side, measured_bytes, tidied
 
 SEED = 42
 WORDS = 5
@@ -44,12 +48,15 @@ SIMILAR = 0.8
 PRINTS = 2
 SALTS = 64
 # Shingles met this often in one of so many texts go last in the order, up to a number.
-SAMPLED, FREQUENT, LATE = 16, 4, 1 << 15
+SAMPLED, FREQUENT, LATE = 16, 4, 1 << 20
 _BLOCK = 1 << 12
 # Texts of a group that a bucket gives, and pairs of two groups, that are tried before all are.
 LEADING, TRIED = 4, 16
 # Rows of an Arrow batch, which may hold two texts each.
 ROWS = 2048
+# Bytes of texts that are joined to pairs at a time: this share of all texts, or so many if that
+# is more. And pairs that are sent to the tasks at a time, as ``measured_bytes`` has them.
+SHARE, BATCH, SENT = 2, 1 << 28, BROADCAST_LIMIT // 64
 
 
 def shingle_set(raw, words=WORDS):
@@ -72,6 +79,32 @@ def similar(left, right, least=SIMILAR):
     return both >= least * (len(left) + len(right) - both)
 
 
+def sketch(shingles):
+    """Parities of a set: a bit for each remainder of its shingles by a power of two.
+
+    The power is no less than the number of shingles.
+    """
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(left, right, n_left, n_right, least=SIMILAR):
+    """Whether two sets of these sketches and sizes may have a similarity of ``least``.
+
+    A bit that differs stands for a shingle at least that only one of them has, in a sketch
+    folded to half its bits as well.
+    """
+    few, many = sorted((left, right), key=len)
+    least_bits, bits = 8 * len(few), 8 * len(many)
+    few, many = int.from_bytes(few, "little"), int.from_bytes(many, "little")
+    while bits > least_bits:
+        bits //= 2
+        many = (many >> bits) ^ (many & ((1 << bits) - 1))
+    alone = max((few ^ many).bit_count(), abs(n_left - n_right))
+    return alone * (1 + least) <= (n_left + n_right) * (1 - least) + 1e-6
+
+
 def prefix(shingles, late, least=SIMILAR):
     """The shingles of a sorted set of which similar sets share one, in their order.
 
@@ -111,17 +144,25 @@ def _coded(docs):
 
 
 def printed(docs):
-    """``doc_id``, ``code`` (names the text), ``prints`` of every row with an id."""
+    """``doc_id``, ``code`` (names the text), ``prints``, ``n`` (shingles), ``size`` (bytes) and
+    ``sketch`` (of the shingles) of every row with an id."""
 
     def run(batches):
         for batch in batches:
-            prints = [word_prints(raw.as_py()) for raw in batch.column(2)]
+            found = []
+            for scalar in batch.column(2):
+                raw = scalar.as_py()
+                shingles = shingle_set(raw)
+                found.append((word_prints(raw), len(shingles), len(raw), sketch(shingles)))
+            kinds = pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()
+            more = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))],
-                names=["doc_id", "code", "prints"],
+                [batch.column(0), batch.column(1), *more], names=["doc_id", "code", "prints", "n", "size", "sketch"]
             )
 
-    return _coded(docs).mapInArrow(run, "doc_id long, code long, prints array<long>")
+    return _coded(docs).mapInArrow(
+        run, "doc_id long, code long, prints array<long>, n int, size long, sketch binary"
+    )
 
 
 def _close(a, b):
@@ -183,8 +224,8 @@ def frequent(docs):
     texts = _coded(docs).where(F.pmod(F.xxhash64("code"), F.lit(SAMPLED)) == 0).select("raw", "code")
     counts = texts.dropDuplicates(["code"]).select("raw").mapInArrow(run, "shingle long").groupBy("shingle").count()
     most = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(LATE)
-    late = np.array([row[0] for row in settle(most.select("shingle"), "late").collect()], np.int64)
-    return np.sort(late.view(np.uint64))
+    late = settle(most.select("shingle"), "late").toArrow().column(0).to_numpy()
+    return np.sort(late.astype(np.int64).view(np.uint64))
 
 
 def prefixed(docs):
@@ -278,15 +319,36 @@ def apart(buckets, found):
     return _meeting(rows, rows).select(*_least_first("code1", "code2")).distinct()
 
 
-def verified(docs, pairs):
-    """The pairs (a, b) whose texts have a similarity of ``SIMILAR`` or more."""
+def likely(sketches, pairs):
+    """``a``, ``b``, ``size`` (bytes of both texts) of the pairs that may be similar by their sketches."""
+
+    def run(batches):
+        for batch in batches:
+            sides = zip(*batch.columns[3:], strict=True)
+            keep = pa.array([may_be_similar(*(v.as_py() for v in side)) for side in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["a", "b", "size"])
+
+    of = lambda end, i: sketches.select(F.col("code").alias(end), *[F.col(c).alias(c + i) for c in ("n", "size", "sketch")])
+    wide = pairs.join(of("a", "1").hint("merge"), "a").join(of("b", "2").hint("merge"), "b")
+    wide = wide.select("a", "b", F.expr("size1 + size2").alias("size"), "sketch1", "sketch2", "n1", "n2")
+    return wide.mapInArrow(run, "a long, b long, size long")
+
+
+def _texts_of(docs, pairs):
+    """``code``, ``raw`` of the texts of the pairs, each once."""
+    used = settle(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "used")
+    texts = _coded(docs).select("code", "raw")
+    if measured_bytes(used) <= BROADCAST_LIMIT:
+        return texts.join(F.broadcast(used), "code", "left_semi").dropDuplicates(["code"])
+    # The texts are shuffled once: a task sends each one once, so none is hot.
+    return texts.dropDuplicates(["code"]).join(used.hint("merge"), "code", "left_semi")
 
-    def wanted():
-        used = settle(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct(), "used")
-        return join_side(_coded(docs).select("code", "raw"), used, ["code"], "left_semi").dropDuplicates(["code"])
 
-    # The shuffles of the texts go before the join writes its own.
-    texts = tidied(docs.sparkSession, wanted, "texts")
+def verified(texts, pairs):
+    """The pairs (a, b) whose ``texts`` have a similarity of ``SIMILAR`` or more.
+
+    The pairs are sent to every task, so there should be no more than ``SENT``.
+    """
 
     def run(batches):
         for batch in batches:
@@ -297,35 +359,94 @@ def verified(docs, pairs):
                 [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"]
             )
 
-    left = texts.select(F.col("code").alias("a"), F.col("raw").alias("x"))
-    right = texts.select(F.col("code").alias("b"), F.col("raw").alias("y"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return wide.mapInArrow(run, "a long, b long")
+    pairs = F.broadcast(pairs.select("a", "b"))
+    left, right = (
+        texts.select(F.col("code").alias(end), F.col("raw").alias(raw)).join(pairs, end).select("a", "b", raw)
+        for end, raw in (("a", "x"), ("b", "y"))
+    )
+    return left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _volume(pairs):
+    """Number of pairs and bytes of their texts."""
+    row = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return row["n"], row["size"]
+
+
+def _between(pairs, found):
+    """The pairs whose groups (``p``, ``q``) are different ones."""
+    for end, part in ("a", "p"), ("b", "q"):
+        groups = found.select(F.col("node").alias(end), F.col("component").alias(part))
+        pairs = join_side(pairs, groups, [end], "left").withColumn(part, F.coalesce(part, end))
+    return pairs.where("p <> q").select("a", "b", "size", "p", "q")
+
+
+def _chosen(pairs, size, most):
+    """One pair of every group with the least group beside it; others if these are few."""
+    ends = [F.struct(F.col(own).alias("own"), F.col(other).alias("other")) for own, other in ("pq", "qp")]
+    ends = pairs.select("a", "b", "size", F.explode(F.array(*ends)).alias("end"))
+    first = ends.groupBy("end.own").agg(F.min(F.struct("end.other", "a", "b", "size")).alias("pair"))
+    first = settle(first.select("pair.a", "pair.b", "pair.size").distinct(), "first")
+    taken = _volume(first)[1]
+    if 2 * taken >= most:
+        return first
+    share = int(1000 * (most - taken) / max(1, size - taken)) + 1
+    more = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(1000)) < share).select("a", "b", "size")
+    return first.unionByName(more).distinct()
+
+
+def joined(docs, sketches, pairs, found):
+    """``found`` (``node``, ``component``) and what pairs (a, b) of similar texts link besides.
+
+    At most a share of all texts is joined to pairs at a time. Every round takes at least a half of
+    that, and pairs that it leaves in one group need not be verified.
+    """
+    spark = docs.sparkSession
+    rest = tidied(spark, lambda: likely(sketches, pairs), "near")
+    texts, most, labelled = None, max(BATCH, _volume(sketches)[1] // SHARE), False
+    while True:
+        n, size = _volume(rest)
+        if not n:
+            return found
+        last = size <= most and n <= SENT
+        if not last and not labelled:
+            rest, labelled = tidied(spark, lambda: _between(rest, found), "rest"), True  # noqa: B023
+            continue
+        if texts is None:
+            texts = tidied(spark, lambda: _texts_of(docs, rest), "texts")  # noqa: B023
+        batch = rest if last else tidied(spark, lambda: _chosen(rest, size, most), "batch")  # noqa: B023
+        n, size = (n, size) if last else _volume(batch)
+        cuts = max(1, ceil(size / most), ceil(n / SENT))
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for i in range(cuts):
+            cut = batch if cuts == 1 else batch.where(F.pmod(F.xxhash64("b", "a"), F.lit(cuts)) == i)
+            links = links.unionByName(tidied(spark, lambda: verified(texts, cut), "verified"))  # noqa: B023
+        found = tidied(spark, lambda: components(links, "a", "b"), "groups")  # noqa: B023
+        if last:
+            return found
+        left = rest.select("a", "b", "size").join(batch.select("a", "b"), ["a", "b"], "left_anti")
+        rest = tidied(spark, lambda: _between(left, found), "rest")  # noqa: B023
 
 
 def similar_groups(docs):
     """``doc_id``, ``component_id`` (least id of its group) of every row that has an id."""
     spark = docs.sparkSession
     own = settle(printed(docs), "printed")
+    sketches = tidied(spark, lambda: own.select("code", "n", "size", "sketch").dropDuplicates(["code"]), "sketches")
     buckets = tidied(spark, lambda: prefixed(docs), "prefixed")
-    pairs = tidied(
-        spark,
-        lambda: proposed(own).select(*_least_first("a", "b")).unionByName(beside(buckets)).distinct(),
-        "pairs",
-    )
-    links = tidied(spark, lambda: verified(docs, pairs), "verified")
+    # What the proposals were made of goes before the buckets give theirs.
+    pairs = tidied(spark, lambda: proposed(own).select(*_least_first("a", "b")), "proposed")
+    pairs = tidied(spark, lambda: pairs.unionByName(beside(buckets)).distinct(), "pairs")
     ids = own.select("doc_id", "code").distinct()
     # An id that has several texts ties the groups of these texts together.
     again = ids.groupBy("doc_id").agg(F.min("code").alias("a"), F.max("code").alias("z")).where("a <> z")
     tied = ids.join(again, "doc_id").select("a", F.col("code").alias("b"))
-    links = settle(links.unionByName(tied), "tied")
-    found = tidied(spark, lambda: components(links, "a", "b"), "groups")
+    found = tidied(spark, lambda: components(tied, "a", "b"), "groups")
+    found = tidied(spark, lambda: joined(docs, sketches, pairs, found), "groups")
     tried = pairs
     for step in nearest, apart:
         rest = tidied(spark, lambda: step(buckets, found).join(tried, ["a", "b"], "left_anti"), "rest")  # noqa: B023
-        more = tidied(spark, lambda: verified(docs, rest), "verified")  # noqa: B023
-        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = tidied(spark, lambda: components(stars.unionByName(more), "a", "b"), "groups")  # noqa: B023
+        found = tidied(spark, lambda: joined(docs, sketches, rest, found), "groups")  # noqa: B023
         tried = tried.unionByName(rest)
     named = ids.join(found.withColumnRenamed("node", "code"), "code", "left")
     named = named.select("doc_id", F.coalesce("component", "code").alias("component"))

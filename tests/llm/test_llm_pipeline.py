@@ -1,6 +1,7 @@
 import inspect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,71 @@ def test_texts_beside_a_large_group_meet_a_few_of_it(spark, documents):
     assert len(linked(every)) >= 50 and len(linked(near)) > 0.8 * len(linked(every))
     for b in range(100, 160):
         assert len([a for a, other in near if other == b and a < 100]) <= shingles.TRIED
+
+
+def test_sketches_never_lose_a_link():
+    """They pass all similar pairs, of any sizes, and hardly one that is far from similar."""
+    rng = np.random.default_rng(12)
+    passed, far = 0, 0
+    for n in [0, 1, 2, 5, 9, 63, 64, 65, 400, 511, 513, 3000] * 12:
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0, 0.02, 0.1, 0.2, 0.25, 0.6, 1):
+            new = np.unique(rng.integers(0, 1 << 63, int(share * n * rng.random()) + 1).astype(np.uint64))
+            other = np.union1d(rng.permutation(base)[int(share * n * rng.random()) :], new)
+            may = shingles.may_be_similar(shingles.sketch(base), shingles.sketch(other), len(base), len(other))
+            assert may or not shingles.similar(base, other)
+            assert may == shingles.may_be_similar(shingles.sketch(other), shingles.sketch(base), len(other), len(base))
+            if n >= 63 and not shingles.similar(base, other, 0.7):
+                far, passed = far + 1, passed + may
+    assert far > 80 and passed < 0.05 * far
+    assert shingles.may_be_similar(shingles.sketch(base[:0]), shingles.sketch(base[:0]), 0, 0)
+
+
+def _counted(monkeypatch):
+    """Numbers of pairs that are verified with whole texts, call by call."""
+    seen, real = [], shingles.verified
+
+    def noted(texts, pairs):
+        seen.append(pairs.count())
+        return real(texts, pairs)
+
+    monkeypatch.setattr(shingles, "verified", noted)
+    return seen
+
+
+def test_unlike_texts_that_share_shingles_are_not_joined(spark, documents, monkeypatch):
+    """Texts that share passages but are unlike make many pairs; these never meet as whole texts."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(6))
+    passages = [[word() for _ in range(30)] for _ in range(5)]
+    texts = [" ".join([word() for _ in range(60)] + rng.choice(passages) + rng.choice(passages)) for _ in range(120)]
+    texts += [f"{t} {word()}" for t in texts[:6]]
+    seen = _counted(monkeypatch)
+    kept = [r["doc_id"] for r in shingles.keep_one(documents(list(enumerate(texts)))).collect()]
+    assert sorted(kept) == list(range(120))
+    assert 6 <= sum(seen) < 60
+
+
+def test_texts_are_joined_a_bounded_volume_at_a_time(spark, documents, monkeypatch):
+    """Many pairs a text: they are verified in parts, and those that others imply are not verified."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(6))
+    rows, groups = [], 6
+    for n in range(groups):
+        base = [word() for _ in range(200)]
+        for j in range(20):
+            copy = list(base)
+            copy[rng.randrange(200)] = word()
+            rows.append((20 * n + j, " ".join(copy)))
+    docs = documents(rows)
+    volume, every = sum(len(t) for _, t in rows), []
+    for share, batch, sent in (2, 1 << 28, 1 << 20), (8, 1, 25):
+        for name, value in ("SHARE", share), ("BATCH", batch), ("SENT", sent):
+            monkeypatch.setattr(shingles, name, value)
+        with monkeypatch.context() as inner:
+            seen = _counted(inner)
+            assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == [20 * n for n in range(groups)]
+        every.append(seen)
+    whole, parts = every
+    assert max(whole) > len(rows) and max(parts) * 2 * volume / len(rows) < 2 * volume / 8 and max(parts) < 50
+    assert len(parts) > 8 and sum(parts) < sum(whole)
