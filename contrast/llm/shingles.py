@@ -57,6 +57,8 @@ ROWS = 2048
 # Bytes of texts that are joined to pairs at a time: this share of all texts, or so many if that
 # is more. And pairs that are sent to the tasks at a time, as ``measured_bytes`` has them.
 SHARE, BATCH, SENT = 2, 1 << 28, BROADCAST_LIMIT // 64
+# Parts of the buckets that meet their groups one after the other, if these can't be broadcast.
+CUTS = 4
 
 
 def shingle_set(raw, words=WORDS):
@@ -196,9 +198,11 @@ def proposed(own):
     before = [F.lag(c).over(order).alias(f"{c}2") for c in ("fp", "node")]
     chain = keys.where("side = 2").select("fp", "node", *before).where(_close("fp", "fp2"))
     chain = settle(chain.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "chain")
-    label = settle(components(chain, "a", "b"), "label")
+    spark = own.sparkSession
+    label = tidied(spark, lambda: components(chain, "a", "b"), "label")
     named = join_side(keys, label, ["node"], "left").withColumn("label", F.coalesce("component", "node"))
-    named = settle(named.select("print", "key", "side", "fp", "node", "label"), "named")
+    # The shuffles of the keys go before they are joined with each other.
+    named = tidied(spark, lambda: named.select("print", "key", "side", "fp", "node", "label"), "named")
     x, y = (named.select("print", "key", *[F.col(c).alias(c + i) for c in ("side", "fp", "node", "label")]) for i in "12")
     sides = F.col("side1") * 4 + F.col("side2")
     meets = (sides == 1) | ((sides == 10) & (F.col("fp1") < F.col("fp2")))
@@ -271,13 +275,25 @@ def beside(buckets):
 
 
 def _mixed(buckets, found):
-    """Rows of the buckets that several groups (``part``) share; settled."""
+    """Rows of the buckets that several groups (``part``) share; settled.
+
+    If there are too many groups to be broadcast, the buckets are shuffled twice; then a part of
+    them goes at a time.
+    """
     groups = found.withColumnRenamed("node", "code")
-    rows = join_side(buckets.select("shingle", "code", "n", "place"), groups, ["code"], "left")
-    rows = rows.withColumn("part", F.coalesce("component", "code")).drop("component")
+    cuts = 1 if measured_bytes(groups) <= BROADCAST_LIMIT else CUTS
     whole = Window.partitionBy("shingle")
-    rows = rows.withColumn("lo", F.min("part").over(whole)).withColumn("hi", F.max("part").over(whole))
-    return settle(rows.where("lo < hi").drop("lo", "hi"), "mixed")
+
+    def shared(rows):
+        rows = join_side(rows, groups, ["code"], "left")
+        rows = rows.withColumn("part", F.coalesce("component", "code")).drop("component")
+        rows = rows.withColumn("lo", F.min("part").over(whole)).withColumn("hi", F.max("part").over(whole))
+        return rows.where("lo < hi").drop("lo", "hi")
+
+    rows = buckets.select("shingle", "code", "n", "place")
+    at = F.pmod(F.xxhash64("shingle"), F.lit(cuts))
+    parts = [rows.where(at == i) if cuts > 1 else rows for i in range(cuts)]
+    return reduce(DataFrame.unionByName, [tidied(rows.sparkSession, lambda: shared(x), "mixed") for x in parts])  # noqa: B023
 
 
 def _meeting(rows, some):

@@ -245,8 +245,8 @@ def test_texts_are_joined_a_bounded_volume_at_a_time(spark, documents, monkeypat
             rows.append((20 * n + j, " ".join(copy)))
     docs = documents(rows)
     volume, every = sum(len(t) for _, t in rows), []
-    for share, batch, sent in (2, 1 << 28, 1 << 20), (8, 1, 25):
-        for name, value in ("SHARE", share), ("BATCH", batch), ("SENT", sent):
+    for share, batch, sent, limit in (2, 1 << 28, 1 << 20, shingles.BROADCAST_LIMIT), (8, 1, 25, 1):
+        for name, value in ("SHARE", share), ("BATCH", batch), ("SENT", sent), ("BROADCAST_LIMIT", limit):
             monkeypatch.setattr(shingles, name, value)
         with monkeypatch.context() as inner:
             seen = _counted(inner)
